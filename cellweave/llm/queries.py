@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import mixing, urlfilter, warc
+from cellweave.llm import bpe, mixing, sstable, urlfilter, warc
 from cellweave.llm.common import table
 
 #: The rules that op9 judges by: action, host, path.
@@ -20,6 +21,26 @@ URL_RULES = [
 ]
 
 
+#: The folder of the public tokenizers' files, where it is not the installed one.
+TOKENIZERS = "CELLWEAVE_TOKENIZERS"
+
+
+def tokenizer_path(name: str) -> str:
+    if folder := os.environ.get(TOKENIZERS):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
+
+
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
@@ -36,7 +57,9 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sstable": op1_sstable,
         "op6_warc_transactions": op6_warc_transactions,
+        "op8_bpe_transducer": op8_bpe_transducer,
         "op9_url_trie": op9_url_trie,
         "op10_entropy_mixing": op10_entropy_mixing,
     }
