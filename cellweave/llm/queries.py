@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import bpe, mixing, simhash, sstable, urlfilter, warc
+from cellweave.llm import bpe, langid, mixing, simhash, sstable, urlfilter, warc
 from cellweave.llm.common import table
 
 #: The rules that op9 judges by: action, host, path.
@@ -37,6 +37,10 @@ def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -62,6 +66,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sstable": op1_sstable,
+        "op2_language_mixture": op2_language_mixture,
         "op5_simhash_bktree": op5_simhash_bktree,
         "op6_warc_transactions": op6_warc_transactions,
         "op8_bpe_transducer": op8_bpe_transducer,
