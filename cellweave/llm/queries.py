@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import bpe, hmm, langid, mixing, simhash, sstable, urlfilter, warc
+from cellweave.llm import bpe, cws, hmm, langid, mixing, simhash, sstable, urlfilter, warc
 from cellweave.llm.common import table
 
 #: The rules that op9 judges by: action, host, path.
@@ -49,6 +49,10 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op7_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edits(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_hidden_markov": op4_hidden_markov,
         "op5_simhash_bktree": op5_simhash_bktree,
         "op6_warc_transactions": op6_warc_transactions,
+        "op7_weighted_sampling": op7_weighted_sampling,
         "op8_bpe_transducer": op8_bpe_transducer,
         "op9_url_trie": op9_url_trie,
         "op10_entropy_mixing": op10_entropy_mixing,
