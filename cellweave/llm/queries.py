@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import bpe, cws, hmm, langid, mixing, simhash, sstable, urlfilter, warc
+from cellweave.llm import bpe, cws, hmm, langid, mixing, nndescent, simhash, sstable, urlfilter, warc
 from cellweave.llm.common import table
 
 #: The rules that op9 judges by: action, host, path.
@@ -41,6 +41,10 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sstable": op1_sstable,
         "op2_language_mixture": op2_language_mixture,
+        "op3_nn_descent": op3_nn_descent,
         "op4_hidden_markov": op4_hidden_markov,
         "op5_simhash_bktree": op5_simhash_bktree,
         "op6_warc_transactions": op6_warc_transactions,
