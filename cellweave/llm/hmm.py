@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import crc_fold, cut
-from cellweave.llm.words import ascii_lower_words, count_words, text_bytes
+from cellweave.llm.words import ascii_lower_words, count_words, text_bytes, top_words
 
 STATES = 8
 PASSES = 6
@@ -199,10 +199,13 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, states: int = STATES,
     totals = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
     n_docs = train_docs.count()
     distinct, tokens = totals[0] + (n_docs > 0), totals[1] + n_docs
-    top = [(bytes(w), c) for w, c in counts.orderBy(F.desc("count"), "word").limit(lookup).collect()]
-    hot = count_words(folded.where("held_out"), ascii_lower_words).orderBy(F.desc("count"), "word").limit(lookup // 10)
-    known = cut(hot.join(counts.withColumnRenamed("count", "c"), "word", "left").select("word", F.coalesce("c", F.lit(0)).alias("c")), "hot")
-    table = dict(top) | {bytes(w): c for w, c in known.collect()}
+    top = top_words(counts, lookup)
+    hot = top_words(cut(count_words(folded.where("held_out"), ascii_lower_words), "heldwords"), lookup // 10)
+    table = dict(top)
+    if rest := [(bytearray(w),) for w, _ in hot if w not in table]:
+        asked = spark.createDataFrame(rest, "word binary")
+        table |= {bytes(w): 0 for (w,) in rest}
+        table |= {bytes(w): c for w, c in counts.join(F.broadcast(asked), "word").collect()}
     frequent = {w: i for i, (w, _) in enumerate(top[:vocabulary])}
     end = len(frequent)
     mine = counts.join(F.broadcast(spark.createDataFrame([(bytearray(w),) for w in frequent], "word binary")), "word", "left_anti")

@@ -55,6 +55,23 @@ def count_words(docs: DataFrame, split: Callable[[bytes], list[bytes]] = ascii_w
     return parts.groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def top_words(counts: DataFrame, k: int) -> list[tuple[bytes, int]]:
+    """The ``k`` most frequent words (ties: smaller word first) of a written count table.
+
+    Words below the k-th largest count are filtered out first, by a table of how
+    many words have each count, so tasks do not send ``k`` rows each.
+    """
+    if k <= 0:
+        return []
+    cutoff, seen = 0, 0
+    for count, words in counts.groupBy("count").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("count")).toLocalIterator():
+        cutoff, seen = count, seen + words
+        if seen >= k:
+            break
+    rows = counts.where(F.col("count") >= cutoff).orderBy(F.desc("count"), "word").limit(k).collect()
+    return [(bytes(w), n) for w, n in rows]
+
+
 class TwoGenerations:
     """A bounded memo: when the young half is full it becomes the old half."""
 
