@@ -115,7 +115,12 @@ def mixture(cells: np.ndarray, counts: np.ndarray, prob: np.ndarray, logs: np.nd
 
 
 def predict(docs: DataFrame, labels: list[str], prob: np.ndarray, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry``, then lang_pred, score and mix (label to proportion, largest first)."""
+    """The columns ``carry``, then lang_pred, score and mix (label to proportion, largest first).
+
+    The text is read from ``carry`` where it is among them, else beside them.
+    """
+    columns = [*carry] if "text" in carry else [*carry, "text"]
+    at = columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast((labels, prob.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +129,7 @@ def predict(docs: DataFrame, labels: list[str], prob: np.ndarray, carry: tuple[s
         logs = np.log(table)
         for batch in batches:
             langs, scores, mixes = [], [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(at):
                 text = value.as_py()
                 lang, score, mix = UNKNOWN, 0.0, []
                 if text is not None and names and LETTER.search(text):
@@ -136,12 +141,12 @@ def predict(docs: DataFrame, labels: list[str], prob: np.ndarray, carry: tuple[s
                 scores.append(score)
                 mixes.append(mix)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.map_(pa.string(), pa.float64()))],
+                [*batch.columns[: len(carry)], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(mixes, pa.map_(pa.string(), pa.float64()))],
                 names=[*carry, "lang_pred", "score", "mix"],
             )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(
+    return docs.select(*columns).mapInArrow(
         run, f"{kinds}, lang_pred string, score double, mix map<string,double>"
     )
 
@@ -150,6 +155,13 @@ def held_out(fold: int = 2, folds: int = 4) -> "F.Column":
     return F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False))
 
 
+def accept(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
+    """The documents whose language is known, all columns; a null ``lang`` becomes the predicted one."""
+    labels, prob = train(docs.where(~held_out(fold, folds)))
+    judged = predict(docs, labels, prob, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
+    return judged.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def identify(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages of every document."""
     labels, prob = train(docs.where(~held_out(fold, folds)))

@@ -143,7 +143,7 @@ def round_sizes(sizes: np.ndarray, counts: np.ndarray, rates: np.ndarray, max_co
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int = 3, share: float = 1.0, piece_rows: int = PIECE_ROWS, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate of every document.
 
-    ``keep`` names further columns of ``docs`` to carry along.
+    ``keep`` names further columns of ``docs`` to carry along, as ``_keep_<name>``.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     if not keep:
@@ -211,5 +211,14 @@ def _spend(sized: DataFrame, plan: DataFrame, targets: DataFrame, piece_rows: in
     copies = (base + (F.col("_rank") <= F.col("total") - base * F.col("n")).cast("long")).cast("int")
     return placed.select(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"),
-        copies.alias("copies"), "rate", *[F.col(f"_keep_{c}").alias(c) for c in keep],
+        copies.alias("copies"), "rate", *[F.col(f"_keep_{c}") for c in keep],
+    )
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int = 3, share: float = 1.0) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it (rows without copies go)."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = mix(docs, weights, max_copies, share, keep=rest).where("copies > 0")
+    return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(
+        *[F.col(f"_keep_{c}").alias(c) if c != "doc_id" else F.col(c) for c in docs.columns]
     )

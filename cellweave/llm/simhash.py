@@ -281,3 +281,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, **how) ->
     return label_rows(rows, "fp", labels, "component_id").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, **how) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest doc_id.
+
+    Where identifiers repeat or are null, documents are told apart by a row
+    number instead, and the first row of a component stays.
+    """
+    n, different = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == different:
+        groups = near_duplicates(docs, width, radius, **how)
+        gone = cut(groups.where("doc_id <> component_id").select("doc_id"), "dropped")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), width, radius, **how)
+    gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "dropped")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
