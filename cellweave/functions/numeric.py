@@ -15,7 +15,7 @@ def col(x: Number) -> Column:
 
 
 def clamp(v: Column, low: Number, high: Number) -> Column:
-    return F.when(v < col(low), col(low)).when(v > col(high), col(high)).otherwise(v)
+    return F.least(F.greatest(v, col(low)), col(high))
 
 
 def clamp01(v: Column) -> Column:

@@ -48,8 +48,7 @@ def segment_distance(px: Column, pz: Column, ax: float, az: float, bx: float, bz
     dx, dz = bx - ax, bz - az
     size = dx * dx + dz * dz
     t = clamp01(((px - ax) * dx + (pz - az) * dz) / size) if size else F.lit(0.0)
-    ex, ez = px - (t * dx + ax), pz - (t * dz + az)
-    return F.sqrt(ex * ex + ez * ez)
+    return F.hypot(px - (t * dx + ax), pz - (t * dz + az))
 
 
 def distance(px: Column, pz: Column, shape: Shape) -> Column:
@@ -76,29 +75,43 @@ def signed_distance(px: Column, pz: Column, shapes: Sequence[Shape], most: float
     return F.when(winding(px, pz, shapes) != 0, -near).otherwise(near)
 
 
-def coverage(px: Column, pz: Column, shape: Shape, profile: str = "smooth") -> Column:
-    """1 inside or within half the width, then falling over ``falloff``."""
+def with_coverage(df: DataFrame, px: Column, pz: Column, shapes: Sequence[Shape]) -> DataFrame:
+    """``df`` with the coverage of each shape as ``_c0``, ``_c1``, ... (each computed once)."""
+    near = df.withColumns({f"_d{i}": reach(px, pz, s) for i, s in enumerate(shapes)})
+    return near.withColumns({f"_c{i}": fall(F.col(f"_d{i}"), s) for i, s in enumerate(shapes)}).drop(*[f"_d{i}" for i in range(len(shapes))])
+
+
+def reach(px: Column, pz: Column, shape: Shape) -> Column:
+    """Distance beyond the shape's half width; a polygon's inside has distance 0."""
     d = distance(px, pz, shape)
     d = F.when(winding(px, pz, [shape]) != 0, F.lit(0.0)).otherwise(d) if shape.kind == "polygon" else d
-    beyond = d - shape.width / 2
+    return d - shape.width / 2
+
+
+def fall(beyond: Column, shape: Shape, profile: str = "smooth") -> Column:
     fade = F.lit(1.0) - beyond / shape.falloff if shape.falloff > 0 else F.lit(0.0)
     shaped = hermite(fade) if profile == "smooth" else clamp01(fade)
     return F.when(beyond <= 0, F.lit(1.0)).otherwise(shaped)
 
 
-def rasterise(px: Column, pz: Column, shapes: Sequence[Shape]) -> Column:
-    parts = [coverage(px, pz, s) for s in shapes]
-    return parts[0] if len(parts) == 1 else F.greatest(*parts)
+def coverage(px: Column, pz: Column, shape: Shape, profile: str = "smooth") -> Column:
+    """1 inside or within half the width, then falling over ``falloff``."""
+    return fall(reach(px, pz, shape), shape, profile)
 
 
-def value_field(px: Column, pz: Column, shapes: Sequence[Shape]) -> Column:
-    """Coverage-weighted mean of the shapes' values, faded by the strongest coverage."""
-    c = [coverage(px, pz, s) for s in shapes]
+def rasterise(df: DataFrame, px: Column, pz: Column, shapes: Sequence[Shape]) -> DataFrame:
+    """``df`` with ``mask``, the largest coverage, and ``value``.
+
+    ``value`` is the coverage-weighted mean of the shapes' values, faded by the
+    strongest coverage.
+    """
+    rows = with_coverage(df, px, pz, shapes)
+    c = [F.col(f"_c{i}") for i in range(len(shapes))]
     weight, total = F.lit(0.0), F.lit(0.0)
     for s, k in zip(shapes, c):
         weight, total = weight + k, total + k * (s.value or 0.0)
     strongest = c[0] if len(c) == 1 else F.greatest(*c)
-    return F.when(weight > 0, F.try_divide(total, weight) * strongest).otherwise(F.lit(0.0))
+    return rows.withColumns({"mask": strongest, "value": F.when(weight > 0, F.try_divide(total, weight) * strongest).otherwise(F.lit(0.0))})
 
 
 def apply_to_height(df: DataFrame, px: Column, pz: Column, shapes: Sequence[Shape], mode: str = "set", strength: float = 1.0, v: str = "v") -> DataFrame:
@@ -106,9 +119,9 @@ def apply_to_height(df: DataFrame, px: Column, pz: Column, shapes: Sequence[Shap
 
     A shape without a value takes the mean height where its coverage is at least one half.
     """
+    df = with_coverage(df, px, pz, shapes)
     for n, s in enumerate(shapes):
         name = f"_c{n}"
-        df = df.withColumn(name, coverage(px, pz, s))
         if s.value is None and mode != "add":
             one = df.agg(F.coalesce(F.avg(F.when(F.col(name) >= 0.5, F.col(v))), F.lit(0.0)).alias("_mean"))
             df, goal = df.join(F.broadcast(one)), F.col("_mean")
@@ -153,6 +166,8 @@ def carve(df: DataFrame, px: Column, pz: Column, beds: Sequence[tuple[float, flo
         t = clamp01(((px - ax) * dx + (pz - az) * dz) / size) if size else F.lit(0.0)
         one = F.struct(segment_distance(px, pz, ax, az, bx, bz).alias("d"), (t * (bb - ab) + ab).alias("bed"))
         best = one if best is None else F.least(best, one)
+    df = df.withColumn("_near", best)
+    best = F.col("_near")
     blend = F.when(best["d"] <= width / 2, F.lit(1.0)).otherwise(hermite(F.lit(1.0) - (best["d"] - width / 2) / bank))
     cut = F.when(best["bed"] < F.col(v), F.col(v) + (best["bed"] - F.col(v)) * blend).otherwise(F.col(v))
-    return df.withColumn(v, cut)
+    return df.withColumn(v, cut).drop("_near")

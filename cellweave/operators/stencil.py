@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.grid import Grid, along_x, along_z, neighbour
@@ -74,7 +74,7 @@ def curvature(grid: Grid, v: str = "v") -> Grid:
 def _box(v: str, r: int, window, place: str, size: int) -> Column:
     """Mean of ``2 r + 1`` cells with held edges: a frame sum, plus the edge cells that are missing."""
     inside = F.sum(v).over(window.rowsBetween(-r, r))
-    whole = window.rowsBetween(-(1 << 31), 1 << 31)
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = F.first(v).over(whole), F.last(v).over(whole)
     before = F.greatest(F.lit(0), F.lit(r) - F.col(place))
     after = F.greatest(F.lit(0), F.col(place) + r - (size - 1))

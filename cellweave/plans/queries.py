@@ -329,19 +329,19 @@ def field_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(stencil.resample_shrink(raster(spark, sf_dir), 24, 100).df, v="v")
 
 
-SAMPLE = """k AS (SELECT *, floor(sx) AS i, floor(sz) AS j, sx - floor(sx) AS fx, sz - floor(sz) AS fz, (SELECT max(z) FROM g) AS mz FROM at)
+SAMPLE = """k AS (SELECT *, floor(sx) AS i, floor(sz) AS j, sx - floor(sx) AS fx, sz - floor(sz) AS fz, (SELECT max(z) FROM g) AS mz FROM pts)
 SELECT k.x, k.z, round(a.v * (1 - fx) * (1 - fz) + b.v * fx * (1 - fz) + c.v * (1 - fx) * fz + d.v * fx * fz, 6) AS v FROM k
 JOIN g a ON a.x = least(greatest(i, 0), 63) AND a.z = least(greatest(j, 0), mz) JOIN g b ON b.x = least(greatest(i + 1, 0), 63) AND b.z = least(greatest(j, 0), mz)
 JOIN g c ON c.x = least(greatest(i, 0), 63) AND c.z = least(greatest(j + 1, 0), mz) JOIN g d ON d.x = least(greatest(i + 1, 0), 63) AND d.z = least(greatest(j + 1, 0), mz)"""
 
 
-@query("filter_transform", f""", s AS (SELECT (max(z) + 1) / 2.0 AS cz FROM g), at AS (SELECT x, z, 32 + (x - 32) / 1.5 * cos(0.3) - (z - cz) / 1.5 * sin(0.3) + 2.5 AS sx,
+@query("filter_transform", f""", s AS (SELECT (max(z) + 1) / 2.0 AS cz FROM g), pts AS (SELECT x, z, 32 + (x - 32) / 1.5 * cos(0.3) - (z - cz) / 1.5 * sin(0.3) + 2.5 AS sx,
   cz + (x - 32) / 1.5 * sin(0.3) + (z - cz) / 1.5 * cos(0.3) - 1.25 AS sz FROM g, s), {SAMPLE}""")
 def filter_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(stencil.transform(raster(spark, sf_dir), 2.5, -1.25, 1.5, 0.3), v="v")
 
 
-@query("filter_warp", f""", at AS (SELECT x, z, x + (coalesce(lead(v) OVER wx, v) - coalesce(lag(v) OVER wx, v)) * 0.5 * 4 AS sx, z + (coalesce(lead(v) OVER wz, v) - coalesce(lag(v) OVER wz, v)) * 0.5 * 4 AS sz
+@query("filter_warp", f""", pts AS (SELECT x, z, x + (coalesce(lead(v) OVER wx, v) - coalesce(lag(v) OVER wx, v)) * 0.5 * 4 AS sx, z + (coalesce(lead(v) OVER wz, v) - coalesce(lag(v) OVER wz, v)) * 0.5 * 4 AS sz
   FROM g WINDOW wx AS (PARTITION BY z ORDER BY x), wz AS (PARTITION BY x ORDER BY z)), {SAMPLE}""")
 def filter_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(stencil.warp(raster(spark, sf_dir), "v", 4.0), v="v")
@@ -533,7 +533,7 @@ def layout_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("layout_mask", f", {LAYOUT} SELECT x, z, round(greatest(cl, cr), 6) AS mask, round(CASE WHEN cl + cr > 0 THEN (cl * 250 - cr * 120) / (cl + cr) * greatest(cl, cr) ELSE 0 END, 6) AS value FROM k")
 def layout_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(raster(spark, sf_dir, 1000.0).df, mask=shapes.rasterise(PX(), PZ(), [LINE, RING]), value=shapes.value_field(PX(), PZ(), [LINE, RING]))
+    return cells(shapes.rasterise(raster(spark, sf_dir, 1000.0).df, PX(), PZ(), [LINE, RING]), mask="mask", value="value")
 
 
 @query("layout_flatten", f", {LAYOUT}, f AS (SELECT *, v + (250 - v) * cl * 0.75 AS v1 FROM k) SELECT x, z, round(v1 + (-120 - v1) * cr * 0.75, 6) AS v FROM f")
