@@ -100,8 +100,8 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, max_copies: int, iterat
         moved = scaled.join(F.broadcast(now), "source_key").select(
             "source_key", (F.col("size") * F.col("n") * rate).alias("value"),
             F.when(rate < max_copies, F.col("size") * F.col("n") * rate * F.col("x")).otherwise(0.0).alias("slope"),
-        ).groupBy("source_key").agg(F.sum("value").alias("value"), F.sum("slope").alias("slope"))
-        for k, value, slope in [tuple(r) for r in moved.collect()]:
+        ).groupBy("source_key").agg(*[F.sum(F.col(c).cast("decimal(38,9)")).cast("double").alias(c) for c in ("value", "slope")])
+        for k, value, slope in [tuple(r) for r in moved.collect()]:  # decimal sums: the same in any order
             gap = value - info[k]["target"]
             if abs(gap) <= tolerance * info[k]["source_size"]:
                 open_.discard(k)
