@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.numeric import smoothstep
 from cellweave.operators import grid as G
-from cellweave.operators import kernels, noise, pointwise, regions, rules, shapes, stencil, surface, symmetry
+from cellweave.operators import checks, kernels, noise, pointwise, regions, resources, rules, shapes, stencil, surface, symmetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -451,6 +451,65 @@ def rules_move_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.move_classes(spark).select("id", "family", r6("max_slope_value").alias("max_slope_value"), "ignores_slope", "ignores_depth")
 
 
+# Checks and resources.
+
+
+@query("check_heights", """, s AS (SELECT min(v) AS lo, max(v) AS hi FROM hg), i AS (
+SELECT CASE WHEN -100 - lo > 200 / 65536.0 OR hi - 100 > 200 / 65536.0 THEN 'error' END AS severity, 'height.clipped' AS code FROM s
+UNION ALL SELECT CASE WHEN (hi - lo) / 200 < 0.2 THEN CASE WHEN degrees(atan(200 / 65536.0 / 8)) >= 0.25 THEN 'warning' ELSE 'info' END END, 'height.rangeWaste' FROM s
+UNION ALL SELECT CASE WHEN hi - lo < 100 THEN 'info' END, 'height.flat' FROM s
+UNION ALL SELECT CASE WHEN max(-v) < 8 THEN 'warning' END, 'water.tooShallow' FROM hg HAVING count(*) FILTER (v < 0) > 0
+UNION ALL SELECT CASE WHEN max(-v) >= 8 AND max(-v) < 15 THEN 'info' END, 'water.noDeepWater' FROM hg
+UNION ALL SELECT CASE WHEN count(*) FILTER (v >= 0) = count(*) THEN 'info' END, 'water.none' FROM hg
+UNION ALL SELECT CASE WHEN count(*) FILTER (v <= -1 AND v > -8) > 0.7 * count(*) FILTER (v < 0) AND count(*) FILTER (v < 0) > 0.05 * count(*) THEN 'warning' END, 'water.deadZone' FROM hg)
+SELECT severity, code FROM i WHERE severity IS NOT NULL""")
+def check_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = raster(spark, sf_dir, 1000.0).df
+    return checks.report(checks.check_heights(h, -100.0, 100.0), checks.check_water(h)).select("severity", "code")
+
+
+@query("check_starts", f"""
+WITH {SPOTS}, i AS (SELECT CASE WHEN px > 1024 OR pz > 8192 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN px > 1024 OR pz > 8192 THEN 'start.offMap' ELSE 'start.nearEdge' END AS code, px AS x, pz AS z FROM sp
+  WHERE px > 1024 OR pz > 8192 OR least(px, pz, 1024 - px, 8192 - pz) < 600
+UNION ALL SELECT CASE WHEN sqrt((a.px - b.px) ** 2 + (a.pz - b.pz) ** 2) < 840 THEN 'error' ELSE 'warning' END, 'start.tooClose', (a.px + b.px) / 2, (a.pz + b.pz) / 2 FROM sp a JOIN sp b ON a.id < b.id
+  WHERE sqrt((a.px - b.px) ** 2 + (a.pz - b.pz) ** 2) < 1400)
+SELECT severity, code, round(x, 6) AS x, round(z, 6) AS z FROM i""")
+def check_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = spots(spark, sf_dir).select("id", F.col("px").alias("x"), F.col("pz").alias("z"))
+    return checks.check_starts(at, 1024.0, 8192.0, 8).select("severity", "code", r6("x").alias("x"), r6("z").alias("z"))
+
+
+@query("resource_paint")
+def resource_paint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = spots(spark, sf_dir).select("id", F.floor(F.col("px") / 16).alias("cx"), F.floor(F.col("pz") / 16).alias("cz"), (F.abs("worth") / 5000).alias("income"))
+    return resources.paint(at, 64, 512)
+
+
+@query("resource_find")
+def resource_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = raster(spark, sf_dir)
+    metal = g.df.select("x", "z", pointwise.output_terrain_type(F.col("v") - 0.1, "mask").cast("int").alias("b"))
+    return resources.find_spots(metal, g.meta.width, g.meta.height)
+
+
+@query("tiles_distinct", "SELECT doc_id AS pos, min(doc_id) OVER (PARTITION BY text) AS first FROM documents")
+def tiles_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile deduplication by digest; the texts of ``documents`` stand for tile bytes."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.col("text").cast("binary").alias("data"))
+    return resources.distinct_tiles(rows)
+
+
+SITES = [(16.0, 16.0, 12.0, 200.0), (40.0, 30.0, 20.0, -90.0), (50.0, 50.0, 9.0, 140.0)]
+
+
+@query("gen_plateaus", f"""
+WITH c AS (SELECT (i % 64)::BIGINT AS x, (i // 64)::BIGINT AS z FROM range(4096) r(i)), s(n, cx, cz, r, h) AS (VALUES (0, 16, 16, 12, 200), (1, 40, 30, 20, -90), (2, 50, 50, 9, 140)),
+e AS (SELECT x, z, n, h, greatest(0, 1 - sqrt(((x - cx) / r::DOUBLE) ** 2 + ((z - cz) / r::DOUBLE) ** 2)) AS e FROM c, s), w AS (SELECT *, e * e * (3 - 2 * e) AS w FROM e)
+SELECT x, z, round(arg_max(h * w, abs(h * w)) + 0.0, 6) AS v, round(max(w), 6) AS mask FROM w GROUP BY x, z""")
+def gen_plateaus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(resources.plateaus(spark, G.GridMeta(64, 64), SITES).df, v="v", mask="mask")
+
+
 # Regions.
 
 

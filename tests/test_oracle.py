@@ -6,7 +6,7 @@ import pytest
 from cellweave.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("embeddings", "supplier", "customer", "events", "nation", "region")
+TABLES = ("documents", "embeddings", "supplier", "customer", "events", "nation", "region")
 
 
 @pytest.fixture(scope="module")
