@@ -203,3 +203,30 @@ def test_graph_plan(spark):
     assert e.evaluate("n") is e.evaluate("n") and e.misses == 3
     with pytest.raises(GraphError, match="cycle"):
         Evaluator(spark, {**graph, "edges": [*graph["edges"][1:], {"fromNode": "b", "toNode": "m", "toPort": "in"}]}, G.GridMeta(4, 4)).evaluate("b")
+
+
+def test_painted_spot_is_found_again(spark):
+    from cellweave.operators import resources
+
+    spots = spark.createDataFrame([(1, 10, 10, 1.0), (2, 30, 12, 0.37)], "id long, cx long, cz long, income double")
+    cells = resources.paint(spots, 64, 32)
+    assert cells.where("b < 0 or b > 255").count() == 0 and cells.count() == 42
+    found = {round(r["worth"]): r for r in resources.find_spots(cells, 64, 32).collect()}
+    assert sorted(found) == [int(0.37 / 0.0009 + 0.5), int(1.0 / 0.0009 + 0.5)]
+    assert all(r["cell_count"] == 21 for r in found.values())
+
+
+def test_checks_on_starts(spark):
+    from cellweave.operators import checks
+
+    starts = spark.createDataFrame([(1, 700.0, 700.0), (2, 900.0, 700.0), (3, -5.0, 9.0), (4, 4000.0, 700.0)], "id long, x double, z double")
+    got = sorted(r["code"] for r in checks.check_starts(starts, 4096.0, 4096.0, 8).collect())
+    assert got == ["start.nearEdge", "start.offMap", "start.tooClose", "start.tooClose", "start.tooClose", "start.tooFew"]
+    assert [r["code"] for r in checks.check_starts(starts.limit(0), 10.0, 10.0, 2).collect()] == ["start.missing"]
+
+
+def test_equal_tiles_share_an_id(spark):
+    from cellweave.operators import resources
+
+    tiles = spark.createDataFrame([(0, b"a"), (1, b"b"), (2, b"a"), (3, b"")], "pos long, data binary")
+    assert sorted(map(tuple, resources.distinct_tiles(tiles).collect())) == [(0, 0), (1, 1), (2, 0), (3, 3)]
