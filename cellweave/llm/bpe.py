@@ -35,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from cellweave.llm.common import cut
 from cellweave.llm.sstable import byte_alphabet
-from cellweave.llm.words import TwoGenerations, count_words, text_bytes
+from cellweave.llm.words import TwoGenerations, count_words, text_bytes, top_words
 
 #: Fixed value: the splitter of byte-level vocabularies of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -333,8 +333,8 @@ class Coder:
 
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS) -> bytes:
     """Count the words of all ``docs``; compile the ``words`` most frequent."""
-    top = count_words(docs).orderBy(F.desc("count"), "word").limit(words).collect() if words else []
-    known = {w.encode() for r in top for w in vocabulary.split.findall(" " + bytes(r["word"]).decode("utf-8", "replace"))}
+    top = top_words(cut(count_words(docs), "words"), words) if words else []
+    known = {w.encode() for word, _ in top for w in vocabulary.split.findall(" " + word.decode("utf-8", "replace"))}
     ordered = sorted(known)
     return compile_lexicon(dict(zip(ordered, vocabulary.merge_many(ordered))), vocabulary.kind)
 
