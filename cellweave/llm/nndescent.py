@@ -1,13 +1,17 @@
 """Embedding near-duplicates by NN-descent.
 
+0. Equal vectors are one node with a weight.
 1. Start: vectors are sorted by (signs of random projections, one more
    projection), and runs of ``RUN`` neighbours in that order are compared; a few
    such orders give every vector its first neighbour list.
 2. Descent: every vector is a centre; its neighbours and the vectors that have
    it as neighbour are compared with each other, and what is nearer than a
-   list's last entry enters.  Long reverse lists are dealt out in chunks.
+   list's last entry enters.  Long reverse lists are dealt out in chunks, anew
+   each round, with the centre in every chunk.
 3. Lists hold ``k`` entries; a list that is saturated (all entries above the
-   threshold) is enlarged up to ``k_large``.
+   threshold) is enlarged up to ``k_large``.  Groups that fill lists with their own
+   members are then thinned to ``REPS`` members each, others every pass, and the
+   search goes on from the lists among what is left, until a pass joins nothing.
 4. Every comparison that reaches the threshold gives links, as spanning links of
    the compared group, so no pairs of a large group are listed.
 5. Components of the links; inside each component the number of links of every
@@ -30,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut
-from cellweave.llm.components import components
+from cellweave.llm.common import cut, remove, scratch
+from cellweave.llm.components import components, label_rows
 
 K, K_LARGE = 8, 32
 RUN = 64
@@ -43,6 +47,10 @@ AUDIT_ROWS = 256
 TARGET = 0.999
 MAX_EXTRA = 2
 SEED = 11
+#: Members of a thinned group: fewer than half a list, so that lists look out of the group.
+REPS = 4
+MAX_THIN = 8
+SALTS = 64
 
 
 def unit_vectors(frame: DataFrame) -> DataFrame:
@@ -56,7 +64,7 @@ def unit_vectors(frame: DataFrame) -> DataFrame:
                 size = 0.0
                 if x.size and np.isfinite(x).all():
                     top = np.abs(x).max()
-                    x = x / top if top else x  # no overflow of squares
+                    x = x / top + 0.0 if top else x  # no overflow of squares, no negative zeros
                     size = np.sqrt(x @ x)
                 out.append((x / size).tobytes() if size > 0 else None)
                 dims.append(len(x) if size > 0 else 0)
@@ -176,27 +184,29 @@ def _best(cands: DataFrame, threshold: float, k: int, k_large: int) -> DataFrame
     return unique.withColumn("r", rank).where(F.col("r") <= k_large).where((F.col("r") <= k) | (F.col("s") >= threshold))
 
 
-def _descend(vectors: DataFrame, lists: DataFrame, threshold: float, k: int) -> DataFrame:
-    """One round of neighbours-of-neighbours comparisons."""
+def _descend(vectors: DataFrame, lists: DataFrame, threshold: float, k: int, number: int = 0) -> DataFrame:
+    """One round of neighbours-of-neighbours comparisons; ``number`` deals the chunks of hubs."""
     worst = lists.groupBy("n").agg(F.min("s").alias("worst"), F.count(F.lit(1)).alias("have"))
     worst = worst.select("n", F.when(F.col("have") < k, F.lit(-2.0)).otherwise(F.col("worst")).alias("worst"))
     both = lists.select(F.col("n").alias("centre"), F.col("m").alias("node")).unionByName(lists.select(F.col("m").alias("centre"), F.col("n").alias("node")))
-    own = lists.select(F.col("n").alias("centre"), F.col("n").alias("node"))
-    both = both.unionByName(own).distinct()
-    long_ = cut(both.groupBy("centre").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > RUN).select("centre", F.ceil(F.col("deg") / (RUN // 2)).cast("int").alias("parts")), "hubs")
-    dealt = both.join(long_, "centre", "left").select("centre", "node", F.coalesce(F.pmod(F.xxhash64("node", "centre"), F.col("parts")).cast("int"), F.lit(0)).alias("chunk"))
-    rows = vectors.join(worst, vectors["node"] == worst["n"]).select("node", "dim", "vec", "worst").join(dealt, "node")
+    both = both.distinct()
+    long_ = cut(both.groupBy("centre").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") >= RUN).select("centre", F.ceil(F.col("deg") / (RUN // 2)).cast("int").alias("parts")), "hubs")
+    dealt = both.join(long_, "centre", "left").select("centre", "node", F.coalesce(F.pmod(F.xxhash64("node", "centre", F.lit(number)), F.col("parts")).cast("int"), F.lit(0)).alias("chunk"))
+    own = both.select("centre").distinct().join(long_, "centre", "left")
+    own = own.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("chunk"))
+    dealt = dealt.unionByName(own)
+    rows = vectors.join(worst, vectors["node"] == worst["n"], "left").select("node", "dim", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst")).join(dealt, "node")
     rows = rows.select("dim", "centre", "chunk", "node", "worst", "vec").repartition("dim", "centre", "chunk").sortWithinPartitions("dim", "centre", "chunk")
     return rows.mapInArrow(_local(threshold, k, None), "kind byte, n long, m long, s double")
 
 
 def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """node, n_links: exact counts inside each component (component, dim, node, vec), by pairs of blocks."""
+    """node, n_links: exact weights of linked others inside each component (component, dim, node, vec, weight), by pairs of blocks."""
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     placed = members.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = placed.select("component", "node", "vec", "b", other.alias("o")).select(
-        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("right"), "node", "vec"
+    spread = placed.select("component", "node", "vec", "weight", "b", other.alias("o")).select(
+        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("right"), "node", "vec", "weight"
     )
     spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "right")
 
@@ -210,11 +220,12 @@ def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
             a = np.frombuffer(b"".join([r[5] for r in left])).reshape(len(left), -1)
             b = a if same else np.frombuffer(b"".join([r[5] for r in right])).reshape(len(right), -1)
             near = a @ b.T >= threshold
+            of = lambda rows: np.array([r[6] for r in rows], np.int64)
             if same:
                 np.fill_diagonal(near, False)
-                found = list(zip([r[4] for r in left], near.sum(1).tolist()))
+                found = list(zip([r[4] for r in left], (near @ of(left)).tolist()))
             else:
-                found = [*zip([r[4] for r in left], near.sum(1).tolist()), *zip([r[4] for r in right], near.sum(0).tolist())]
+                found = [*zip([r[4] for r in left], (near @ of(right)).tolist()), *zip([r[4] for r in right], (of(left) @ near).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["node", "n"])
 
     return spread.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
@@ -233,53 +244,116 @@ def audit(vectors: DataFrame, counted: DataFrame, threshold: float, rows: int =
             by[dim] = ([n for n, _ in own], np.frombuffer(b"".join([v for _, v in own])).reshape(len(own), -1))
         total = {n: 0 for n, _, _ in shared.value}
         for batch in batches:
-            for dim, vec in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for dim, vec, node, weight in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if dim in by:
                     for i in np.flatnonzero(by[dim][1] @ np.frombuffer(vec.as_py()) >= threshold).tolist():
-                        total[by[dim][0][i]] += 1
+                        total[by[dim][0][i]] += weight * (by[dim][0][i] != node)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "n"])
 
-    truth = vectors.select("dim", "vec").mapInArrow(run, "node long, n long").groupBy("node").agg((F.sum("n") - 1).alias("true"))
+    truth = vectors.select("dim", "vec", "node", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("true"))
     found = truth.join(counted, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n_links", F.lit(0))))).first()
     return (found[1] or 0) / found[0] if found[0] else 1.0
 
 
-def near_duplicates(frame: DataFrame, threshold: float = 0.95, k: int = K, k_large: int = K_LARGE, orders: int = ORDERS, rounds: int = ROUNDS, target: float = TARGET) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``frame`` (vec_id, embedding)."""
-    nodes = cut(unit_vectors(frame), "vectors")
-    vectors = nodes.where("dim > 0").select("node", "dim", "vec")
-    links, lists, number, counted = None, None, 0, None
-
-    def take(found: DataFrame) -> None:
-        nonlocal links, lists
-        new = found.where("kind = 1").select(F.col("n").alias("a"), F.col("m").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        cands = found.where("kind = 0").select("n", "m", "s")
-        cands = cands if lists is None else cands.unionByName(lists.select("n", "m", "s"))
-        lists = cut(_best(cands, threshold, k, k_large), "lists")
+class Search:
+    """Neighbour lists and links; what a round no longer needs is deleted."""
 
-    for attempt in range(1 + MAX_EXTRA):
+    def __init__(self, spark, threshold: float, k: int, k_large: int) -> None:
+        self.spark, self.threshold, self.k, self.k_large = spark, threshold, k, k_large
+        self.lists: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.path, self.number, self.rounds = None, 0, 0
+
+    def _store(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def take(self, found: DataFrame) -> float:
+        """Enters the found links and candidates; the share of list entries that are new."""
+        found, used = self._store(found, "found")
+        new = cut(found.where("kind = 1").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct(), "newlinks")
+        self.links = new if self.links is None else self.links.unionByName(new)
+        cands = found.where("kind = 0").select("n", "m", "s")
+        before, old = self.lists, self.path
+        cands = cands if before is None else cands.unionByName(before.select("n", "m", "s"))
+        self.lists, self.path = self._store(_best(cands, self.threshold, self.k, self.k_large), "lists")
+        share = 1.0
+        if before is not None:
+            share = self.lists.join(before, ["n", "m"], "left_anti").count() / max(1, self.lists.count())
+            remove(self.spark, old)
+        remove(self.spark, used)
+        return share
+
+    def run(self, vectors: DataFrame, orders: int, rounds: int) -> DataFrame:
+        """Orders and rounds over ``vectors``; the components of all links so far."""
         first = None
         for _ in range(orders):
-            one = _order(vectors, number, threshold, k)
+            one = _order(vectors, self.number, self.threshold, self.k)
             first = one if first is None else first.unionByName(one)
-            number += 1
-        take(cut(first, "orders"))
+            self.number += 1
+        if first is not None:
+            self.take(first)
         for _ in range(rounds):
-            before = lists
-            take(cut(_descend(vectors, lists, threshold, k), "round"))
-            if lists.join(before, ["n", "m"], "left_anti").count() <= 0.001 * max(1, lists.count()):
+            self.rounds += 1
+            if self.take(_descend(vectors, self.lists, self.threshold, self.k, self.rounds)) <= 0.001:
+                break
+        return cut(components(self.links), "components")
+
+    def thin(self, vectors: DataFrame, joined: DataFrame, number: int) -> DataFrame:
+        """``vectors`` with ``REPS`` members of each component at most; lists are held to them."""
+        rank = F.row_number().over(Window.partitionBy("component").orderBy("h", "node"))
+        small = joined.withColumn("h", F.xxhash64("node", F.lit(number))).withColumn("slice", F.pmod("h", F.lit(SALTS)))
+        # Each slice of a component hands on its first few, so no task sorts a large component.
+        part = F.row_number().over(Window.partitionBy("component", "slice").orderBy("h", "node"))
+        stay = small.withColumn("r", part).where(F.col("r") <= REPS).withColumn("r", rank).where(F.col("r") <= REPS)
+        gone = joined.select("node").join(stay.select("node"), "node", "left_anti")
+        left = cut(vectors.join(gone, "node", "left_anti"), "thinned")
+        gone = cut(gone, "gone")
+        held = self.lists.join(gone.withColumnRenamed("node", "n"), "n", "left_anti").join(gone.withColumnRenamed("node", "m"), "m", "left_anti")
+        old = self.path
+        self.lists, self.path = self._store(held.select("n", "m", "s", "r"), "lists")
+        remove(self.spark, old)
+        return left
+
+
+def _groups(joined: DataFrame) -> tuple[int, int]:
+    """Nodes in components less components (it grows whenever two are joined); the largest component."""
+    n, parts, top = joined.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.count(F.lit(1)), F.max("n")).first()
+    return (n or 0) - parts, top or 0
+
+
+def near_duplicates(frame: DataFrame, threshold: float = 0.95, k: int = K, k_large: int = K_LARGE, orders: int = ORDERS, rounds: int = ROUNDS, target: float = TARGET) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``frame`` (vec_id, embedding)."""
+    nodes = cut(
+        unit_vectors(frame).withColumn("key", F.unhex(F.sha2("vec", 256))).withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "vectors"
+    )
+    # Equal vectors are one node, with the number of its rows.
+    one = nodes.where("dim > 0").groupBy("key").agg(F.min("node").alias("node"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
+    known = cut(one, "different")
+    vectors = known.select("node", "dim", "vec", "weight")
+    search = Search(frame.sparkSession, threshold, k, k_large)
+
+    for attempt in range(1 + MAX_EXTRA):
+        joined = search.run(vectors, orders, rounds)
+        size, top = _groups(joined)
+        for number in range(MAX_THIN):
+            if top <= REPS:
+                break
+            joined = search.run(search.thin(vectors, joined, attempt * MAX_THIN + number), 1, rounds)
+            before, (size, top) = size, _groups(joined)
+            if size == before:
                 break
-        joined = cut(components(links), "components")
         members = joined.select("node", "component").join(vectors, "node")
         counted = cut(count_links(members, threshold), "counted")
         if audit(vectors, counted, threshold) >= target:
             break
-    labelled = nodes.select("node", "vec_id").join(joined, "node")
-    least = labelled.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    linked = joined.join(least, "component").join(counted, "node").select("node", "n_links", "component_id")
-    own = F.when(F.col("component_id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return nodes.select("node", "vec_id").join(linked, "node", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"),
-        F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"),
+    group = known.select("key", "node", "weight", "least").join(joined, "node", "left").join(counted, "node", "left").select(
+        "key", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")
     )
+    least = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = group.join(least, "component").select("key", F.struct("n_links", "component_id").alias("label"))
+    linked = label_rows(nodes.where("dim > 0").select("vec_id", "key", "_salt"), "key", cut(labels, "labels"), "label").select("vec_id", "label.n_links", "label.component_id")
+    rows = linked.unionByName(nodes.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    own = F.when(F.col("component_id").isNull() | (F.col("n_links") == 0), F.col("vec_id")).otherwise(F.col("component_id"))
+    return rows.select("vec_id", "n_links", own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))

@@ -124,6 +124,24 @@ def test_nn_descent_equals_brute_force(spark):
     assert nndescent.near_duplicates(none).count() == 0
 
 
+def two_groups(copies, spread, rest, dim=32):
+    """Two groups with a cosine of about 0.96 between them, among scattered vectors."""
+    rng = np.random.default_rng(6)
+    a = np.eye(dim)[0]
+    b = 0.962 * a + np.sqrt(1 - 0.962**2) * np.eye(dim)[1]
+    return np.concatenate([c + rng.standard_normal((copies, dim)) * spread for c in (a, b)] + [rng.standard_normal((rest, dim))])
+
+
+@pytest.mark.parametrize("spread, how", [(0.0, {"orders": 2}), (0.002, {"orders": 1, "k": 4, "k_large": 8})])
+def test_nn_descent_leaves_groups_that_fill_lists(spark, spread, how):
+    x = two_groups(300, spread, 1500)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # No audit: what the lists cannot see stays unseen.
+    got = {r["vec_id"]: r for r in nndescent.near_duplicates(frame, 0.95, target=0.0, **how).collect()}
+    n, lab = brute_links(x / np.linalg.norm(x, axis=1, keepdims=True), 0.95)
+    assert lab[300] == 0 and all(got[i]["n_links"] == n[i] and got[i]["component_id"] == lab[i] for i in range(600))
+
+
 def test_hmm_forward_backward_and_scores(docs, empty):
     rng = np.random.default_rng(2)
     model = hmm.Hmm(rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(5), 2).T)
