@@ -16,8 +16,11 @@
    the compared group, so no pairs of a large group are listed.
 5. Components of the links; inside each component the number of links of every
    vector is counted exactly, in double precision, by pairs of blocks.
-6. Audit: the links of a bounded sample of vectors are counted against all
-   rows; below ``target`` recall, more orders and rounds are run.
+6. Audit: the links of a sample that grows with the table are counted against
+   all rows.  Recall is averaged over vectors, so no large group hides others, in
+   each of three strata: vectors without a component, in small components, in
+   large ones.  Below ``target`` in any, more orders and rounds are run, and at
+   last an exact pass by blocks joins what the search has missed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link; equal
@@ -27,6 +30,7 @@ identifier of a component ignores nulls; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,12 +44,18 @@ from cellweave.llm.components import components, label_rows
 K, K_LARGE = 8, 32
 RUN = 64
 ORDERS = 4
-ROUNDS = 3
+#: Rounds end by convergence; this only bounds them.
+ROUNDS = 30
+UPDATED = 0.001
 SIGNS = 8
 BLOCK = 512
 AUDIT_ROWS = 256
+#: Components of more vectors than this are large ones for the audit.
+LARGE = 32
 TARGET = 0.999
 MAX_EXTRA = 2
+#: Vectors that the exact pass compares with the table at once.
+SLAB = 8192
 SEED = 11
 #: Members of a thinned group: fewer than half a list, so that lists look out of the group.
 REPS = 4
@@ -231,11 +241,22 @@ def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     return spread.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def audit(vectors: DataFrame, counted: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
-    """Share of the links of a bounded sample of vectors (by hash) that ``counted`` has."""
+def sample(vectors: DataFrame, joined: DataFrame, rows: int = AUDIT_ROWS) -> DataFrame:
+    """node, stratum, dim, vec: of each stratum by hash, ``rows`` and more as the root of the table's size."""
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    kind = joined.join(sizes, "component").select("node", F.when(F.col("n") > LARGE, 2).otherwise(1).alias("stratum"))
+    placed = vectors.join(kind, "node", "left").select("node", "dim", "vec", F.coalesce("stratum", F.lit(0)).alias("stratum"))
+    rows = rows + 4 * math.isqrt(vectors.count())
+    parts = [placed.where(F.col("stratum") == i).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(rows) for i in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("node", "stratum", "dim", "vec")
+
+
+def audit(vectors: DataFrame, joined: DataFrame, counted: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> float:
+    """The least recall of a stratum: the mean over sampled vectors with links of the share that ``counted`` has."""
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(rows).select("node", "dim", "vec").collect()
-    shared = spark.sparkContext.broadcast([(r[0], r[1], bytes(r[2])) for r in sample])
+    chosen = sample(vectors, joined, rows).collect()
+    strata = spark.createDataFrame([(r[0], r[1]) for r in chosen], "node long, stratum int")
+    shared = spark.sparkContext.broadcast([(r[0], r[2], bytes(r[3])) for r in chosen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, tuple[list, np.ndarray]] = {}
@@ -251,8 +272,52 @@ def audit(vectors: DataFrame, counted: DataFrame, threshold: float, rows: int =
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "n"])
 
     truth = vectors.select("dim", "vec", "node", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("true"))
-    found = truth.join(counted, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n_links", F.lit(0))))).first()
-    return (found[1] or 0) / found[0] if found[0] else 1.0
+    seen = truth.where(F.col("true") > 0).join(counted, "node", "left").join(strata, "node")
+    each = seen.groupBy("stratum").agg(F.avg(F.least(F.lit(1.0), F.coalesce("n_links", F.lit(0)) / F.col("true"))).alias("recall"))
+    shares = [r["recall"] for r in each.collect()]
+    shared.unpersist()
+    return min(shares, default=1.0)
+
+
+def exact_rest(vectors: DataFrame, joined: DataFrame, threshold: float, slab: int = SLAB) -> DataFrame:
+    """Links (a, b) between the components of all pairs that reach the threshold and are not in one component.
+
+    The table is read once a slab of vectors: quadratic, for what the search leaves.
+    """
+    spark = vectors.sparkSession
+    labelled = vectors.join(joined, "node", "left").select("dim", "vec", F.coalesce("component", "node").alias("component"), "node")
+    labelled = cut(labelled, "labelled")
+    parts = max(1, math.ceil(labelled.count() / slab))
+
+    def against(shared) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dims, labels, vecs = shared.value
+            by = {d: (labels[dims == d], np.frombuffer(b"".join([v for v, e in zip(vecs, dims) if e == d])).reshape(-1, d)) for d in np.unique(dims).tolist()}
+            for batch in batches:
+                own, own_labels, found = batch.column(0).to_numpy(), batch.column(2).to_numpy(), set()
+                values = batch.column(1).to_pylist()
+                for dim in np.unique(own).tolist():
+                    if dim not in by:
+                        continue
+                    other, y = by[dim]
+                    at = np.flatnonzero(own == dim)
+                    for some in np.array_split(at, math.ceil(len(at) / 512)):
+                        x = np.frombuffer(b"".join([values[i] for i in some])).reshape(-1, dim)
+                        mine = own_labels[some]
+                        i, j = np.nonzero((x @ y.T >= threshold) & (mine[:, None] != other[None, :]))
+                        found.update(zip(mine[i].tolist(), other[j].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        return run
+
+    links = None
+    for i in range(parts):
+        rows = labelled.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(parts)) == i).select("dim", "component", "vec").collect()
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [bytes(r[2]) for r in rows]))
+        new = cut(labelled.select("dim", "vec", "component").mapInArrow(against(shared), "a long, b long").distinct(), "rest")
+        shared.unpersist()
+        links = new if links is None else links.unionByName(new)
+    return links
 
 
 class Search:
@@ -296,7 +361,7 @@ class Search:
             self.take(first)
         for _ in range(rounds):
             self.rounds += 1
-            if self.take(_descend(vectors, self.lists, self.threshold, self.k, self.rounds)) <= 0.001:
+            if self.take(_descend(vectors, self.lists, self.threshold, self.k, self.rounds)) <= UPDATED:
                 break
         return cut(components(self.links), "components")
 
@@ -334,6 +399,9 @@ def near_duplicates(frame: DataFrame, threshold: float = 0.95, k: int = K, k_lar
     vectors = known.select("node", "dim", "vec", "weight")
     search = Search(frame.sparkSession, threshold, k, k_large)
 
+    def count(joined: DataFrame) -> DataFrame:
+        return cut(count_links(joined.select("node", "component").join(vectors, "node"), threshold), "counted")
+
     for attempt in range(1 + MAX_EXTRA):
         joined = search.run(vectors, orders, rounds)
         size, top = _groups(joined)
@@ -344,10 +412,12 @@ def near_duplicates(frame: DataFrame, threshold: float = 0.95, k: int = K, k_lar
             before, (size, top) = size, _groups(joined)
             if size == before:
                 break
-        members = joined.select("node", "component").join(vectors, "node")
-        counted = cut(count_links(members, threshold), "counted")
-        if audit(vectors, counted, threshold) >= target:
+        counted = count(joined)
+        if audit(vectors, joined, counted, threshold) >= target:
             break
+    else:
+        joined = cut(components(search.links.unionByName(exact_rest(vectors, joined, threshold))), "components")
+        counted = count(joined)
     group = known.select("key", "node", "weight", "least").join(joined, "node", "left").join(counted, "node", "left").select(
         "key", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")
     )

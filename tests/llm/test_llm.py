@@ -142,6 +142,20 @@ def test_nn_descent_leaves_groups_that_fill_lists(spark, spread, how):
     assert lab[300] == 0 and all(got[i]["n_links"] == n[i] and got[i]["component_id"] == lab[i] for i in range(600))
 
 
+def test_nn_descent_is_whole_where_the_search_misses(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "MAX_EXTRA", 0)
+    monkeypatch.setattr(nndescent, "MAX_THIN", 0, raising=False)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((2000, 32))
+    hot = base[:1] + rng.standard_normal((400, 32)) * 0.02
+    x = np.concatenate([base, base[1:200] + rng.standard_normal((199, 32)) * 0.2, hot])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    # No descent: the links of the hot group are nearly all links, and pairs are missed.
+    got = {r["vec_id"]: r for r in nndescent.near_duplicates(frame, 0.95, orders=1, rounds=0).collect()}
+    n, lab = brute_links(x / np.linalg.norm(x, axis=1, keepdims=True), 0.95)
+    assert all(got[i]["n_links"] == n[i] and got[i]["component_id"] == lab[i] for i in range(len(x)))
+
+
 def test_hmm_forward_backward_and_scores(docs, empty):
     rng = np.random.default_rng(2)
     model = hmm.Hmm(rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(5), 2).T)
