@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import bpe, langid, mixing, simhash
+from cellweave.llm import bpe, langid, mixing, shingles, simhash
 from cellweave.llm.common import cut, table
 from cellweave.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of SimHash links (4 words, 4 bits)."""
-    return simhash.keep_one(docs, width=4, radius=4)
+    """Keeps one document of each group of 5-word shingle similarity 0.8 or more, then of SimHash links (4 words, 4 bits)."""
+    return simhash.keep_one(shingles.keep_one(docs), width=4, radius=4)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

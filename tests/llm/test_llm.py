@@ -353,3 +353,27 @@ def test_pipeline_stages_compose(spark):
     texts = [r[0] for r in kept.select("text").collect()]
     fps = {brute_fingerprint(t) for t in texts}
     assert len(fps) == len(texts) and all((a ^ b).bit_count() > 4 for a in fps for b in fps if a < b)
+
+
+def test_pipeline_drops_near_copies_of_similarity_0_8(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(60):
+        own = rnd.choices(words, k=300)
+        copy = list(own)
+        for at in rnd.sample(range(5, 295), 6):  # about 30 of 296 shingles differ: similarity about 0.82
+            copy[at] = "new" + copy[at]
+        texts += [" ".join(own), " ".join(copy)]
+    texts += [texts[0]] * 50
+
+    def similar(a, b):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    near = [i for i in range(0, 120, 2) if similar(texts[i], texts[i + 1]) >= 0.8]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, "x") for i, t in enumerate(texts)], DOC)
+    kept = {r[0] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert len(near) > 40 and not kept & {i + 1 for i in near} and set(range(0, 120, 2)) <= kept and not kept & set(range(120, 170))
