@@ -9,18 +9,18 @@ likelihood's derivative is added while the derivative is positive and the
 fitted likelihood rises by more than half a log of the n-gram count (BIC).
 
 Defined cases: null text and text without a letter are ``und`` with score 0; so
-is every text where nothing could be learned; equal proportions go to the label
+is every text where nothing could be learned; more than ``MAX_LABELS`` labels raise; equal proportions go to the label
 first in code point order; a null identifier is not held out; repeated rows are
 judged alike; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ SMOOTHING = 0.5
 #: The model is broadcast: BUCKETS * labels * 4 bytes, for so many labels at most.
 MAX_LABELS = 512
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 SPACED = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 
 
@@ -72,10 +72,11 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
+    many = known.select(F.count_distinct("lang")).first()[0]
+    if many > MAX_LABELS:
+        raise ValueError(f"{many} labels; the model is broadcast for {MAX_LABELS} at most")
     rows = known.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     labels = sorted(rows["lang"].unique())
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"{len(labels)} labels; the model is broadcast for {MAX_LABELS} at most")
     counts = np.zeros((BUCKETS, len(labels)))
     counts[rows["cell"].to_numpy(np.int64), rows["lang"].map({x: i for i, x in enumerate(labels)}).to_numpy(np.int64)] = rows["n"]
     return labels, (counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS)
@@ -158,8 +159,10 @@ def held_out(fold: int = 2, folds: int = 4) -> "F.Column":
 def accept(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
     """The documents whose language is known, all columns; a null ``lang`` becomes the predicted one."""
     labels, prob = train(docs.where(~held_out(fold, folds)))
-    judged = predict(docs, labels, prob, tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN)
-    return judged.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    # Columns go by place, so that none clashes with what is predicted.
+    place = {c: "text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)}
+    judged = predict(docs.toDF(*place.values()), labels, prob, tuple(place.values())).where(F.col("lang_pred") != UNKNOWN)
+    return judged.select(*[(F.coalesce(n, "lang_pred") if c == "lang" else F.col(n)).alias(c) for c, n in place.items()])
 
 
 def identify(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
