@@ -11,10 +11,11 @@ Tokens: A-Z lower-cased, split at ASCII white space, then one end token.
   an unknown word), so the model gives every text a probability.
 * Baum-Welch: every pass goes over all training documents; a task turns its
   documents into expected counts (initial, transition, emission), partial sums
-  are added in a tree and the sums give the next parameters.  For training
-  only, a document is cut in segments of ``SEGMENT`` tokens, which start from
-  a distribution of their own (``resume``): tasks can then step many segments
-  together, however long the longest document is.
+  are added in a tree and the sums give the next parameters.  Documents are
+  stepped together in segments of ``SEGMENT`` tokens: the product of a segment's
+  transition matrices carries the forward values in from the segment before and
+  the backward values in from the segment after, so counts are those of whole
+  documents, and memory does not grow with the longest one.
 * Score: the scaled forward recursion over a document's symbols is its exact
   log-likelihood, plus the class terms of its rarer words.
 
@@ -39,13 +40,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cellweave.llm.common import crc_fold, cut
 from cellweave.llm.words import ascii_lower_words, count_words, text_bytes, top_words
 
 STATES = 8
 PASSES = 6
-SEGMENT = 256
+SEGMENT = 2048
+#: Matrix products are scaled after so many steps.
+SCALE_STEPS = 8
 VOCABULARY = 16_384
 LOOKUP = 200_000
 CLASSES = 2_048
@@ -58,8 +62,7 @@ SCORE_TOKENS = 4_000_000
 
 
 class Hmm(NamedTuple):
-    start: np.ndarray  # (S,) of a document
-    resume: np.ndarray  # (S,) of a later segment, in training
+    start: np.ndarray  # (S,)
     move: np.ndarray  # (S, S), rows sum to 1
     emit: np.ndarray  # (symbols, S), columns sum to 1
 
@@ -71,8 +74,7 @@ def initial(frequency: np.ndarray, states: int = STATES, seed: int = SEED) -> Hm
     move = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     if states > 1:
         np.fill_diagonal(move, 0.9)
-    even = np.full(states, 1 / states)
-    return Hmm(even, even, move, emit / emit.sum(0))
+    return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
 def grouped(sequences: list[np.ndarray], limit: int = GROUP_TOKENS) -> Iterator[np.ndarray]:
@@ -119,24 +121,74 @@ def forward(model: Hmm, symbols: np.ndarray, active: np.ndarray, begin: np.ndarr
     return loglik, alphas, scales
 
 
+def products(model: Hmm, segments: list[np.ndarray], later: np.ndarray) -> np.ndarray:
+    """(S, S, segments): what turns the forward values before a segment into those at its end, each up to a factor.
+
+    A document's first segment starts from ``start`` whatever came before.
+    """
+    states, emit = len(model.start), np.ascontiguousarray(model.emit.T)
+    out = np.empty((states, states, len(segments)))
+    for which in grouped(segments, GROUP_TOKENS // states):
+        symbols, active = _by_step(segments, which)
+        first = np.where(later[which], model.move.T[:, :, None], np.broadcast_to(model.start[:, None, None], (states, states, 1)))
+        now, at = first * emit.take(symbols[: active[0]], axis=1)[:, None, :], int(active[0])
+        for t, n in enumerate(active[1:].tolist()):
+            if n < now.shape[2]:
+                out[:, :, which[n : now.shape[2]]] = now[:, :, n:]
+                now = np.ascontiguousarray(now[:, :, :n])
+            now = (model.move.T @ now.reshape(states, -1)).reshape(states, states, n)
+            now *= emit.take(symbols[at : at + n], axis=1)[:, None, :]
+            if t % SCALE_STEPS == 0:
+                now /= now.sum((0, 1))
+            at += n
+        out[:, :, which[: now.shape[2]]] = now
+    return out
+
+
+def borders(model: Hmm, segments: list[np.ndarray], later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(S, segments) each: forward values before a segment, backward values after it (scaled; of one document in order)."""
+    before, after = np.zeros((len(model.start), len(segments))), np.ones((len(model.start), len(segments)))
+    last = np.append(~later[1:], True)
+    long_ = np.flatnonzero(later | ~last)
+    if not len(long_):
+        return before, after
+    made = products(model, [segments[i] for i in long_.tolist()], later[long_])
+    alpha = None
+    for place, i in enumerate(long_.tolist()):
+        if later[i]:
+            before[:, i] = alpha
+        alpha = made[:, :, place] @ (alpha if later[i] else model.start)
+        alpha /= alpha.sum()
+    for place in range(len(long_) - 1, -1, -1):
+        i = long_[place]
+        if not last[i]:
+            beta = made[:, :, place + 1].T @ after[:, i + 1]
+            after[:, i] = beta / beta.sum()
+    return before, after
+
+
 def expected(model: Hmm, sequences: list[np.ndarray], segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of ``sequences``: initial (documents, segments), transition, emission; their log-likelihood."""
+    """Baum-Welch counts of whole ``sequences``: initial, transition, emission; their log-likelihood."""
     states, total = len(model.start), 0.0
-    first, moves, emits = np.zeros((2, states)), np.zeros((states, states)), np.zeros_like(model.emit)
+    first, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
     cut_at = [(s, a) for s in sequences for a in range(0, len(s), segment)]
-    later = np.array([int(a > 0) for _, a in cut_at])
-    sequences = [s[a : a + segment] for s, a in cut_at]
-    begins, emit = np.stack([model.start, model.resume], 1), np.ascontiguousarray(model.emit.T)
-    for which in grouped(sequences):
-        symbols, active = _by_step(sequences, which)
-        loglik, alphas, scales = forward(model, symbols, active, begins[:, later[which]], True)
+    later = np.array([a > 0 for _, a in cut_at])
+    segments = [s[a : a + segment] for s, a in cut_at]
+    before, after = borders(model, segments, later)
+    begins = np.where(later, model.move.T @ before, model.start[:, None])
+    emit = np.ascontiguousarray(model.emit.T)
+    for which in grouped(segments):
+        symbols, active = _by_step(segments, which)
+        loglik, alphas, scales = forward(model, symbols, active, begins[:, which], True)
         total += loglik.sum()
-        gammas, at, beta = [None] * len(active), len(symbols), None
+        ends, gammas, at, beta = after[:, which], [None] * len(active), len(symbols), None
         for t in range(len(active) - 1, -1, -1):
             n = int(active[t])
-            now = np.ones((states, n))
-            if beta is not None:
-                m = beta.shape[1]
+            m = 0 if beta is None else beta.shape[1]
+            now = np.empty((states, n))
+            now[:, m:] = ends[:, m:n]
+            now[:, m:] /= (alphas[t][:, m:] * now[:, m:]).sum(0)
+            if m:
                 beta *= emit.take(symbols[at : at + m], axis=1)
                 beta /= scales[t + 1]
                 moves += alphas[t][:, :m] @ beta.T
@@ -144,8 +196,11 @@ def expected(model: Hmm, sequences: list[np.ndarray], segment: int = SEGMENT) ->
             gammas[t] = alphas[t] * now
             beta = now
             at -= n
-        for kind in (0, 1):
-            first[kind] += gammas[0][:, later[which] == kind].sum(1)
+        carried = later[which]
+        if carried.any():  # the transition into a segment
+            beta = beta * emit.take(symbols[: active[0]], axis=1) / scales[0]
+            moves += before[:, which][:, carried] @ beta[:, carried].T
+        first += gammas[0][:, ~carried].sum(1)
         gamma = np.concatenate(gammas, axis=1)
         for s in range(states):
             emits[:, s] += np.bincount(symbols, gamma[s], minlength=len(emits))
@@ -154,7 +209,7 @@ def expected(model: Hmm, sequences: list[np.ndarray], segment: int = SEGMENT) ->
 
 def maximise(first: np.ndarray, moves: np.ndarray, emits: np.ndarray, smooth: float = SMOOTH) -> Hmm:
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
-    return Hmm(*norm(first + smooth, 1), norm(moves + smooth, 1), norm(emits + smooth, 0))
+    return Hmm(norm(first + smooth, 0), norm(moves + smooth, 1), norm(emits + smooth, 0))
 
 
 def train(symbols: DataFrame, model: Hmm, passes: int = PASSES) -> tuple[Hmm, list[float]]:
@@ -174,12 +229,13 @@ def train(symbols: DataFrame, model: Hmm, passes: int = PASSES) -> tuple[Hmm, li
                 yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["sums"])
 
         parts = symbols.select("symbols").mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r[0])))
-        if parts.isEmpty():
+        try:
+            flat = parts.treeReduce(np.add)
+        except ValueError:  # no training document
             return model, logs
-        flat = parts.treeReduce(lambda a, b: a + b)
         s = len(model.start)
         logs.append(float(flat[-1]))
-        model = maximise(flat[: 2 * s].reshape(2, s), flat[2 * s : 2 * s + s * s].reshape(s, s), flat[2 * s + s * s : -1].reshape(model.emit.shape))
+        model = maximise(flat[:s], flat[s : s + s * s].reshape(s, s), flat[s + s * s : -1].reshape(model.emit.shape))
         shared.unpersist()
     return model, logs
 
@@ -249,7 +305,7 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, states: int = STATES,
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     sql_kind = docs.schema["doc_id"].dataType.simpleString()
-    kind = pa.int64() if sql_kind == "bigint" else pa.int32() if sql_kind == "int" else pa.string()
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
     coded = text_bytes(folded, "doc_id", "held_out").mapInArrow(
         encode, f"doc_id {sql_kind}, held_out boolean, n_tokens long, n_known long, base_sum double, class_sum double, symbols binary, rare array<struct<word:binary,times:bigint>>"
     )
