@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(DEFAULT_SHARED)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -46,6 +48,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """_row, text, _id (doc_id), _doc (all columns of a row of ``docs``), written once, so that numbers stay."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text"), F.col("doc_id").alias("_id"), whole.alias("_doc")), "numbered")
+
+
+def first_rows(rows: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each component of ``groups`` (_row, component) the first of ``rows`` (see ``numbered``), as it was.
+
+    First by (null id last, id, hash of the text, hash of the row), so that reruns agree however rows are dealt.
+    """
+    content = F.to_json("_doc") if "map<" in rows.schema["_doc"].dataType.simpleString() else F.col("_doc")  # maps have no hash
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(content).alias("doc"), "_row")
+    named = rows.select("_row", order.alias("first")).join(groups, "_row")
+    stay = cut(named.groupBy("component").agg(F.min("first").alias("first")).select("first._row"), "stay")
+    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path on whatever file system holds it."""
     jvm = spark.sparkContext._jvm

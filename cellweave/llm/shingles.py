@@ -19,13 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut
-from cellweave.llm.components import components
+from cellweave.llm.common import cut, first_rows, numbered
+from cellweave.llm.components import components, label_rows
 from cellweave.llm.words import text_bytes
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 3
 STARS = 3
+SALTS = 64
 SEED = 42
 
 
@@ -115,13 +116,11 @@ def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: i
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id, then the first row."""
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    signed = cut(_signed(numbered), "signed")
-    named = numbered.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("first"))
-    known = signed.join(named, "_row").groupBy("key").agg(F.min("_row").alias("node"), F.min("first").alias("first"), F.first("bands").alias("bands"))
-    known = cut(known, "sets")
-    joined = link(known.select("node", "bands"), text_bytes(numbered, "_row"), least)
-    group = known.select("key", "node", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    stay = group.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return numbered.join(cut(stay, "stay"), "_row", "left_semi").select(*docs.columns)
+    """``docs`` with one document of each component: the first by (null id last, doc_id, hash of the text, hash of the row)."""
+    rows = numbered(docs)
+    signed = cut(_signed(rows), "signed")
+    known = cut(signed.groupBy("key").agg(F.min("_row").alias("node"), F.first("bands").alias("bands")), "sets")
+    joined = link(known.select("node", "bands"), text_bytes(rows, "_row"), least)
+    group = known.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    salted = signed.select("_row", "key").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
+    return first_rows(rows, label_rows(salted, "key", group, "component").select("_row", "component"), docs.columns)

@@ -14,7 +14,7 @@ within the radius; what a search finds leaves the tree, so a group of m near
 copies costs m spanning links, not m * m pairs.  A shard with more than
 ``chunk`` members is split: its chunks have trees of their own, and those trees
 meet the other chunks by a broadcast join while their bytes stay below
-``broadcast_bytes``, by a shuffled join beyond that.
+``broadcast_bytes``, by a join on (shard, pair of chunks) beyond that.
 
 Defined cases: null text, empty text and text without words have fingerprint 0,
 which links like any other; fewer than ``width`` words are one shingle; repeated
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut
+from cellweave.llm.common import cut, first_rows, numbered
 from cellweave.llm.components import components, label_rows
 from cellweave.llm.words import text_bytes
 
@@ -252,11 +252,15 @@ def link(distinct: DataFrame, radius: int = 4, agree: int | None = None, chunk:
 
     split = trees.where("chunk >= 0")
     size = split.agg(F.sum(F.size("fps") * 16)).first()[0] or 0
-    shard_trees = F.broadcast(split) if size <= broadcast_bytes else split
-    others = split.select("key", F.col("chunk").alias("other"), F.col("fps").alias("other_fps"), F.col("roots").alias("other_roots"))
-    others = others.repartition("key", "other")
-    pairs = others.join(shard_trees, "key").where("chunk < other").select("fps", "roots", "other_fps", "other_roots")
-    return local.unionByName(pairs.mapInArrow(meet, "a long, b long"))
+    trees_of = split.select("key", F.col("chunk").alias("i"), "fps", "roots")
+    others = split.select("key", F.col("chunk").alias("j"), F.col("fps").alias("other_fps"), F.col("roots").alias("other_roots"))
+    if size <= broadcast_bytes:
+        pairs = others.repartition("key", "j").join(F.broadcast(trees_of), "key").where("i < j")
+    else:  # every pair of chunks is a key of its own
+        pairs = trees_of.join(large, "key").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("i < j").drop("parts").join(
+            others.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).where("i < j"), ["key", "i", "j"]
+        )
+    return local.unionByName(pairs.select("fps", "roots", "other_fps", "other_roots").mapInArrow(meet, "a long, b long"))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -284,17 +288,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, **how) ->
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, **how) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id.
-
-    Where identifiers repeat or are null, documents are told apart by a row
-    number instead, and the first row of a component stays.
-    """
-    n, different = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    if n == different:
-        groups = near_duplicates(docs, width, radius, **how)
-        gone = cut(groups.where("doc_id <> component_id").select("doc_id"), "dropped")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), width, radius, **how)
-    gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "dropped")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component: the first by (null id last, doc_id, hash of the text, hash of the row)."""
+    rows = numbered(docs)
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, radius, **how)
+    groups = groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
+    return first_rows(rows, groups, docs.columns)
