@@ -1,8 +1,9 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text's terms are its words (A-Z lower-cased, split at ASCII white space; words
-of more than ``LONG`` bytes in pieces of ``PIECE``), weighted by the bytes they
-cover.  For each of ``SAMPLES`` independent draws a term x of weight w gets, from
+A text's terms are its words (A-Z lower-cased, split at ASCII white space),
+weighted by the bytes they cover.  Of words of more than ``LONG`` bytes (scripts
+without spaces, codes) the terms are all runs of ``GRAM`` code points, which share
+the word's bytes, so that a change touches its own place only.  For each of ``SAMPLES`` independent draws a term x of weight w gets, from
 hashes of (term, draw) alone, r and c ~ Gamma(2, 1) and b ~ U(0, 1);
 t = floor(ln w / r + b), ln a = ln c - r (t - b + 1), and the smallest a names the
 sample (x, t).  Two texts draw the same sample with the probability of their
@@ -38,7 +39,7 @@ from cellweave.llm.common import cut
 from cellweave.llm.words import text_bytes
 
 SAMPLES = 64
-LONG, PIECE = 32, 8
+LONG, GRAM = 32, 4
 SEED = 0
 #: Documents are fingerprinted in runs of about so many bytes.
 RUN_BYTES = 1 << 20
@@ -69,13 +70,14 @@ def draws(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.nda
 def terms_of(text: bytes) -> Counter:
     """Weighted terms of a whole text: bytes covered by each."""
     own = Counter(text.lower().split())
-    if any(len(w) > LONG for w in own):
-        out: Counter = Counter()
-        for w, n in own.items():
-            for p in [w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w), PIECE)]:
-                out[p] += n
-        own = out
-    return Counter({w: n * len(w) for w, n in own.items()})
+    out = Counter({w: n * len(w) for w, n in own.items()})
+    for w in [w for w in own if len(w) > LONG]:
+        points = w.decode("utf-8", "replace")
+        grams = Counter(points[i : i + GRAM] for i in range(len(points) - GRAM + 1))
+        share = out.pop(w) / sum(grams.values())
+        for g, n in grams.items():
+            out[g.encode()] += n * share
+    return out
 
 
 def signatures(texts: Sequence[bytes], samples: int = SAMPLES) -> np.ndarray:
