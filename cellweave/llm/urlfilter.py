@@ -111,10 +111,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", large
         if large == "join":
             return judge_by_join(pages, rules, default)
         raise ValueError(f"{len(rules)} rules are more than a broadcast trie may hold; pass large='join'")
-    shared = pages.sparkSession.sparkContext.broadcast([tuple(r) for r in rules])
+    shared = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = build_trie([Rule(*r) for r in shared.value])
+        trie = shared.value
         for batch in batches:
             hosts, paths, texts, verdicts = [], [], [], []
             for url in batch.column(1).to_pylist():
