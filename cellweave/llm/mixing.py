@@ -17,7 +17,7 @@ of the identifier orders them.  Hot (source, size) groups are ranked in pieces.
 
 Defined cases: null text and text without words have size 0, one copy and take
 nothing; a null source is a source of its own, ordered last; sources without
-words have target 0; repeated documents are mixed as separate rows; an empty
+words have target 0; more than ``MAX_SOURCES`` sources raise; repeated documents are mixed as separate rows; an empty
 table gives no rows.
 """
 
@@ -35,7 +35,7 @@ from cellweave.llm.common import cut
 #: Rows of a (source, size) group that one window partition ranks, about.
 PIECE_ROWS = 1024
 #: A (source, size) table of up to so many rows of 64 bytes is broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 #: One multiplier a source is kept on the driver, for so many sources at most.
 MAX_SOURCES = 100_000
 
@@ -68,13 +68,15 @@ def targets_for(sources: Sequence[tuple], weights: Sequence[float], max_copies:
     return [out[i] for i in range(len(sources))]
 
 
-def solve_dual(histogram: DataFrame, targets: DataFrame, max_copies: int, iterations: int = 60, tolerance: float = 1e-9) -> dict:
+def solve_dual(histogram: DataFrame, targets: DataFrame, max_copies: int, iterations: int = 200, tolerance: float = 1e-9) -> dict:
     """Multipliers by distributed, safeguarded Newton steps.
 
     ``histogram``: source_key, size, n; ``targets``: source_key, source_size,
     source_docs, target.  Returns source_key -> lambda (one entry a source).
     Each iteration aggregates value and slope of the dual's gradient on the
     executors; bisection bounds keep the step where the cap flattens the slope.
+    A source is solved within ``tolerance`` of its size, or where its bounds leave
+    no number between them; what is still open after ``iterations`` raises.
     """
     spark = histogram.sparkSession
     info = {r["source_key"]: r for r in targets.collect()}  # one row a source
@@ -89,12 +91,14 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, max_copies: int, iterat
             lam[k] = np.inf
         else:
             open_.add(k)
-    scaled = histogram.join(F.broadcast(targets.select("source_key", (F.col("source_size") / F.col("source_docs")).alias("mean"))), "source_key").select(
+    scaled = cut(histogram.join(F.broadcast(targets.select("source_key", (F.col("source_size") / F.col("source_docs")).alias("mean"))), "source_key").select(
         "source_key", (F.col("size") / F.col("mean")).alias("x"), "size", "n"
-    ).where("size > 0")
-    for _ in range(iterations):
+    ).where("size > 0").coalesce(8), "scaled")
+    for number in range(iterations + 1):
         if not open_:
             break
+        if number == iterations:
+            raise RuntimeError(f"{len(open_)} sources unsolved after {iterations} Newton steps")
         now = spark.createDataFrame([(k, float(lam[k])) for k in sorted(open_)], "source_key int, lam double")
         rate = F.least(F.exp(F.least(F.col("lam") * F.col("x"), F.lit(600.0))), F.lit(float(max_copies)))
         moved = scaled.join(F.broadcast(now), "source_key").select(
@@ -111,6 +115,8 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, max_copies: int, iterat
             if not low[k] < step < high[k]:
                 if np.isfinite(low[k]) and np.isfinite(high[k]):
                     step = (low[k] + high[k]) / 2
+                    if step in (low[k], high[k]):
+                        open_.discard(k)
                 else:
                     step = lam[k] + (1.0 if gap < 0 else -1.0) * max(1.0, abs(lam[k]))
             lam[k] = float(step)
@@ -149,9 +155,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int =
     if not keep:
         sized = cut(sized, "sizes")  # texts are read once
     by = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    sources = [tuple(r) for r in by.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")).collect()]
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"{len(sources)} sources; the dual is solved for {MAX_SOURCES} at most")
+    totals = cut(by.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")), "sources")
+    if (many := totals.count()) > MAX_SOURCES:
+        raise ValueError(f"{many} sources; the dual is solved for {MAX_SOURCES} at most")
+    sources = [tuple(r) for r in totals.collect()]
     sources.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     goals = targets_for([(r[0], r[1]) for r in sources], weights, max_copies, share)
     spark = docs.sparkSession
