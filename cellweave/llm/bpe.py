@@ -53,6 +53,11 @@ class Vocabulary:
 
     def __init__(self, text: str) -> None:
         spec = json.loads(text)
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+            raise ValueError("this encoder is for byte-level tokenizers without a normaliser")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens must stand for themselves alone")
         model, alphabet = spec["model"], byte_alphabet()
         byte_of = {c: b for b, c in enumerate(alphabet)}
         vocab = model["vocab"]
