@@ -32,6 +32,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from json import loads
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import read_blobs, scratch, write_blobs
+from cellweave.llm.common import cut, read_blobs, scratch, write_blobs
 from cellweave.llm.words import TwoGenerations, text_bytes
 
 MAGIC = b"CWSST01\n"
@@ -49,6 +50,13 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 24 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 
+#: The splitters and normalisers for which texts may be cut at white space, and plain words be coded by the model alone.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+WORD_NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: Words that need no normalisation beyond lower case and one optional stop.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([.,]?)")
 
@@ -72,6 +80,9 @@ class WordCoder:
     def __init__(self, json: str, memo: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
+        spec = loads(json)
+        if (spec["pre_tokenizer"] or {}).get("pretokenizers") != WORD_SPLITTERS or (spec["normalizer"] or {}).get("normalizers") != WORD_NORMALISERS:
+            raise ValueError("this encoder is for tokenizers that lower-case and drop white space")
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -305,14 +316,15 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """shard, first_key, doc_id, place (rank in the shard), before (ids before it in the shard), ids (packed), width."""
+    """shard, first_key (of the shard, at place 0), doc_id, place (rank in the shard), before (ids before it in the shard), n_tokens, ids (packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shard, seen, rows = Shard(content.as_py()), 0, []
+                first = shard.block(0)[0]
                 for place, (doc_id, ids) in enumerate(shard):
-                    rows.append((name, doc_id, place, seen, len(ids), ids.astype("<u4").tobytes()))
+                    rows.append((name, None if place else first, doc_id, place, seen, len(ids), ids.astype("<u4").tobytes()))
                     seen += len(ids)
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
@@ -320,35 +332,26 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
 
-    names = ("shard", "doc_id", "place", "before", "n_tokens", "ids")
-    schema = pa.schema([("shard", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    names = ("shard", "first_key", "doc_id", "place", "before", "n_tokens", "ids")
+    schema = pa.schema([("shard", pa.string()), ("first_key", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     return read_blobs(spark, path).select("path", "content").mapInArrow(
-        run, "shard string, doc_id long, place long, before long, n_tokens long, ids binary"
+        run, "shard string, first_key binary, doc_id long, place long, before long, n_tokens long, ids binary"
     )
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """shard, shard_start: ids in the shards before it (one row a file)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = Shard(content.as_py())
-                first, last = shard.block(0)[0], shard.ids
-                yield pa.RecordBatch.from_pylist([{"shard": name, "first_key": first, "ids": last}], schema=schema)
-
-    schema = pa.schema([("shard", pa.string()), ("first_key", pa.binary()), ("ids", pa.int64())])
-    heads = read_blobs(spark, path).select("path", "content").mapInArrow(run, "shard string, first_key binary, ids long")
+def shard_starts(rows: DataFrame) -> DataFrame:
+    """shard, shard_start: ids in the shards before it (one row a file), from ``read_documents``."""
+    heads = rows.groupBy("shard").agg(F.min("first_key").alias("first_key"), F.max(F.col("before") + F.col("n_tokens")).alias("ids"))
     ordered = Window.orderBy("first_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
     return heads.select("shard", F.coalesce(F.sum("ids").over(ordered), F.lit(0)).alias("shard_start"))
 
 
-def digest(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
-    """Write, read back, and return doc_id, start, n_tokens, ids_crc32 per document."""
+def digest(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, **how) -> DataFrame:
+    """Write, read back (once), and return doc_id, start, n_tokens, ids_crc32 per document."""
     spark = docs.sparkSession
     path = path or scratch(spark, "sstable")
-    write_shards(docs, path, tokenizer, end_id)
-    rows = read_documents(spark, path).select("shard", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return rows.join(shard_starts(spark, path), "shard").select(
+    write_shards(docs, path, tokenizer, end_id, **how)
+    rows = cut(read_documents(spark, path).select("shard", "first_key", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32")), "shardrows")
+    return rows.join(shard_starts(rows), "shard").select(
         "doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
