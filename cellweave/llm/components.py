@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import remove, scratch
 
 
+#: A node's links are spread over so many join keys.
+SALTS = 16
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) with ``m``, the smallest v of each u, joined per (u, salt): no node's links meet in one task."""
+    salted = links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))  # at most SALTS entries
+    return salted.join(least.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
+
+
 def _round(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    down = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
+    large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    down = _with_least(large)
+    # A node's link to its least neighbour, and its other neighbours' links to that one.
+    return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
