@@ -31,6 +31,7 @@ without training documents every word is unknown; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ from cellweave.llm.words import ascii_lower_words, count_words, text_bytes, top_
 
 STATES = 8
 PASSES = 6
-SEGMENT = 2048
+SEGMENT = 65_536
 #: Matrix products are scaled after so many steps.
 SCALE_STEPS = 8
 VOCABULARY = 16_384
@@ -57,7 +58,7 @@ SEED = 17
 #: Expected counts are smoothed by so much per cell.
 SMOOTH = 0.05
 #: Sequences are stepped together in groups of about so many tokens.
-GROUP_TOKENS = 400_000
+GROUP_TOKENS = 800_000
 SCORE_TOKENS = 4_000_000
 
 
@@ -181,7 +182,7 @@ def expected(model: Hmm, sequences: list[np.ndarray], segment: int = SEGMENT) ->
         symbols, active = _by_step(segments, which)
         loglik, alphas, scales = forward(model, symbols, active, begins[:, which], True)
         total += loglik.sum()
-        ends, gammas, at, beta = after[:, which], [None] * len(active), len(symbols), None
+        ends, at, beta = after[:, which], len(symbols), None
         for t in range(len(active) - 1, -1, -1):
             n = int(active[t])
             m = 0 if beta is None else beta.shape[1]
@@ -193,15 +194,15 @@ def expected(model: Hmm, sequences: list[np.ndarray], segment: int = SEGMENT) ->
                 beta /= scales[t + 1]
                 moves += alphas[t][:, :m] @ beta.T
                 now[:, :m] = model.move @ beta
-            gammas[t] = alphas[t] * now
+            alphas[t] *= now  # from here on the probabilities of states
             beta = now
             at -= n
         carried = later[which]
         if carried.any():  # the transition into a segment
             beta = beta * emit.take(symbols[: active[0]], axis=1) / scales[0]
             moves += before[:, which][:, carried] @ beta[:, carried].T
-        first += gammas[0][:, ~carried].sum(1)
-        gamma = np.concatenate(gammas, axis=1)
+        first += alphas[0][:, ~carried].sum(1)
+        gamma = np.concatenate(alphas, axis=1)
         for s in range(states):
             emits[:, s] += np.bincount(symbols, gamma[s], minlength=len(emits))
     return first, moves * model.move, emits, total
@@ -274,28 +275,39 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, states: int = STATES,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, frequent, room, n_docs = shared.value
-        symbol, of_class = dict(frequent), {}
-        whole = {w: np.log10(c + 1) for w, c in table.items()}
+        free = room.tolist()
+        facts: dict[bytes, tuple] = {}
+
+        def fact(w: bytes) -> tuple:
+            """Symbol, log of the count (None: not in the table), whether known, log share of its class."""
+            count, s = table.get(w), frequent.get(w)
+            value = None if count is None else math.log10(count + 1)
+            if s is not None:
+                found = s, value, True, 0.0
+            else:
+                c = zlib.crc32(w[-3:]) % classes
+                found = end + 1 + c, value, bool(count), (value or 0.0) - free[c]
+            if count is not None:
+                facts[w] = found
+            return found
+
         schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("class_sum", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
         for batch in batches:
             rows = []
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = text.as_py().lower().split()
                 own = Counter(words)
-                n_known, base, inside, rare, ids = int(n_docs > 0), float(np.log10(n_docs + 1)), 0.0, [], {}
+                n_known, base, inside, rare, ids = int(n_docs > 0), math.log10(n_docs + 1), 0.0, [], {}
                 for w, n in own.items():
-                    value = whole.get(w)
+                    s, value, known, share = facts.get(w) or fact(w)
+                    ids[w] = s
+                    inside += n * share
                     if value is None:
                         rare.append({"word": w, "times": n})
                     else:
                         base += n * value
-                        n_known += n if table[w] else 0
-                    s = symbol.get(w)
-                    if s is None:
-                        c = zlib.crc32(w[-3:]) % classes
-                        s = end + 1 + c
-                        inside += n * ((value or 0.0) - room[c])
-                    ids[w] = s
+                        if known:
+                            n_known += n
                 packed = np.array([*map(ids.__getitem__, words), end], "<u2").tobytes()
                 rows.append((doc_id, held, len(words) + 1, n_known, base, inside, packed, rare))
                 if len(rows) == 500:
