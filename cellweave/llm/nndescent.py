@@ -2,16 +2,16 @@
 
 0. Equal vectors are one node with a weight.
 1. Start: vectors are sorted by (signs of random projections, one more
-   projection), and runs of ``RUN`` neighbours in that order are compared; a few
-   such orders give every vector its first neighbour list.
+   projection), and overlapping runs of ``RUN`` neighbours in that order are
+   compared; a few such orders give every vector its first neighbour list.
 2. Descent: every vector is a centre; its neighbours and the vectors that have
    it as neighbour are compared with each other, and what is nearer than a
    list's last entry enters.  Long reverse lists are dealt out in chunks, anew
    each round, with the centre in every chunk.
 3. Lists hold ``k`` entries; a list that is saturated (all entries above the
    threshold) is enlarged up to ``k_large``.  Groups that fill lists with their own
-   members are then thinned to ``REPS`` members each, others every pass, and the
-   search goes on from the lists among what is left, until a pass joins nothing.
+   members are thinned to ``REPS`` members each, others every pass.  A pass thins,
+   descends and brings in new random orders; passes go on until one joins nothing.
 4. Every comparison that reaches the threshold gives links, as spanning links of
    the compared group, so no pairs of a large group are listed.
 5. Components of the links; inside each component the number of links of every
@@ -19,8 +19,8 @@
 6. Audit: the links of a sample that grows with the table are counted against
    all rows.  Recall is averaged over vectors, so no large group hides others, in
    each of three strata: vectors without a component, in small components, in
-   large ones.  Below ``target`` in any, more orders and rounds are run, and at
-   last an exact pass by blocks joins what the search has missed.
+   large ones.  Below ``target`` in any, more passes are run, and at last an
+   exact comparison by pairs of blocks joins what the search has missed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link; equal
@@ -31,7 +31,7 @@ identifier of a component ignores nulls; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,24 +42,24 @@ from cellweave.llm.common import cut, remove, scratch
 from cellweave.llm.components import components, label_rows
 
 K, K_LARGE = 8, 32
+#: Runs of an order; they overlap by half.
 RUN = 64
 ORDERS = 4
-#: Rounds end by convergence; this only bounds them.
+#: Passes end when one joins nothing; this only bounds them.
 ROUNDS = 30
-UPDATED = 0.001
 SIGNS = 8
-BLOCK = 512
+#: Rows of a block of the exact comparisons; a tile holds two blocks.
+BLOCK = 1024
+#: Rows that a task sorts for an order, at least.
+ORDER_ROWS = 2048
 AUDIT_ROWS = 256
 #: Components of more vectors than this are large ones for the audit.
 LARGE = 32
 TARGET = 0.999
 MAX_EXTRA = 2
-#: Vectors that the exact pass compares with the table at once.
-SLAB = 8192
 SEED = 11
 #: Members of a thinned group: fewer than half a list, so that lists look out of the group.
 REPS = 4
-MAX_THIN = 8
 SALTS = 64
 
 
@@ -86,7 +86,7 @@ def unit_vectors(frame: DataFrame) -> DataFrame:
     )
 
 
-def group_links(sims: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+def group_links(sims: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of the pairs at ``threshold`` or more (positions)."""
     near = sims >= threshold
     np.fill_diagonal(near, True)
@@ -97,46 +97,56 @@ def group_links(sims: np.ndarray, threshold: float) -> list[tuple[int, int]]:
             break
         label = new
     # A label is reached over links, but need not be linked directly: the components of the group are what counts.
-    return [(i, int(label[i])) for i in np.flatnonzero(label != np.arange(n)).tolist()]
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
 
 
-def compare(nodes: np.ndarray, x: np.ndarray, worst: np.ndarray, threshold: float, k: int) -> tuple[list, list]:
-    """Candidates (node, other, sim) better than ``worst``, at most ``k`` a node; spanning links."""
+def compare(nodes: np.ndarray, x: np.ndarray, worst: np.ndarray, threshold: float, k: int) -> list[np.ndarray]:
+    """Candidates (node, other, sim) better than ``worst``, at most ``k`` a node; spanning links (node, other)."""
     sims = x @ x.T
-    links = group_links(sims, threshold) if len(nodes) > 1 and (sims - 2 * np.eye(len(nodes)) >= threshold).any() else []
     np.fill_diagonal(sims, -2)
+    none = np.zeros(0, np.int64)
+    i, j = group_links(sims.copy(), threshold) if (sims >= threshold).any() else (none, none)
     if len(nodes) - 1 > k:
-        at = np.argpartition(-sims, k, axis=1)[:, :k]
+        cols = np.argpartition(-sims, k - 1, axis=1)[:, :k].ravel()
         rows = np.repeat(np.arange(len(nodes)), k)
     else:
-        at = np.tile(np.arange(len(nodes)), (len(nodes), 1))
-        rows = np.repeat(np.arange(len(nodes)), len(nodes))
-    cols = at.ravel()
+        rows, cols = np.nonzero(sims > -2)
     value = sims[rows, cols]
     good = value > worst[rows]
-    return list(zip(nodes[rows[good]].tolist(), nodes[cols[good]].tolist(), value[good].tolist())), [(int(nodes[i]), int(nodes[j])) for i, j in links]
+    return [nodes[rows[good]], nodes[cols[good]], value[good], nodes[i], nodes[j]]
 
 
 SCHEMA = pa.schema([("kind", pa.int8()), ("n", pa.int64()), ("m", pa.int64()), ("s", pa.float64())])
 
 
-def _emit(cands: list, links: list) -> pa.RecordBatch:
-    rows = [(0, a, b, s) for a, b, s in cands] + [(1, a, b, 1.0) for a, b in links]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+def _emit(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+    n, m, s, a, b = (np.concatenate(c) for c in zip(*found))
+    kind = np.repeat(np.array([0, 1], np.int8), [len(n), len(a)])
+    columns = [kind, np.concatenate([n, a]), np.concatenate([m, b]), np.concatenate([s, np.ones(len(a))])]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int | None) -> Iterator[list[tuple]]:
-    """Groups of rows that agree on the first ``keys`` columns, of at most ``limit`` rows."""
-    held, last = [], None
+    """Groups of rows that agree on the first ``keys`` columns.
+
+    With a ``limit``, longer groups come as windows of so many rows that overlap by half.
+    """
+    held, last, fresh = [], None, 0
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
             key = row[:keys]
-            if held and (key != last or limit and len(held) >= limit):
+            if key != last:
+                if fresh:
+                    yield held
+                held, fresh = [], 0
+            elif limit and len(held) >= limit:
                 yield held
-                held = []
+                held, fresh = held[limit // 2 :], 0
             held.append(row)
+            fresh += 1
             last = key
-    if held:
+    if fresh:
         yield held
 
 
@@ -144,43 +154,44 @@ def _local(threshold: float, k: int, limit: int | None) -> Callable:
     """Compare inside groups of sorted rows (dim, key, chunk, node, worst, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cands, links = [], []
+        found, size = [], 0
         for group in _runs(batches, 3, limit):
             by = {r[3]: r for r in group}  # a node may come by two ways
             if len(by) < 2:
                 continue
             rows = list(by.values())
             x = np.frombuffer(b"".join([r[5] for r in rows])).reshape(len(rows), -1)
-            c, l = compare(np.array([r[3] for r in rows]), x, np.array([r[4] for r in rows]), threshold, k)
-            cands += c
-            links += l
-            if len(cands) > 20_000:
-                yield _emit(cands, links)
-                cands, links = [], []
-        if cands or links:
-            yield _emit(cands, links)
+            found.append(compare(np.array([r[3] for r in rows]), x, np.array([r[4] for r in rows]), threshold, k))
+            size += len(found[-1][0])
+            if size > 50_000:
+                yield _emit(found)
+                found, size = [], 0
+        if found:
+            yield _emit(found)
 
     return run
 
 
-def _order(vectors: DataFrame, number: int, threshold: float, k: int) -> DataFrame:
-    """Comparisons along one random order."""
+def _order(vectors: DataFrame, number: int, parts: int, threshold: float, k: int) -> DataFrame:
+    """Comparisons along one random order: overlapping runs of neighbours."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        bit = 1 << np.arange(SIGNS)
         for batch in batches:
-            keys, places = [], []
-            for dim, vec in zip(batch.column(0).to_pylist(), batch.column(2)):
+            dims, vecs = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            keys, places = np.zeros(len(dims), np.int64), np.zeros(len(dims))
+            for dim in np.unique(dims).tolist():
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([SEED, number, dim]).standard_normal((SIGNS + 1, dim))
-                p = planes[dim] @ np.frombuffer(vec.as_py())
-                keys.append(int((p[:SIGNS] > 0) @ (1 << np.arange(SIGNS))))
-                places.append(float(p[SIGNS]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(places)], names=["dim", "node", "vec", "key", "place"])
+                at = np.flatnonzero(dims == dim)
+                p = np.frombuffer(b"".join([vecs[i] for i in at])).reshape(len(at), dim) @ planes[dim].T
+                keys[at], places[at] = (p[:, :SIGNS] > 0) @ bit, p[:, SIGNS]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), pa.array(places)], names=["dim", "node", "vec", "key", "place"])
 
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = vectors.select("dim", "node", "vec").mapInArrow(project, "dim int, node long, vec binary, key long, place double")
-    dealt = dealt.repartitionByRange(parts, "dim", "key", "place").sortWithinPartitions("dim", "key", "place", "node")
+    tie = F.xxhash64("node", F.lit(number))  # equal places are cut elsewhere in each order
+    dealt = dealt.withColumn("tie", tie).repartitionByRange(parts, "dim", "key", "place", "tie").sortWithinPartitions("dim", "key", "place", "tie")
     # One key of equal zeros: runs go on over the borders of sign cells.
     return dealt.select("dim", F.lit(0).alias("k"), F.lit(0).alias("c"), "node", F.lit(-2.0).alias("worst"), "vec").mapInArrow(
         _local(threshold, k, RUN), "kind byte, n long, m long, s double"
@@ -210,35 +221,42 @@ def _descend(vectors: DataFrame, lists: DataFrame, threshold: float, k: int, num
     return rows.mapInArrow(_local(threshold, k, None), "kind byte, n long, m long, s double")
 
 
-def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """node, n_links: exact weights of linked others inside each component (component, dim, node, vec, weight), by pairs of blocks."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    placed = members.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = placed.select("component", "node", "vec", "weight", "b", other.alias("o")).select(
-        "component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("right"), "node", "vec", "weight"
+def _tiles(members: DataFrame, group: str, columns: Sequence[str], block: int) -> DataFrame:
+    """Rows of each group in pairs of blocks (group, i, j, right, node, vec, columns), sorted by tile."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    placed = members.join(sizes, group).withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        group, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).alias("right"), "node", "vec", *columns
     )
-    spread = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "right")
+    return spread.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "right")
+
+
+def _sides(group: list[tuple]) -> Iterator[tuple[list[tuple], list[tuple], np.ndarray, bool]]:
+    """The two sides of a tile, their cosines and whether they are one block."""
+    same = group[0][1] == group[0][2]
+    left = [r for r in group if not r[3]]
+    right = left if same else [r for r in group if r[3]]
+    if left and right:
+        a = np.frombuffer(b"".join([r[5] for r in left])).reshape(len(left), -1)
+        b = a if same else np.frombuffer(b"".join([r[5] for r in right])).reshape(len(right), -1)
+        yield left, right, a @ b.T, same
+
+
+def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """node, n_links: exact weights of linked others inside each component (component, node, vec, weight), by pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3, None):
-            same = group[0][1] == group[0][2]
-            left = [r for r in group if not r[3]]
-            right = left if same else [r for r in group if r[3]]
-            if not left or not right:
-                continue
-            a = np.frombuffer(b"".join([r[5] for r in left])).reshape(len(left), -1)
-            b = a if same else np.frombuffer(b"".join([r[5] for r in right])).reshape(len(right), -1)
-            near = a @ b.T >= threshold
-            of = lambda rows: np.array([r[6] for r in rows], np.int64)
-            if same:
-                np.fill_diagonal(near, False)
-                found = list(zip([r[4] for r in left], (near @ of(left)).tolist()))
-            else:
-                found = [*zip([r[4] for r in left], (near @ of(right)).tolist()), *zip([r[4] for r in right], (of(left) @ near).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["node", "n"])
+            for left, right, sims, same in _sides(group):
+                near, of = sims >= threshold, lambda rows: np.array([r[6] for r in rows], np.int64)
+                if same:
+                    np.fill_diagonal(near, False)
+                nodes, counts = [r[4] for r in left], near @ of(right)
+                if not same:
+                    nodes, counts = nodes + [r[4] for r in right], np.concatenate([counts, of(left) @ near])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts)], names=["node", "n"])
 
-    return spread.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+    return _tiles(members, "component", ["weight"], block).mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
 def sample(vectors: DataFrame, joined: DataFrame, rows: int = AUDIT_ROWS) -> DataFrame:
@@ -279,113 +297,100 @@ def audit(vectors: DataFrame, joined: DataFrame, counted: DataFrame, threshold:
     return min(shares, default=1.0)
 
 
-def exact_rest(vectors: DataFrame, joined: DataFrame, threshold: float, slab: int = SLAB) -> DataFrame:
+def exact_rest(vectors: DataFrame, joined: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the components of all pairs that reach the threshold and are not in one component.
 
-    The table is read once a slab of vectors: quadratic, for what the search leaves.
+    All pairs of blocks are compared: quadratic, for what the search leaves.
     """
-    spark = vectors.sparkSession
-    labelled = vectors.join(joined, "node", "left").select("dim", "vec", F.coalesce("component", "node").alias("component"), "node")
-    labelled = cut(labelled, "labelled")
-    parts = max(1, math.ceil(labelled.count() / slab))
-
-    def against(shared) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dims, labels, vecs = shared.value
-            by = {d: (labels[dims == d], np.frombuffer(b"".join([v for v, e in zip(vecs, dims) if e == d])).reshape(-1, d)) for d in np.unique(dims).tolist()}
-            for batch in batches:
-                own, own_labels, found = batch.column(0).to_numpy(), batch.column(2).to_numpy(), set()
-                values = batch.column(1).to_pylist()
-                for dim in np.unique(own).tolist():
-                    if dim not in by:
-                        continue
-                    other, y = by[dim]
-                    at = np.flatnonzero(own == dim)
-                    for some in np.array_split(at, math.ceil(len(at) / 512)):
-                        x = np.frombuffer(b"".join([values[i] for i in some])).reshape(-1, dim)
-                        mine = own_labels[some]
-                        i, j = np.nonzero((x @ y.T >= threshold) & (mine[:, None] != other[None, :]))
-                        found.update(zip(mine[i].tolist(), other[j].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
-        return run
-
-    links = None
-    for i in range(parts):
-        rows = labelled.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(parts)) == i).select("dim", "component", "vec").collect()
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [bytes(r[2]) for r in rows]))
-        new = cut(labelled.select("dim", "vec", "component").mapInArrow(against(shared), "a long, b long").distinct(), "rest")
-        shared.unpersist()
-        links = new if links is None else links.unionByName(new)
-    return links
+    labelled = cut(vectors.join(joined, "node", "left").select("dim", "node", "vec", F.coalesce("component", "node").alias("component")), "labelled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 3, None):
+            for left, right, sims, _ in _sides(group):
+                a, b = (np.array([r[6] for r in rows], np.int64) for rows in (left, right))
+                i, j = np.nonzero((sims >= threshold) & (a[:, None] != b[None, :]))
+                found = np.unique(np.stack([a[i], b[j]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    return cut(_tiles(labelled, "dim", ["component"], block).mapInArrow(run, "a long, b long").distinct(), "rest")
 
 
 class Search:
     """Neighbour lists and links; what a round no longer needs is deleted."""
 
-    def __init__(self, spark, threshold: float, k: int, k_large: int) -> None:
-        self.spark, self.threshold, self.k, self.k_large = spark, threshold, k, k_large
+    def __init__(self, vectors: DataFrame, threshold: float, k: int, k_large: int) -> None:
+        self.spark, self.vectors, self.live = vectors.sparkSession, vectors, vectors
+        self.threshold, self.k, self.k_large = threshold, k, k_large
         self.lists: DataFrame | None = None
         self.links: DataFrame | None = None
-        self.path, self.number, self.rounds = None, 0, 0
+        self.path, self.orders, self.rounds, self.thinned = None, 0, 0, 0
+        self.parts = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(vectors.count() / ORDER_ROWS)))
 
     def _store(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = scratch(self.spark, name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
-    def take(self, found: DataFrame) -> float:
-        """Enters the found links and candidates; the share of list entries that are new."""
+    def _take(self, found: DataFrame) -> None:
+        """Enters the found links and candidates."""
         found, used = self._store(found, "found")
         new = cut(found.where("kind = 1").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct(), "newlinks")
         self.links = new if self.links is None else self.links.unionByName(new)
-        cands = found.where("kind = 0").select("n", "m", "s")
-        before, old = self.lists, self.path
-        cands = cands if before is None else cands.unionByName(before.select("n", "m", "s"))
+        cands, old = found.where("kind = 0").select("n", "m", "s"), self.path
+        cands = cands if self.lists is None else cands.unionByName(self.lists.select("n", "m", "s"))
         self.lists, self.path = self._store(_best(cands, self.threshold, self.k, self.k_large), "lists")
-        share = 1.0
-        if before is not None:
-            share = self.lists.join(before, ["n", "m"], "left_anti").count() / max(1, self.lists.count())
+        if old:
             remove(self.spark, old)
         remove(self.spark, used)
-        return share
 
-    def run(self, vectors: DataFrame, orders: int, rounds: int) -> DataFrame:
-        """Orders and rounds over ``vectors``; the components of all links so far."""
+    def _components(self) -> tuple[DataFrame, int]:
+        """node, component; nodes in components less components (it grows whenever two are joined)."""
+        joined = cut(components(self.links), "components")
+        # All that later passes need of the links is which nodes they join.
+        self.links = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        n, parts = joined.agg(F.count(F.lit(1)), F.count_distinct("component")).first()
+        return joined, n - parts
+
+    def order(self, orders: int) -> None:
         first = None
         for _ in range(orders):
-            one = _order(vectors, self.number, self.threshold, self.k)
+            one = _order(self.live, self.orders, self.parts, self.threshold, self.k)
             first = one if first is None else first.unionByName(one)
-            self.number += 1
-        if first is not None:
-            self.take(first)
-        for _ in range(rounds):
-            self.rounds += 1
-            if self.take(_descend(vectors, self.lists, self.threshold, self.k, self.rounds)) <= UPDATED:
-                break
-        return cut(components(self.links), "components")
+            self.orders += 1
+        self._take(first)
+
+    def descend(self) -> None:
+        self._take(_descend(self.live, self.lists, self.threshold, self.k, self.rounds))
+        self.rounds += 1
 
-    def thin(self, vectors: DataFrame, joined: DataFrame, number: int) -> DataFrame:
-        """``vectors`` with ``REPS`` members of each component at most; lists are held to them."""
+    def thin(self, joined: DataFrame) -> None:
+        """Hold the search to ``REPS`` members of each component, others each time, and the lists to them."""
         rank = F.row_number().over(Window.partitionBy("component").orderBy("h", "node"))
-        small = joined.withColumn("h", F.xxhash64("node", F.lit(number))).withColumn("slice", F.pmod("h", F.lit(SALTS)))
+        small = joined.withColumn("h", F.xxhash64("node", F.lit(self.thinned))).withColumn("slice", F.pmod("h", F.lit(SALTS)))
+        self.thinned += 1
         # Each slice of a component hands on its first few, so no task sorts a large component.
         part = F.row_number().over(Window.partitionBy("component", "slice").orderBy("h", "node"))
         stay = small.withColumn("r", part).where(F.col("r") <= REPS).withColumn("r", rank).where(F.col("r") <= REPS)
-        gone = joined.select("node").join(stay.select("node"), "node", "left_anti")
-        left = cut(vectors.join(gone, "node", "left_anti"), "thinned")
-        gone = cut(gone, "gone")
+        gone = cut(joined.select("node").join(stay.select("node"), "node", "left_anti"), "gone")
+        self.live = cut(self.vectors.join(gone, "node", "left_anti"), "thinned")
         held = self.lists.join(gone.withColumnRenamed("node", "n"), "n", "left_anti").join(gone.withColumnRenamed("node", "m"), "m", "left_anti")
         old = self.path
         self.lists, self.path = self._store(held.select("n", "m", "s", "r"), "lists")
         remove(self.spark, old)
-        return left
-
 
-def _groups(joined: DataFrame) -> tuple[int, int]:
-    """Nodes in components less components (it grows whenever two are joined); the largest component."""
-    n, parts, top = joined.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.count(F.lit(1)), F.max("n")).first()
-    return (n or 0) - parts, top or 0
+    def run(self, orders: int, rounds: int) -> DataFrame:
+        """Orders and rounds until a pass joins nothing; the components of all links so far."""
+        self.order(orders)
+        joined, size = self._components()
+        for _ in range(rounds):
+            before = size
+            self.thin(joined)
+            self.descend()
+            self.order(orders)
+            joined, size = self._components()
+            if size == before:
+                break
+        return joined
 
 
 def near_duplicates(frame: DataFrame, threshold: float = 0.95, k: int = K, k_large: int = K_LARGE, orders: int = ORDERS, rounds: int = ROUNDS, target: float = TARGET) -> DataFrame:
@@ -397,21 +402,13 @@ def near_duplicates(frame: DataFrame, threshold: float = 0.95, k: int = K, k_lar
     one = nodes.where("dim > 0").groupBy("key").agg(F.min("node").alias("node"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     known = cut(one, "different")
     vectors = known.select("node", "dim", "vec", "weight")
-    search = Search(frame.sparkSession, threshold, k, k_large)
+    search = Search(vectors, threshold, k, k_large)
 
     def count(joined: DataFrame) -> DataFrame:
         return cut(count_links(joined.select("node", "component").join(vectors, "node"), threshold), "counted")
 
-    for attempt in range(1 + MAX_EXTRA):
-        joined = search.run(vectors, orders, rounds)
-        size, top = _groups(joined)
-        for number in range(MAX_THIN):
-            if top <= REPS:
-                break
-            joined = search.run(search.thin(vectors, joined, attempt * MAX_THIN + number), 1, rounds)
-            before, (size, top) = size, _groups(joined)
-            if size == before:
-                break
+    for _ in range(1 + MAX_EXTRA):
+        joined = search.run(orders, rounds)
         counted = count(joined)
         if audit(vectors, joined, counted, threshold) >= target:
             break
@@ -426,4 +423,4 @@ def near_duplicates(frame: DataFrame, threshold: float = 0.95, k: int = K, k_lar
     linked = label_rows(nodes.where("dim > 0").select("vec_id", "key", "_salt"), "key", cut(labels, "labels"), "label").select("vec_id", "label.n_links", "label.component_id")
     rows = linked.unionByName(nodes.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     own = F.when(F.col("component_id").isNull() | (F.col("n_links") == 0), F.col("vec_id")).otherwise(F.col("component_id"))
-    return rows.select("vec_id", "n_links", own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"))
+    return rows.select("vec_id", "n_links", own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
