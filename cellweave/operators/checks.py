@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.rules import SQUARE
+from cellweave.operators import symmetry
+from cellweave.operators.grid import Grid
+from cellweave.operators.lookups import SIDE_MULTIPLE, UNIT_SQUARES
+from cellweave.operators.regions import largest, pockets, region_stats, rooted_runs, seeded
+from cellweave.operators.rules import METAL_SQUARE, MOVE_CLASSES, SQUARE, building, count_placements, land, passable_by
 
+# Fixed values of the checks.
+CLASSES = ("TANK3", "BOT2", "HOVER3", "BOAT4")
+CROSSABLE, LEAST_POCKET, LISTED, PADS = 0.75, 400.0 * 400.0, 3, 25
 #: Severities in the order of a report.
 SEVERITY = ("error", "warning", "info")
 
@@ -22,15 +31,95 @@ def _rows(df: DataFrame, found: list[Column]) -> DataFrame:
     return one.select("i.severity", "i.code", "i.x", "i.z")
 
 
-def check_size(df: DataFrame, mapx: int, mapz: int, most: int = 2048) -> DataFrame:
-    """One row in: legal sides are positive multiples of 128 squares."""
-    legal = all(n > 0 and n % 128 == 0 for n in (mapx, mapz))
-    return _rows(df.limit(1), [
-        F.when(F.lit(not legal), _issue("error", "size.dimension")),
-        F.when(F.lit(max(mapx, mapz) > most), _issue("error", "size.tooLarge")),
+def check_size(df: DataFrame, mapx: int, mapz: int, players: int = 0, most: float = 32.0) -> DataFrame:
+    """One row in: legal sides are positive multiples of 128 squares; area in units of 64 squares for each player."""
+    units = mapx / UNIT_SQUARES, mapz / UNIT_SQUARES
+    area = units[0] * units[1] / players if players >= 2 else None
+    sprawling = area is not None and players >= 8 and area > 45
+    found = [
+        *[("error", "size.dimension") for n in (mapx, mapz) if n <= 0 or n % SIDE_MULTIPLE], *[("error", "size.tooLarge")] * (max(units) > most),
+        *[("warning", "size.tooSmall")] * (min(units) < 6), *[("warning", "size.sprawling")] * sprawling,
+        *[("warning", "size.cramped")] * (area is not None and not sprawling and area < 12),
+    ]
+    return _rows(df.limit(1), [_issue(level, code) for level, code in found] or [F.lit(None).cast("struct<severity:string,code:string,x:double,z:double>")])
+
+
+def check_slopes(cells: DataFrame, water: float = 0.0) -> DataFrame:
+    """Shares of the land that vehicles and bots can use (slope cells)."""
+    ground = passable_by(land(cells, water), ("TANK3", "BOT2"), water)
+    one = ground.agg(F.count(F.lit(1)).alias("n"), F.avg("TANK3").alias("vehicle"), F.avg("BOT2").alias("bot"))
+    some, vehicle = F.col("n") > 0, F.col("vehicle")
+    return _rows(one, [
+        F.when(~some, _issue("warning", "slope.noLand")), F.when(some, _issue("info", "slope.distribution")),
+        F.when(some & (vehicle < 0.6), _issue(F.when(vehicle < 0.4, F.lit("error")).otherwise(F.lit("warning")), "slope.vehicleBand")),
+        F.when(some & (F.col("bot") < 0.85), _issue("warning", "slope.botBand")),
+    ])
+
+
+def check_reachability(cells: DataFrame, width: int, classes: Sequence[str] = CLASSES, seeds: DataFrame | None = None, water: float = 0.0) -> DataFrame:
+    """Regions that a move class cannot leave; ``seeds``: px, pz of start positions.  Columns: those of issues and ``class``."""
+    families = {c[0]: c[1] for c in MOVE_CLASSES}
+    by_class, out = passable_by(cells, classes, water), None
+    at = None if seeds is None else seeds.select(F.floor(F.col("px") / METAL_SQUARE).alias("x"), F.floor(F.col("pz") / METAL_SQUARE).alias("z"))
+    for name in classes:
+        family, ground = families[name], families[name] not in ("ship", "hover")
+        rooted = rooted_runs(by_class.where(F.col(name) > 0).select(F.col("cx").alias("x"), F.col("cz").alias("z")), width)
+        found = region_stats(rooted)
+        roots = None if at is None else seeded(rooted, at)
+        total = found.agg(F.coalesce(F.sum("cell_count"), F.lit(0)).alias("all"), F.coalesce(F.max("cell_count"), F.lit(0)).alias("most"))
+        others = found.join(largest(found), "root", "left_anti").where(F.col("area") >= LEAST_POCKET)
+        first = others.orderBy(F.desc("area"), "root").limit(1).select("centroid_x", "centroid_z")
+        severed = total.join(F.broadcast(first)).select("centroid_x", "centroid_z", (F.lit(ground) & (F.col("most") / F.col("all") < CROSSABLE)).alias("cut")).where("cut")
+        whole = severed.agg((F.count(F.lit(1)) == 0).alias("whole"))
+        left = pockets(found, LEAST_POCKET, roots).join(F.broadcast(whole)).where("whole")
+        # The few largest one by one, and one issue for the rest.
+        top = left.orderBy(F.desc("area"), "root").limit(LISTED + 1)
+        middle = lambda c: (F.col(c) + 0.5) * METAL_SQUARE
+        parts = [
+            _rows(total, [F.when((F.col("all") == 0) & F.lit(family != "ship"), _issue("warning", "pathing.noTerrain"))]),
+            _rows(severed, [_issue("warning", "pathing.severed", middle("centroid_x"), middle("centroid_z"))]),
+            _rows(top, [_issue("warning", "pathing.pocket", middle("centroid_x"), middle("centroid_z"))]),
+        ]
+        if roots is not None and family != "ship":
+            parts.append(_rows(roots.agg(F.count(F.lit(1)).alias("n")), [F.when(F.col("n") > 1, _issue("error", "pathing.startsDisconnected"))]))
+        for p in parts:
+            p = p.withColumn("class", F.lit(name))
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
+def check_pads(lab: DataFrame, solar: DataFrame, starts: DataFrame, radius: float = 600.0) -> DataFrame:
+    """Room near each start (id, px, pz) for factories and for the buildings of a base (``lab``, ``solar``: x, z, fits)."""
+    labs = count_placements(lab, building("lab")[0], starts, radius, 8).withColumnRenamed("placed", "labs")
+    pads = count_placements(solar, building("solar")[0], starts, radius, PADS + 1).withColumnRenamed("placed", "pads")
+    rows, x, z = starts.join(labs, "id").join(pads, "id"), F.col("px"), F.col("pz")
+    return _rows(rows, [
+        F.when(F.col("labs") < 3, _issue(F.when(F.col("labs") == 0, F.lit("error")).otherwise(F.lit("warning")), "build.labPad", x, z)),
+        F.when(F.col("pads") < PADS, _issue("warning", "build.basePad", x, z)),
     ])
 
 
+def check_symmetry(grid: Grid, kind: str, starts: Sequence[tuple[float, float]] = (), stride: int | None = None) -> DataFrame:
+    """How far heights and starts (a parameter of a few points) are off the declared symmetry."""
+    if kind == "none":
+        return _rows(grid.df.limit(0), [_issue("info", "symmetry.none")])
+    if not symmetry.applicable(kind, grid.meta.width, grid.meta.height):
+        return _rows(grid.df.agg(F.count(F.lit(1)).alias("n")), [_issue("error", "symmetry.inapplicable")])
+    step = stride or (8 if grid.meta.width > 64 else 1)
+    off = symmetry.error(grid, kind, step)
+    span = grid.df.agg(F.greatest(F.max("v") - F.min("v"), F.lit(1e-6)).alias("relief"))
+    share = F.col("max_deviation") / F.col("relief")
+    out = _rows(off.join(F.broadcast(span)), [F.when(share > 0.02, _issue(F.when(share > 0.1, F.lit("error")).otherwise(F.lit("warning")), "symmetry.height"))])
+    world = grid.meta.cell * (grid.meta.width - 1), grid.meta.cell * (grid.meta.height - 1)
+    if len(starts) > 1:
+        here = grid.df.sparkSession.createDataFrame([(float(x), float(z)) for x, z in starts], "x double, z double")
+        image = here.select(F.explode(F.slice(symmetry.point_images(kind, F.col("x"), F.col("z"), *world), 2, 99)).alias("p")).select("p.x", "p.z")
+        nearest = F.least(*[F.hypot(F.col("x") - float(x), F.col("z") - float(z)) for x, z in starts])
+        lost = image.where(F.col("x").between(0, world[0]) & F.col("z").between(0, world[1]) & (nearest > 8 * METAL_SQUARE))
+        out = out.unionByName(_rows(lost, [_issue("warning", "symmetry.starts", F.col("x"), F.col("z"))]))
+    return out
+
+
 def check_heights(heights: DataFrame, low: float | None, high: float | None, v: str = "v") -> DataFrame:
     stats = heights.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     if low is None or high is None:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, floor, inf, isfinite, log10
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.numeric import Number, clamp, clamp01, col, curve, half_up, hermite, lerp, smoothstep
+from cellweave.functions.numeric import Number, clamp, clamp01, col, curve, half_up, hermite, lerp
 
+# Fixed values of snow cover.
+SNOW_BAND, SNOW_RAMP, SNOW_DRIFT = 60.0, 8.0, 24.0
 #: Blend modes by name.
 BLENDS: dict[str, Callable[[Column, Column], Column]] = {
     "add": lambda a, b: a + b,
@@ -177,10 +180,9 @@ def output_terrain_type(v: Column, mode: str) -> Column:
     return v if mode == "index" else half_up(clamp01(v) * 255)
 
 
-def snow(v: Column, slope_degrees: Column, line: float, softness: float, limit: float, thickness: float) -> tuple[Column, Column]:
-    """Height with snow, and its cover: altitude step times slope ramp."""
-    cover = smoothstep(v, line - softness, line + softness) * (F.lit(1.0) - smoothstep(slope_degrees, limit * 0.7, limit))
-    return v + cover * thickness, cover
+def snow_cover(v: Column, slope_degrees: Column, line: float, limit: float) -> Column:
+    """A step of ``SNOW_BAND`` units above the line, times a ramp of ``SNOW_RAMP`` degrees below the limit."""
+    return hermite((v - line) / SNOW_BAND) * clamp01((F.lit(float(limit)) - slope_degrees) / SNOW_RAMP)
 
 
 def quantise(v: Column, low: float, high: float) -> Column:
@@ -193,10 +195,21 @@ def dequantise(raw: Column, low: float, high: float) -> Column:
 
 
 def srgb_to_linear(c: Column) -> Column:
+    c = clamp01(c)
     return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
 
 def linear_to_srgb(c: Column) -> Column:
+    c = clamp01(c)
     return F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
 
 
+def suggest_range(low: float | None, high: float | None, padding: float = 0.02) -> tuple[float, float]:
+    """A declared height range with round ends around the raster's smallest and largest value."""
+    if low is None or high is None or not all(map(isfinite, (low, high))):
+        return 0.0, 256.0
+    high = low + 1 if high == low else high
+    pad = (high - low) * padding
+    size = 10.0 ** (floor(log10(max(high - low, 1e-6))) - 1)
+    step = size * next(factor for bound, factor in ((15, 1.0), (35, 2.5), (75, 5.0), (inf, 10.0)) if (high - low) / size < bound)
+    return floor((low - pad) / step) * step, ceil((high + pad) / step) * step

@@ -53,14 +53,19 @@ def contract(links: DataFrame, rounds: int = 60) -> DataFrame:
         if new == seen:
             break
         seen = new
+    else:
+        raise RuntimeError(f"regions did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def regions(cells: DataFrame, width: int, diagonal: bool = False, cell: float = 16.0) -> DataFrame:
-    """Statistics of every region of the set cells (x, z): id, cells, area, bounds, centroid."""
+def rooted_runs(cells: DataFrame, width: int, diagonal: bool = False) -> DataFrame:
+    """z, x0, x1, root of the runs of the set cells; ``root`` is the linear index of a region's first cell."""
     found = _settled(runs(cells, width))
     rooted = found.join(contract(touching(found, diagonal)), found["run"] == F.col("node"), "left")
-    rooted = rooted.select("z", "x0", "x1", F.coalesce("root", "run").alias("root"))
+    return rooted.select("z", "x0", "x1", F.coalesce("root", "run").alias("root"))
+
+
+def region_stats(rooted: DataFrame, cell: float = 16.0) -> DataFrame:
     n = F.col("x1") - F.col("x0") + 1
     each = rooted.groupBy("root").agg(
         F.sum(n).alias("cell_count"), F.min("x0").alias("min_x"), F.min("z").alias("min_z"), F.max("x1").alias("max_x"), F.max("z").alias("max_z"),
@@ -72,7 +77,40 @@ def regions(cells: DataFrame, width: int, diagonal: bool = False, cell: float =
     )
 
 
-def pockets(found: DataFrame, least_area: float) -> DataFrame:
-    """Regions but the largest (ties: the first found), of at least ``least_area``."""
-    main = found.orderBy(F.desc("cell_count"), "root").limit(1).select(F.col("root").alias("_main"))
-    return found.join(F.broadcast(main)).where((F.col("root") != F.col("_main")) & (F.col("area") >= least_area)).drop("_main")
+def regions(cells: DataFrame, width: int, diagonal: bool = False, cell: float = 16.0) -> DataFrame:
+    """Statistics of every region of the set cells (x, z): root, cells, area, bounds, centroid.
+
+    Roots are indices of first cells, so their order is that of discovery, row by row.
+    """
+    return region_stats(rooted_runs(cells, width, diagonal), cell)
+
+
+def seeded(rooted: DataFrame, seeds: DataFrame) -> DataFrame:
+    """root of the regions that hold a seed (x, z, in cells)."""
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1"))
+    return rooted.join(seeds.select("x", "z"), "z").where(inside).select("root").distinct()
+
+
+def largest(found: DataFrame) -> DataFrame:
+    """root of the largest region (of equal ones the first found)."""
+    return found.orderBy(F.desc("cell_count"), "root").limit(1).select("root")
+
+
+def reached(found: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """root of the regions that count as reached: those with seeds (``at``), or the largest where there are none."""
+    main = largest(found)
+    if at is None:
+        return main
+    none = at.agg((F.count(F.lit(1)) == 0).alias("none"))
+    return at.unionByName(main.join(F.broadcast(none)).where("none").select("root"))
+
+
+def pockets(found: DataFrame, least_area: float, at: DataFrame | None = None) -> DataFrame:
+    """Regions that are not reached, of at least ``least_area``."""
+    return found.join(reached(found, at), "root", "left_anti").where(F.col("area") >= least_area)
+
+
+def reached_share(found: DataFrame, cells: int, at: DataFrame | None = None) -> DataFrame:
+    """share: cells of the reached regions among all ``cells`` of the map."""
+    kept = found.join(reached(found, at), "root", "left_semi")
+    return kept.agg((F.coalesce(F.sum("cell_count"), F.lit(0)) / F.lit(float(max(cells, 1)))).alias("share"))

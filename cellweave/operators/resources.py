@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.grid import Grid, GridMeta, blank
-from cellweave.operators.regions import _settled, contract, runs, touching
+from cellweave.operators.regions import rooted_runs
 from cellweave.operators.rules import METAL_SQUARE
 
 #: The 21-cell blob: five by five without its corners, nearest cells first, then by row and column.
@@ -33,19 +33,34 @@ def paint(spots: DataFrame, width: int, height: int, max_metal: float = 0.9, ext
     return painted.groupBy("x", "z").agg(F.max_by("b", "id").alias("b"))
 
 
-def find_spots(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """Spots of a byte raster (x, z, b): eight-connected set cells without the one-cell border."""
+def find_spots(cells: DataFrame, width: int, height: int, max_metal: float = 0.9, extracts: float = 0.001, radius: float = 90.0) -> DataFrame:
+    """Spots of a byte raster (x, z, b): eight-connected set cells without the one-cell border.
+
+    x, z are the middle of a spot's box; a spot wider than twice the extractors' radius is not capturable.
+    """
     k = F.col
     inner = cells.where((k("b") > 0) & (k("x") > 0) & (k("z") > 0) & (k("x") < width - 1) & (k("z") < height - 1))
-    found = _settled(runs(inner.select("x", "z"), width))
-    rooted = found.join(contract(touching(found, True)), found["run"] == k("node"), "left").select("z", "x0", "x1", F.coalesce("root", "run").alias("spot"))
-    each = rooted.select("spot", "z", F.explode(F.sequence("x0", "x1")).alias("x")).join(inner, ["x", "z"])
+    rooted = rooted_runs(inner.select("x", "z"), width, True)
+    each = rooted.select(k("root").alias("spot"), "z", F.explode(F.sequence("x0", "x1")).alias("x")).join(inner, ["x", "z"])
     at = METAL_SQUARE
-    return each.groupBy("spot").agg(
-        F.sum("b").alias("worth"), F.count(F.lit(1)).alias("cell_count"),
-        (F.sum(k("b") * (k("x") + 0.5)) / F.sum("b") * at).alias("x"), (F.sum(k("b") * (k("z") + 0.5)) / F.sum("b") * at).alias("z"),
+    box = each.groupBy("spot").agg(
+        (F.sum("b") * max_metal).alias("worth"), F.count(F.lit(1)).alias("cell_count"),
         (F.min("x") * at).alias("min_x"), (F.min("z") * at).alias("min_z"), ((F.max("x") + 1) * at).alias("max_x"), ((F.max("z") + 1) * at).alias("max_z"),
     )
+    extent = F.greatest(k("max_x") - k("min_x"), k("max_z") - k("min_z"))
+    return box.select(
+        "spot", ((k("min_x") + k("max_x")) / 2).alias("x"), ((k("min_z") + k("max_z")) / 2).alias("z"), "worth", (k("worth") * extracts).alias("income"),
+        "cell_count", "min_x", "min_z", "max_x", "max_z", extent.alias("extent"), (extent <= 2 * radius).alias("capturable"),
+    )
+
+
+def is_resource_map(spots: DataFrame, radius: float = 90.0) -> DataFrame:
+    """One row: the widest spot, and whether one is so wide (six radii) that the raster is an even deposit."""
+    return spots.agg(F.coalesce(F.max("extent"), F.lit(0.0)).alias("largest")).select("largest", (F.col("largest") > 6 * radius).alias("even"))
+
+
+def density(b: Column, max_metal: float = 0.9) -> Column:
+    return b * max_metal
 
 
 def distinct_tiles(tiles: DataFrame) -> DataFrame:

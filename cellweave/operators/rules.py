@@ -14,9 +14,6 @@ from cellweave.operators.stencil import square_centres, window_extrema
 # Fixed values of the rules.
 SQUARE = 8.0
 METAL_SQUARE = 16.0
-DEPTH = {"NONE": 0, "TICK": 5, "MIN_SHALLOW": 8, "SUBMERGED": 15, "MAX_SHALLOW": 20, "AMPHIBIOUS": 5000, "MAXIMUM": 9999}
-SLOPE = {"NONE": 0, "MINIMUM": 27, "MODERATE": 33, "DIFFICULT": 54, "EXTREME": 75, "MAXIMUM": 90}
-SLOPE_MOD = {"MINIMUM": 4, "MODERATE": 18, "SLOW": 25, "VERY_SLOW": 36, "GLACIAL": 42, "MAXIMUM": 4000}
 BANDS = [("vehicle", 27.0), ("hover", 33.0), ("bot", 54.0), ("allterrain", 90.0)]
 #: id, family, footprint, slope limit (degrees), slope modifier, least and greatest water depth, crush strength.
 MOVE_CLASSES = [
@@ -168,31 +165,11 @@ def start_boxes(starts: DataFrame, world_x: float, world_z: float) -> DataFrame:
     )
 
 
-def overlapping_boxes(boxes: DataFrame) -> DataFrame:
-    """Pairs of teams whose boxes overlap (a few teams)."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    meet = (F.col("a.team") < F.col("b.team")) & (F.col("a.left") < F.col("b.right")) & (F.col("b.left") < F.col("a.right")) & (F.col("a.top") < F.col("b.bottom")) & (F.col("b.top") < F.col("a.bottom"))
-    return a.join(F.broadcast(b), meet).select(F.col("a.team").alias("team_a"), F.col("b.team").alias("team_b"))
-
-
 def terrain_type(height: Column, slope_degrees: Column) -> Column:
     """0 ground, 1 rock, 2 sand, 3 water."""
     return F.when(height < 0, F.lit(3)).when(slope_degrees > 27, F.lit(1)).when(height < 12, F.lit(2)).otherwise(F.lit(0))
 
 
-def slope_issues(shares: DataFrame) -> DataFrame:
-    """Findings on the shares of land per slope band (one row of shares)."""
-    k = F.col
-    vehicle = k("vehicle")
-    bot = k("vehicle") + k("hover") + k("bot")
-    found = F.array(
-        F.when(vehicle < 0.6, F.struct(F.when(vehicle < 0.4, F.lit("error")).otherwise(F.lit("warning")).alias("severity"), F.lit("slope.vehicleBand").alias("code"))),
-        F.when(bot < 0.85, F.struct(F.lit("warning").alias("severity"), F.lit("slope.botBand").alias("code"))),
-        F.struct(F.lit("info").alias("severity"), F.lit("slope.distribution").alias("code")),
-    )
-    return shares.select(F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")).select("f.severity", "f.code")
-
-
 def largest_footprint(corners: Grid, tolerance: float, most: int = 8) -> DataFrame:
     """x, z, world size of the largest square footprint that fits at each square (0: none)."""
     out = square_centres(corners).df.select("x", "z", F.lit(0.0).alias("size"))
@@ -202,7 +179,63 @@ def largest_footprint(corners: Grid, tolerance: float, most: int = 8) -> DataFra
     return out
 
 
-def first_in_block(rows: DataFrame, block: int) -> DataFrame:
-    """The first fitting square of every block, in row-major order."""
-    w = Window.partitionBy(F.floor(F.col("x") / block), F.floor(F.col("z") / block)).orderBy("z", "x")
-    return rows.where("fits = 1").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def land(cells: DataFrame, water: float = 0.0) -> DataFrame:
+    """Slope cells whose highest corner is not below the water."""
+    return cells.where(F.col("hi") >= water)
+
+
+def passable_by(cells: DataFrame, classes: Sequence[str], water: float = 0.0) -> DataFrame:
+    """``cells`` with one 0/1 column a class: conditions in place of rows."""
+    known = {c[0]: c for c in MOVE_CLASSES}
+    out = {}
+    for name in classes:
+        _, family, _, degrees, _, least, most, _ = known[name]
+        steep = F.lit(True) if family == "ship" or degrees >= 90 else F.col("slope") <= slope_value(degrees)
+        dry = F.lit(water) - F.col("lo") <= float(most)
+        ok = F.lit(water) - F.col("hi") >= float(least) if family == "ship" else (F.col("hi") < water) | steep if family == "hover" else steep & dry
+        out[name] = ok.cast("int")
+    return cells.withColumns(out)
+
+
+def slope_band_of_value(v: Column) -> Column:
+    return slope_band(slope_value_to_degrees(v))
+
+
+def buildings(spark: SparkSession) -> DataFrame:
+    """Footprints and the height difference that each building tolerates."""
+    rows = [(n, x, z, 2 * x, 2 * z, float(d), max_height_dif(d)) for n, x, z, d in BUILDINGS]
+    return spark.createDataFrame(rows, "id string, footprint_x int, footprint_z int, squares_x int, squares_z int, max_slope_degrees double, max_height_dif double")
+
+
+def building(name: str) -> tuple[int, float]:
+    """Squares a side and tolerance of a building."""
+    found = {n: (2 * x, max_height_dif(d)) for n, x, _, d in BUILDINGS}
+    if name not in found:
+        raise KeyError(f"unknown building {name}")
+    return found[name]
+
+
+def count_placements(fits: DataFrame, squares: int, near: DataFrame | None = None, radius: float = float("inf"), limit: int | None = None) -> DataFrame:
+    """How many footprints can be placed side by side: rows of ``squares`` are filled from the west.
+
+    ``fits``: x, z, fits.  With ``near`` (id, px, pz) per point, middles within ``radius`` (one row a point, also without any).
+    """
+    rows = fits.where((F.col("fits") > 0) & (F.col("z") % squares == 0))
+    key = []
+    if near is not None:
+        key = ["id"]
+        dx, dz = (F.col("x") + squares / 2) * SQUARE - F.col("px"), (F.col("z") + squares / 2) * SQUARE - F.col("pz")
+        size = 2 * radius
+        at = rows.withColumns({"_bx": F.floor((F.col("x") + squares / 2) * SQUARE / size), "_bz": F.floor((F.col("z") + squares / 2) * SQUARE / size)})
+        step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+        who = near.select("id", "px", "pz", F.explode(step).alias("_i")).withColumn("_j", F.explode(step))
+        who = who.select("id", "px", "pz", (F.floor(F.col("px") / size) + F.col("_i")).alias("_bx"), (F.floor(F.col("pz") / size) + F.col("_j")).alias("_bz"))
+        rows = who.join(at, ["_bx", "_bz"]).where(dx * dx + dz * dz <= radius * radius)
+    row = rows.groupBy(*key, "z").agg(F.array_sort(F.collect_list("x")).alias("xs"))  # one row of the map
+    start = F.struct(F.lit(-1).cast("long").alias("free"), F.lit(0).alias("n"))
+    taken = F.aggregate("xs", start, lambda s, x: F.when(x >= s["free"], F.struct((x + squares).cast("long").alias("free"), (s["n"] + 1).alias("n"))).otherwise(s))["n"]
+    counted = row.select(*key, taken.alias("n")).groupBy(*key).agg(F.sum("n").alias("placed"))
+    if near is not None:
+        counted = near.select("id").join(counted, "id", "left")
+    placed = F.coalesce("placed", F.lit(0))
+    return counted.select(*key, (F.least(placed, F.lit(limit)) if limit else placed).cast("long").alias("placed"))

@@ -7,6 +7,7 @@ than ``MAX_SEGMENTS`` segments are refused; tile the map and clip the layout fir
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -153,21 +154,135 @@ def stations(points: Sequence[tuple[float, float]], spacing: float, closed: bool
     return out
 
 
-def carve(df: DataFrame, px: Column, pz: Column, beds: Sequence[tuple[float, float, float]], width: float, bank: float, v: str = "v") -> DataFrame:
-    """Cut a channel (never fill) along stations (x, z, bed height); the bed may only fall."""
-    lowest, bed = math.inf, []
-    for x, z, b in beds:
-        lowest = min(lowest, b)
-        bed.append((x, z, lowest))
+def falling_bed(ground: Sequence[float], arcs: Sequence[float], depth: float, least_slope: float = 1 / 400, start: float | None = None, end: float | None = None) -> list[float]:
+    """Bed heights along stations: ``depth`` below the ground, then held to fall by at least ``least_slope``.
+
+    With both ends given the bed is graded between them before it is held.
+    """
+    last = len(arcs) - 1
+    if start is not None and end is not None:
+        bed = [start + (end - start) * (a / arcs[-1] if arcs[-1] > 0 else 0.0) for a in arcs]
+    else:
+        bed = [g - depth for g in ground]
+        bed[0] = bed[0] if start is None else start
+        bed[last] = bed[last] if end is None else min(end, bed[last])
+    for i in range(1, len(bed)):
+        bed[i] = min(bed[i], bed[i - 1] - least_slope * (arcs[i] - arcs[i - 1]))
+    return bed
+
+
+def carve(
+    df: DataFrame, px: Column, pz: Column, along: Sequence[tuple[float, float, float]], bed: Sequence[float], width: float = 64.0, depth: float = 20.0,
+    bank: float | None = None, profile: str = "parabolic", v: str = "v",
+) -> DataFrame:
+    """Cut a channel (never fill) along stations (x, z, arc) with bed heights; and ``channel``, what was cut by the depth."""
+    half = max(8.0, width) / 2
+    flare = max(0.0, half if bank is None else bank)
     best = None
-    for (ax, az, ab), (bx, bz, bb) in zip(bed, bed[1:]):
+    for (ax, az, _), (bx, bz, _), low, high in zip(along, along[1:], bed, bed[1:]):
         dx, dz = bx - ax, bz - az
         size = dx * dx + dz * dz
         t = clamp01(((px - ax) * dx + (pz - az) * dz) / size) if size else F.lit(0.0)
-        one = F.struct(segment_distance(px, pz, ax, az, bx, bz).alias("d"), (t * (bb - ab) + ab).alias("bed"))
+        one = F.struct(F.hypot(px - (t * dx + ax), pz - (t * dz + az)).alias("d"), (t * (high - low) + low).alias("bed"))
         best = one if best is None else F.least(best, one)
-    df = df.withColumn("_near", best)
-    best = F.col("_near")
-    blend = F.when(best["d"] <= width / 2, F.lit(1.0)).otherwise(hermite(F.lit(1.0) - (best["d"] - width / 2) / bank))
-    cut = F.when(best["bed"] < F.col(v), F.col(v) + (best["bed"] - F.col(v)) * blend).otherwise(F.col(v))
-    return df.withColumn(v, cut).drop("_near")
+    near = df.withColumn("_near", best)
+    d, floor = F.col("_near")["d"], F.col("_near")["bed"]
+    surface = floor + depth - cross_section(F.least(d / half, F.lit(1.0)), profile) * depth
+    outside = hermite(F.lit(1.0) - (d - half) / flare) if flare > 0 else F.lit(0.0)
+    blend = F.when(d <= half, F.lit(1.0)).otherwise(outside)
+    new = F.col(v) + (F.least(F.col(v), surface) - F.col(v)) * blend
+    cut = clamp01((F.col(v) - F.col("_new")) / max(depth, 1e-9))
+    return near.withColumn("_new", new).withColumn("channel", cut).withColumn(v, F.col("_new")).drop("_near", "_new")
+
+
+def river(grid, shape: Shape, spacing: float, **how) -> DataFrame:
+    """Carve ``shape`` into ``grid``: stations are sampled from the raster (a few hundred points), the bed made on the driver."""
+    from cellweave.operators.stencil import bilinear
+
+    cell = grid.meta.cell
+    along = stations(shape.points, spacing)
+    spark = grid.df.sparkSession
+    at = spark.createDataFrame([(i, x / cell, z / cell) for i, (x, z, _) in enumerate(along)], "i int, sx double, sz double")
+    ground = [r["v"] for r in bilinear(grid, at).orderBy("i").collect()]
+    keys = {k: how.pop(k) for k in ("least_slope", "start", "end") if k in how}
+    bed = falling_bed(ground, [a for _, _, a in along], how.get("depth", 20.0), **keys)
+    return carve(grid.df, F.col("x") * cell, F.col("z") * cell, along, bed, **how)
+
+
+def bounds(points: Sequence[tuple[float, float]]) -> tuple[float, float, float, float]:
+    """Least x and z, greatest x and z."""
+    xs, zs = zip(*points)
+    return min(xs), min(zs), max(xs), max(zs)
+
+
+def spline(points: Sequence[tuple[float, float]], t: float, closed: bool = False) -> tuple[float, float]:
+    """A point of the centripetal Catmull-Rom curve through ``points``, t in 0..1."""
+    n = len(points)
+    if n < 2:
+        return tuple(map(float, points[0]))
+    pieces = n if closed else n - 1
+    place = min(max(t, 0.0), 1.0) * pieces
+    i = min(int(place), pieces - 1)
+    u = place - i
+
+    def point(k: int) -> tuple[float, float]:
+        if closed:
+            return points[k % n]
+        if k < 0:  # mirrored beyond the ends
+            return 2 * points[0][0] - points[1][0], 2 * points[0][1] - points[1][1]
+        return points[k] if k < n else (2 * points[-1][0] - points[-2][0], 2 * points[-1][1] - points[-2][1])
+
+    p = [point(i + k) for k in (-1, 0, 1, 2)]
+    knots = [0.0]
+    for (ax, az), (bx, bz) in zip(p, p[1:]):
+        knots.append(knots[-1] + max(math.hypot(bx - ax, bz - az) ** 0.5, 1e-9))
+    at = knots[1] + u * (knots[2] - knots[1])
+    level = p
+    for size in (1, 2, 3):  # Barry and Goldman's pyramid
+        low = [max(0, k) if size == 3 else k for k in range(len(level) - 1)]
+        span = {1: [(0, 1), (1, 2), (2, 3)], 2: [(0, 2), (1, 3)], 3: [(1, 2)]}[size]
+        level = [
+            tuple(((knots[b] - at) * c + (at - knots[a]) * d) / (knots[b] - knots[a]) for c, d in zip(level[k], level[k + 1])) for k, (a, b) in zip(low, span)
+        ]
+    return level[0]
+
+
+#: Sides of a pad are multiples of this, and one such at least.
+PAD_STEP = 16.0
+
+
+def pad(cx: float, cz: float, width: float, depth: float, rotation: float = 0.0, value: float | None = None, falloff: float = 0.0, id: str = "pad") -> Shape:
+    """A rectangle about a middle, its sides rounded up to whole steps."""
+    w, d = (max(PAD_STEP, math.ceil(s / PAD_STEP - 1e-9) * PAD_STEP) / 2 for s in (width, depth))
+    co, si = math.cos(rotation), math.sin(rotation)
+    ring = [(cx + x * co - z * si, cz + x * si + z * co) for x, z in ((-w, -d), (w, -d), (w, d), (-w, d))]
+    return Shape("polygon", ring, True, value, 0.0, falloff, id)
+
+
+KINDS = ("point", "polyline", "polygon")
+
+
+def parse(text: str) -> list[Shape]:
+    """Shapes of a JSON document: a list, or an object with ``shapes``; points as {x, z}."""
+    found = json.loads(text) if text.strip() else []
+    rows = found.get("shapes", []) if isinstance(found, dict) else found
+    out = []
+    for n, s in enumerate(rows):
+        if s.get("kind") not in KINDS:
+            raise ValueError(f"shape {n} has the unknown kind {s.get('kind')}")
+        points = [(float(p["x"]), float(p["z"])) for p in s["points"]]
+        out.append(Shape(s["kind"], points, s.get("closed"), s.get("value"), float(s.get("width") or 0), float(s.get("falloff") or 0), str(s.get("id", f"shape-{n}"))))
+    return out
+
+
+def serialise(shapes: Sequence[Shape]) -> str:
+    rows = []
+    for s in shapes:
+        row = {"id": s.id, "kind": s.kind, "points": [{"x": x, "z": z} for x, z in s.points], "closed": s.closed, "value": s.value, "width": s.width, "falloff": s.falloff}
+        rows.append({k: v for k, v in row.items() if v is not None})
+    return json.dumps(rows)
+
+
+def select(shapes: Sequence[Shape], text: str = "") -> list[Shape]:
+    """Shapes whose id holds ``text``, whatever its case; all for an empty text."""
+    return [s for s in shapes if text.lower() in s.id.lower()]

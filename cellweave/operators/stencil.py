@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.grid import Grid, along_x, along_z, neighbour
+from cellweave.operators.pointwise import SNOW_DRIFT, snow_cover
 
 
 def gradient(grid: Grid, v: str = "v") -> Grid:
@@ -168,6 +169,16 @@ def bilinear(grid: Grid, at: DataFrame, v: str = "v") -> DataFrame:
     return need.join(cells, ["_x", "_z"]).groupBy("_id", *keys).agg(F.sum(F.col("_v") * weight).alias("v")).drop("_id")
 
 
+def snow(grid: Grid, line: float = 400.0, limit: float = 45.0, thickness: float = 8.0, settle: float = 0.5) -> Grid:
+    """``v`` with snow on it, and ``cover``; drifting keeps the larger of the cover and a blur of it."""
+    out = gradient(grid)
+    out = out.with_column("cover", snow_cover(F.col("v"), slope_degrees(), line, limit))
+    if settle > 0:
+        out = gaussian_blur(out.with_column("_drift", F.col("cover")), SNOW_DRIFT / grid.meta.cell, "_drift")
+        out = out.with_column("cover", F.greatest(F.col("cover"), F.col("_drift") * settle))
+    return Grid(out.df.select("x", "z", (F.col("v") + F.col("cover") * thickness).alias("v"), "cover"), grid.meta)
+
+
 def transform(grid: Grid, dx: float, dz: float, scale: float, rotation: float) -> DataFrame:
     """Rotate, scale and shift about the middle (width / 2), sampling bilinearly."""
     cx, cz, co, si = grid.meta.width / 2, grid.meta.height / 2, math.cos(rotation), math.sin(rotation)

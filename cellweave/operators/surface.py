@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,15 +18,28 @@ class Band:
     low: float | None = None
     high: float | None = None
     blend: float = 0.0
+    blend_low: float | None = None  # of one side, in place of ``blend``
+    blend_high: float | None = None
 
     def weight(self, v: Column) -> Column:
-        out, b = F.lit(1.0), max(self.blend, 1e-9)
+        out = F.lit(1.0)
         if self.low is not None:
+            b = max(self.blend if self.blend_low is None else self.blend_low, 1e-9)
             out = out * hermite((v - (self.low - b / 2)) / b)
         if self.high is not None:
+            b = max(self.blend if self.blend_high is None else self.blend_high, 1e-9)
             out = out * (F.lit(1.0) - hermite((v - (self.high - b / 2)) / b))
         return out
 
+    def scaled(self, below: float, above: float) -> "Band":
+        """Edges and their blends stretched by the factor of the side of zero that the edge is on."""
+        def side(edge: float | None, blend: float | None) -> tuple[float | None, float | None]:
+            k = below if edge is not None and edge < 0 else above
+            return (None, None) if edge is None else (edge * k, (self.blend if blend is None else blend) * k)
+
+        (low, blend_low), (high, blend_high) = side(self.low, self.blend_low), side(self.high, self.blend_high)
+        return Band(low, high, 0.0, blend_low, blend_high)
+
 
 @dataclass(frozen=True)
 class Influence:
@@ -51,19 +65,55 @@ class Layer:
     cap: float | None = None
     splat: int | None = None
 
+    @property
+    def capped(self) -> bool:
+        return self.cap is not None and self.cap < 1
+
+    @property
+    def share(self) -> float:
+        """The most weight that a capped layer may have, as a multiple of the uncapped ones."""
+        return max(self.cap, 0.0) / (1 - max(self.cap, 0.0))
+
+
+def rescale_heights(layers: Sequence[Layer], low: float, high: float, from_low: float, from_high: float) -> list[Layer]:
+    """The layers with height bands stretched from one range to another, on each side of the water on its own."""
+    if not all(map(math.isfinite, (low, high, from_low, from_high))) or high < low or from_high < from_low:
+        raise ValueError("height ranges must be finite and in order")
+    below = max(-low, 0.0) / -from_low if from_low < 0 else 0.0
+    above = max(high, 0.0) / from_high if from_high > 0 else 0.0
+    below, above = below or above, above or below
+    if from_low == from_high or not above:
+        return list(layers)
+    return [replace(layer, height=layer.height.scaled(below, above)) for layer in layers]
 
-def weights(layers: Sequence[Layer], height: str = "v", slope: str = "slope") -> list[Column]:
-    """Raw layer weights with geometric priority, capped layers held below the uncapped sum."""
+
+def slope_bands(layers: Sequence[Layer], colors: Sequence[tuple[float, float, float]], blend: float = 2.5, strength: float = 1.6, cap: float = 0.65, splat: int | None = None) -> list[Layer]:
+    """Two capped layers more: slopes that only bots climb, and slopes beyond those."""
+    return [
+        *layers, Layer("slope-band-bot", colors[0], slope=Band(27.0, 54.0, blend), weight=strength, cap=cap, splat=splat),
+        Layer("slope-band-all-terrain", colors[1], slope=Band(low=54.0, blend=blend), weight=strength * 1.15, cap=cap, splat=splat),
+    ]
+
+
+def weights(layers: Sequence[Layer], height: str = "v", slope: str = "slope", exclusion: float = 1.0) -> list[Column]:
+    """Raw layer weights with geometric priority, capped layers held below the uncapped sum.
+
+    ``exclusion`` is the power of a layer's conditions (0 or less: any cell where they hold at all).
+    A cap of 1 or more is none, one of 0 or less keeps the layer off all ground that another covers.
+    """
+    power = max(exclusion, 0.0)
     raw = []
     for i, layer in enumerate(layers):
-        w = layer.height.weight(F.col(height)) * layer.slope.weight(F.col(slope)) * (layer.weight * 1.1**i)
+        w = layer.height.weight(F.col(height)) * layer.slope.weight(F.col(slope))
         for influence in layer.influences:
             w = w * influence.weight()
-        raw.append(w)
+        if power != 1:
+            w = F.when(w > 0, F.pow(w, F.lit(power))).otherwise(F.lit(0.0))
+        raw.append(w * (layer.weight * 1.1**i))
     free = F.lit(0.0)
     for layer, w in zip(layers, raw):
-        free = free + w if layer.cap is None else free
-    held = lambda layer, w: w if layer.cap is None else F.when(free > 0, F.least(w, free * (layer.cap / (1 - layer.cap)))).otherwise(w)
+        free = free if layer.capped else free + w
+    held = lambda layer, w: F.when(free > 0, F.least(w, free * layer.share)).otherwise(w) if layer.capped else w
     return [held(layer, w) for layer, w in zip(layers, raw)]
 
 
@@ -101,6 +151,3 @@ def splats(layers: Sequence[Layer], columns: Sequence[str]) -> list[Column]:
 def shade(occlusion: Column, light: Column, occlusion_strength: float = 0.35, light_strength: float = 0.12) -> Column:
     return (F.lit(1.0) - (F.lit(1.0) - occlusion) * occlusion_strength) * (F.lit(1.0) - (F.lit(1.0) - light) * light_strength)
 
-
-def normalise_curvature(k: Column, scale: float = 0.02) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), k / scale)) * 0.5 + 0.5

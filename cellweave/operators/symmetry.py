@@ -45,10 +45,11 @@ def images(kind: str, x: Column, z: Column, width: int, height: int) -> Column:
     return F.array(*half)
 
 
-def orbits(grid: Grid, kind: str, v: str = "v") -> DataFrame:
-    """x, z, v and ``orbit``: the values of the distinct images that lie on the map, ordered by (z, x)."""
+def orbits(grid: Grid, kind: str, v: str = "v", stride: int = 1) -> DataFrame:
+    """x, z, v (of each ``stride``-th cell and row) and ``orbit``: the values of the distinct images that lie on the map, ordered by (z, x)."""
     w, h = grid.meta.width, grid.meta.height
-    own = grid.df.select("x", "z", F.col(v).alias("v"), F.explode(F.array_distinct(images(kind, F.col("x"), F.col("z"), w, h))).alias("_i"))
+    cells = grid.df if stride == 1 else grid.df.where((F.col("x") % stride == 0) & (F.col("z") % stride == 0))
+    own = cells.select("x", "z", F.col(v).alias("v"), F.explode(F.array_distinct(images(kind, F.col("x"), F.col("z"), w, h))).alias("_i"))
     own = own.select("x", "z", "v", F.col("_i.x").alias("_x"), F.col("_i.z").alias("_z"))
     other = grid.df.select(F.col("x").alias("_x"), F.col("z").alias("_z"), F.col(v).alias("_v"))
     met = own.join(other, ["_x", "_z"])
@@ -70,9 +71,9 @@ def error_field(grid: Grid, kind: str) -> DataFrame:
     return orbits(grid, kind).select("x", "z", worst.alias("deviation"))
 
 
-def error(grid: Grid, kind: str) -> DataFrame:
+def error(grid: Grid, kind: str, stride: int = 1) -> DataFrame:
     """rmse and largest deviation over all pairs of a cell and another image, and the share of cells with one."""
-    pairs = orbits(grid, kind).select("x", "z", F.transform(F.filter("orbit", lambda s: (s["x"] != F.col("x")) | (s["z"] != F.col("z"))), lambda s: F.abs(s["v"] - F.col("v"))).alias("d"))
+    pairs = orbits(grid, kind, stride=stride).select("x", "z", F.transform(F.filter("orbit", lambda s: (s["x"] != F.col("x")) | (s["z"] != F.col("z"))), lambda s: F.abs(s["v"] - F.col("v"))).alias("d"))
     flat = pairs.select("x", "z", F.explode_outer("d").alias("d"))
     return flat.agg(
         F.coalesce(F.sqrt(F.avg(F.col("d") * F.col("d"))), F.lit(0.0)).alias("rmse"), F.coalesce(F.max("d"), F.lit(0.0)).alias("max_deviation"),

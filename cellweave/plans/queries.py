@@ -226,10 +226,10 @@ def height_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(raster(spark, sf_dir, 1000.0).df, raw=raw.cast("double"), back=pointwise.dequantise(raw, -600, 600))
 
 
-@query("srgb_codec", """SELECT x, z, round(CASE WHEN abs(v) <= 0.04045 THEN abs(v) / 12.92 ELSE ((abs(v) + 0.055) / 1.055) ** 2.4 END, 6) AS linear,
-  round(CASE WHEN abs(v) <= 0.0031308 THEN abs(v) * 12.92 ELSE 1.055 * abs(v) ** (1 / 2.4) - 0.055 END, 6) AS encoded FROM g""")
+@query("srgb_codec", """, c AS (SELECT x, z, least(1, greatest(0, v * 4)) AS v FROM g) SELECT x, z, round(CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE ((v + 0.055) / 1.055) ** 2.4 END, 6) AS linear,
+  round(CASE WHEN v <= 0.0031308 THEN v * 12.92 ELSE 1.055 * v ** (1 / 2.4) - 0.055 END, 6) AS encoded FROM c""")
 def srgb_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(raster(spark, sf_dir).df, linear=pointwise.srgb_to_linear(F.abs(V())), encoded=pointwise.linear_to_srgb(F.abs(V())))
+    return cells(raster(spark, sf_dir).df, linear=pointwise.srgb_to_linear(V() * 4.0), encoded=pointwise.linear_to_srgb(V() * 4.0))
 
 
 # Stencils.
@@ -415,7 +415,7 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rules_income", f"""
 WITH {CELLS}, {SPOTS}, m AS (SELECT x, z, floor(least(greatest(v, 0), 1) * 255 + 0.5)::BIGINT AS b FROM g)
-SELECT id, round(coalesce(sum(b), 0) * 0.9 * 0.001, 6) AS income FROM sp LEFT JOIN m ON ((x + 0.5) * 16 - px) ** 2 + ((z + 0.5) * 16 - pz) ** 2 < 8100 GROUP BY id""")
+SELECT id, round((coalesce(sum(b), 0) * 0.9 * 0.001)::DOUBLE, 6) AS income FROM sp LEFT JOIN m ON ((x + 0.5) * 16 - px) ** 2 + ((z + 0.5) * 16 - pz) ** 2 < 8100 GROUP BY id""")
 def rules_income(spark: SparkSession, sf_dir: str) -> DataFrame:
     metal = raster(spark, sf_dir).df.select("x", "z", pointwise.output_terrain_type(V(), "mask").cast("long").alias("b"))
     return rules.income(metal, spots(spark, sf_dir)).select("id", r6("income").alias("income"))
@@ -602,8 +602,7 @@ def layout_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("layout_river")
 def layout_river(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beds = [(x, z, 40 - s / 50) for x, z, s in shapes.stations(LINE.points, 200.0)]
-    return cells(shapes.carve(raster(spark, sf_dir, 1000.0).df, PX(), PZ(), beds, 60.0, 100.0), v="v")
+    return cells(shapes.river(raster(spark, sf_dir, 1000.0), LINE, 200.0, width=60.0, bank=100.0), v="v", channel="channel")
 
 
 # Surface.
@@ -655,3 +654,5 @@ _kernel("simulate_fill", lambda a: {"filled": kernels.fill_depressions(a)}, ["fi
 _kernel("simulate_flow", lambda a: {"flow": kernels.flow_accumulation(a), "spread": kernels.flow_accumulation(a, True)}, ["flow", "spread"])
 _kernel("simulate_occlusion", lambda a: {"open": kernels.ambient_occlusion(a, 8.0, 64.0)}, ["open"])
 _kernel("simulate_thermal", lambda a: {"v": kernels.thermal(a, 8.0, 35.0, 8)}, ["v"])
+
+from cellweave.plans import extended  # noqa: E402, F401

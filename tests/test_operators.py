@@ -141,8 +141,15 @@ def test_signed_distance(spark):
 
 def test_channel_only_cuts(spark):
     a = np.full((10, 10), 50.0)
-    out = array(shapes.carve(frame(spark, a).df, F.col("x") * 1.0, F.col("z") * 1.0, [(0, 5, 40), (5, 5, 45), (9, 5, 30)], 2, 3), a.shape)
-    assert out.max() <= 50 and out[5, 0] == pytest.approx(40) and out[5, 5] == pytest.approx(40) and out[0, 0] == 50
+    along = [(0, 40, 0), (40, 40, 40), (72, 40, 72)]
+    bed = shapes.falling_bed([50, 55, 40], [0, 40, 72], 10)
+    assert bed == pytest.approx([40, 39.9, 30])
+    g = frame(spark, a)
+    out = array(shapes.carve(g.df, F.col("x") * 8.0, F.col("z") * 8.0, along, bed, 16, 10, 8), a.shape)
+    assert out.max() <= 50 and out[5, 0] == pytest.approx(40) and out[5, 5] == pytest.approx(39.9) and out[0, 0] == 50
+    dug = array(shapes.river(g, shapes.Shape("polyline", [(0, 40), (72, 40)]), 8.0, width=16, depth=10, bank=8), a.shape, "channel")
+    assert dug[5, 3] == pytest.approx(1) and dug[0, 3] == 0 and 0 <= dug.min() and dug.max() <= 1
+    assert shapes.falling_bed([9, 9, 9], [0, 5, 10], 1, start=20, end=0) == [20, 10, 0]
 
 
 def test_ramp_fits_by_tolerance(spark):
@@ -211,9 +218,10 @@ def test_painted_spot_is_found_again(spark):
     spots = spark.createDataFrame([(1, 10, 10, 1.0), (2, 30, 12, 0.37)], "id long, cx long, cz long, income double")
     cells = resources.paint(spots, 64, 32)
     assert cells.where("b < 0 or b > 255").count() == 0 and cells.count() == 42
-    found = {round(r["worth"]): r for r in resources.find_spots(cells, 64, 32).collect()}
-    assert sorted(found) == [int(0.37 / 0.0009 + 0.5), int(1.0 / 0.0009 + 0.5)]
-    assert all(r["cell_count"] == 21 for r in found.values())
+    rows = sorted(resources.find_spots(cells, 64, 32).collect(), key=lambda r: r["x"])
+    assert [r["income"] for r in rows] == pytest.approx([int(i / 0.0009 + 0.5) * 0.0009 for i in (1.0, 0.37)])
+    assert [(r["x"], r["z"], r["cell_count"], r["extent"], r["capturable"]) for r in rows] == [(168, 168, 21, 80, True), (488, 200, 21, 80, True)]
+    assert tuple(resources.is_resource_map(resources.find_spots(cells, 64, 32)).first()) == (80.0, False)
 
 
 def test_checks_on_starts(spark):
@@ -230,3 +238,167 @@ def test_equal_tiles_share_an_id(spark):
 
     tiles = spark.createDataFrame([(0, b"a"), (1, b"b"), (2, b"a"), (3, b"")], "pos long, data binary")
     assert sorted(map(tuple, resources.distinct_tiles(tiles).collect())) == [(0, 0), (1, 1), (2, 0), (3, 3)]
+
+
+def test_seeds_and_generator():
+    from cellweave.functions import seeds
+
+    assert seeds.derive_seed(1, "a") != seeds.derive_seed(1, "b") and seeds.derive_seed(3, "n1") == seeds.derive_seed(3, "n1")
+    assert -(2**31) <= seeds.derive_seed(-5, "node \U0001f600") < 2**31
+    h = 0x811C9DC5
+    for c in "m|1":
+        h = (h ^ ord(c)) * 0x01000193 % 2**32
+    assert seeds.stable_id("m", "1") % 2**32 == h
+    r = seeds.Rng(42)
+    draws = [r.next() for _ in range(4000)]
+    assert draws[:3] == [seeds.Rng(42).next(), *[x for x in draws[1:3]]] and abs(np.mean(draws) - 0.5) < 0.02 and len(set(draws)) > 3990
+    assert all(0 <= r.int(7) < 7 and 2 <= r.range(2, 3) < 3 for _ in range(200)) and abs(np.mean([r.gaussian() for _ in range(4000)])) < 0.06
+
+
+def slow_pipe(a, cell, rounds):
+    """The pipe model cell by cell."""
+    h, w = a.shape
+    b, water, mud = a.copy(), np.zeros(a.shape), np.zeros(a.shape)
+    flux = np.zeros((4, h, w))
+    side = [(-1, 0), (1, 0), (0, -1), (0, 1)]
+    inside = lambda x, z: 0 <= x < w and 0 <= z < h
+    for _ in range(rounds):
+        water = water + 0.02 * 0.012
+        level = b + water
+        for z in range(h):
+            for x in range(w):
+                for k, (i, j) in enumerate(side):
+                    d = level[z, x] - level[z + j, x + i] if inside(x + i, z + j) else 0
+                    flux[k, z, x] = max(0, flux[k, z, x] + 0.02 * 9.81 / cell * d)
+                total, room = flux[:, z, x].sum(), water[z, x] * cell * cell / 0.02
+                if total > room:
+                    flux[:, z, x] *= room / total
+        came = np.zeros((4, h, w))  # from each side
+        for z in range(h):
+            for x in range(w):
+                for k, (i, j) in enumerate(side):
+                    if inside(x + i, z + j):
+                        came[k, z, x] = flux[k ^ 1, z + j, x + i]
+        before = water
+        water = np.maximum(0, before + 0.02 * (came.sum(0) - flux.sum(0)) / (cell * cell))
+        vx, vz = np.zeros(a.shape), np.zeros(a.shape)
+        for z in range(h):
+            for x in range(w):
+                mean = (before[z, x] + water[z, x]) / 2
+                if mean > 1e-6:
+                    vx[z, x] = (came[0, z, x] - flux[0, z, x] + flux[1, z, x] - came[1, z, x]) / 2 / (cell * mean)
+                    vz[z, x] = (came[2, z, x] - flux[2, z, x] + flux[3, z, x] - came[3, z, x]) / 2 / (cell * mean)
+        for z in range(h):
+            for x in range(w):
+                gx = (b[z, min(x + 1, w - 1)] - b[z, max(x - 1, 0)]) / (2 * cell)
+                gz = (b[min(z + 1, h - 1), x] - b[max(z - 1, 0), x]) / (2 * cell)
+                s = np.hypot(gx, gz)
+                gap = max(0.05, s / np.sqrt(1 + s * s)) * np.hypot(vx[z, x], vz[z, x]) * min(1, water[z, x] * 10) - mud[z, x]
+                b[z, x] -= 0.3 * gap
+                mud[z, x] += 0.3 * gap
+        mud = kernels._sample(mud, np.arange(w)[None, :] - vx * 0.02, np.arange(h)[:, None] - vz * 0.02)
+        water = water * (1 - 0.015 * 0.02 * 50)
+    return b, water
+
+
+def test_pipe_erosion_equals_cell_by_cell():
+    a = np.random.default_rng(5).random((7, 9)) * 40
+    out = kernels.pipe_erosion(a, 8.0, 6)
+    b, water = slow_pipe(a, 8.0, 6)
+    assert np.allclose(out["v"], b) and np.allclose(out["water"], water) and out["flow"].max() == pytest.approx(1)
+    assert np.allclose(out["v"], a + out["deposition"] - out["wear"])
+    rock = kernels.pipe_erosion(a, 8.0, 6, erodibility=0.0)
+    assert rock["wear"].max() == 0
+
+
+def test_simulation_grid_lifts_what_changed():
+    assert kernels.plan_grid(1025, 513, 8192.0, 16.0) == (512, 256, 16.0) and kernels.plan_grid(65, 65, 512.0, 1.0, "preview")[0] == 384
+    a = np.random.default_rng(1).random((20, 30))
+    assert np.allclose(kernels.resample(np.full((5, 6), 3.0), 11, 9), 3) and np.allclose(kernels.resample(a, 15, 10), a.reshape(10, 2, 15, 2).mean((1, 3)))
+    still = kernels.on_simulation_grid(a, (60, 40, 4.0), lambda s, c: {"v": s, "w": s})
+    assert np.allclose(still["v"], a) and still["w"].shape == a.shape
+    assert np.allclose(kernels.on_simulation_grid(a, (60, 40, 4.0), lambda s, c: {"v": s + 2})["v"], a + 2)
+
+
+def test_flow_takes_the_first_of_equal_drops():
+    a = np.full((3, 3), 5.0)
+    a[1, 1] = 9.0
+    assert kernels.flow_accumulation(a)[1, 2] == 2  # east
+
+
+def test_placements_equal_greedy_packing(spark):
+    rng = np.random.default_rng(7)
+    a = (rng.random((24, 30)) < 0.7).astype(int)
+    fits = frame(spark, a).df.select("x", "z", F.col("v").cast("int").alias("fits"))
+
+    def greedy(fp, near=None, radius=1e9, limit=10**9):
+        placed = 0
+        for z in range(0, 24 - fp + 1, fp):
+            x = 0
+            while x + fp <= 30 and placed < limit:
+                cx, cz = (x + fp / 2) * 8, (z + fp / 2) * 8
+                if a[z, x] and (near is None or (cx - near[0]) ** 2 + (cz - near[1]) ** 2 <= radius * radius):
+                    placed, x = placed + 1, x + fp - 1
+                x += 1
+        return placed
+
+    inside = fits.where("x <= 27 and z <= 21")
+    assert rules.count_placements(inside, 3).first()["placed"] == greedy(3)
+    points = [(0, 100.0, 90.0), (1, 0.0, 0.0), (2, 5000.0, 5000.0)]
+    near = spark.createDataFrame(points, "id int, px double, pz double")
+    got = {r["id"]: r["placed"] for r in rules.count_placements(inside, 3, near, 60.0, 5).collect()}
+    assert got == {i: greedy(3, (x, z), 60.0, 5) for i, x, z in points}
+
+
+def test_reachability_and_pads(spark):
+    from cellweave.operators import checks
+
+    rows = [(x, z, 0.0 if x != 40 else 0.9, 10.0, 20.0) for x in range(80) for z in range(60)]
+    cells = spark.createDataFrame(rows, "cx long, cz long, slope double, lo double, hi double")
+    seeds = spark.createDataFrame([(100.0, 100.0), (1200.0, 100.0)], "px double, pz double")
+    got = sorted((r["class"], r["code"]) for r in checks.check_reachability(cells, 80, ("TANK3", "BOAT4"), seeds).collect())
+    assert got == [("TANK3", "pathing.severed"), ("TANK3", "pathing.startsDisconnected")]
+    whole = spark.createDataFrame([(x, z, 0.0 if x != 70 else 0.9, 10.0, 20.0) for x in range(140) for z in range(60) if x < 70 or x > 110 or x == 70], "cx long, cz long, slope double, lo double, hi double")
+    lone = spark.createDataFrame([(100.0, 100.0)], "px double, pz double")
+    codes = [r["code"] for r in checks.check_reachability(whole, 140, ("TANK3",), lone).collect()]
+    assert codes in (["pathing.severed"], ["pathing.pocket"])
+    fits = frame(spark, np.ones((200, 200))).df.select("x", "z", F.lit(1).alias("fits"))
+    starts = spark.createDataFrame([(0, 800.0, 800.0)], "id int, px double, pz double")
+    assert checks.check_pads(fits, fits, starts).count() == 0
+    assert sorted(r["code"] for r in checks.check_pads(fits.limit(0), fits.limit(0), starts).collect()) == ["build.basePad", "build.labPad"]
+
+
+def test_shape_documents_and_curves():
+    text = '{"shapes": [{"id": "Lake", "kind": "polygon", "points": [{"x": 0, "z": 1}, {"x": 5, "z": 1}, {"x": 5, "z": 6}], "value": -20}, {"kind": "point", "points": [{"x": 3, "z": 4}], "width": 8}]}'
+    found = shapes.parse(text)
+    assert [s.id for s in found] == ["Lake", "shape-1"] and shapes.parse(shapes.serialise(found)) == found and shapes.select(found, "lak") == found[:1]
+    assert shapes.parse("") == [] and shapes.bounds(found[0].points) == (0, 1, 5, 6)
+    with pytest.raises(ValueError):
+        shapes.parse('[{"kind": "blob", "points": []}]')
+    ring = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    assert shapes.spline(ring, 0.25, True) == pytest.approx((4, 0)) and shapes.spline(ring[:2], 0.5) == pytest.approx((2, 0))
+    square = shapes.pad(100, 100, 33, 10, 0.0, 5.0)
+    assert shapes.bounds(square.points) == (76, 92, 124, 108)
+
+
+def test_palettes_are_rescaled_on_each_side_of_the_water():
+    from cellweave.operators import surface
+
+    layers = [surface.Layer("a", (0, 0, 0), surface.Band(-50, 100, 10)), surface.Layer("b", (1, 1, 1))]
+    low = surface.rescale_heights(layers, -25, 400, -100, 200)[0].height
+    assert (low.low, low.high, low.blend_low, low.blend_high) == (-12.5, 200, 2.5, 20)
+    assert surface.rescale_heights(layers, 0, 400, -100, 200)[0].height.low == -100
+    with pytest.raises(ValueError):
+        surface.rescale_heights(layers, 5, 1, 0, 10)
+    assert [x.name for x in surface.slope_bands(layers, [(0, 0, 0)] * 2)][2:] == ["slope-band-bot", "slope-band-all-terrain"]
+    assert not surface.Layer("c", (0, 0, 0), cap=1.0).capped and surface.Layer("c", (0, 0, 0), cap=-3).share == 0
+
+
+def test_ranges_and_lights():
+    from cellweave.operators import lookups
+
+    assert pointwise.suggest_range(-19, 461) == (-50, 500) and pointwise.suggest_range(None, None) == (0, 256) and pointwise.suggest_range(5, 5)[0] < 5
+    assert lookups.sun_angles((0.0, 1.0, -1.0)) == pytest.approx((0, 45)) and lookups.sun_angles((1.0, 0.0, 0.0)) == pytest.approx((90, 0))
+    assert 0.6 < lookups.flat_light() < 0.7 and lookups.peak_shade() == pytest.approx(1.3 * lookups.INTENSITY)
+    with pytest.raises(KeyError):
+        rules.building("castle")
