@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -60,18 +61,41 @@ def from_arrays(rows: DataFrame, key: str, values: str, scale: float = 1.0, cell
     return Grid(df, GridMeta(int(width or 0), int(height or 0), cell))
 
 
+#: Cells a side of a tile; even, so that no 2 by 2 block is cut.
+TILE = 256
+
+
+def in_tiles(grid: Grid, reach: int, run: Callable[[Grid], Grid | DataFrame]) -> Grid | DataFrame:
+    """``run`` on ``grid`` dealt in square tiles, each with the cells ``reach`` around it.
+
+    The one shuffle of a stencil: windows along rows and columns stay inside a tile.  A cell near a border goes to
+    each tile that needs it; what ``run`` makes of it there is dropped, so results do not depend on the tiles.
+    """
+    size = max(TILE, 4 * reach)
+
+    def needed(at: str, n: int) -> Column:
+        first = F.greatest(F.lit(0), F.floor((F.col(at) - reach) / size))
+        return F.explode(F.sequence(first.cast("long"), F.least(F.lit((n - 1) // size), F.floor((F.col(at) + reach) / size)).cast("long")))
+
+    dealt = grid.df.withColumn("_tx", needed("x", grid.meta.width)).withColumn("_tz", needed("z", grid.meta.height)).repartition("_tx", "_tz")
+    out = run(replace(grid, df=dealt))
+    rows = out.df if isinstance(out, Grid) else out
+    own = rows.where((F.floor(F.col("x") / size) == F.col("_tx")) & (F.floor(F.col("z") / size) == F.col("_tz"))).drop("_tx", "_tz")
+    return replace(out, df=own) if isinstance(out, Grid) else own
+
+
 def along_x() -> WindowSpec:
-    """Cells of a row, in order."""
-    return Window.partitionBy("z").orderBy("x")
+    """Cells of a tile's row, in order."""
+    return Window.partitionBy("_tx", "_tz", "z").orderBy("x")
 
 
 def along_z() -> WindowSpec:
-    """Cells of a column, in order."""
-    return Window.partitionBy("x").orderBy("z")
+    """Cells of a tile's column, in order."""
+    return Window.partitionBy("_tx", "_tz", "x").orderBy("z")
 
 
 def neighbour(v: Column | str, dx: int = 0, dz: int = 0) -> Column:
-    """The value ``dx`` or ``dz`` cells away, held at the edge (one step only)."""
+    """The value ``dx`` or ``dz`` cells away, held at the edge (one step only; inside ``in_tiles``)."""
     c = F.col(v) if isinstance(v, str) else v
     if dx:
         return F.coalesce(F.lead(c, dx).over(along_x()) if dx > 0 else F.lag(c, -dx).over(along_x()), c)

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.grid import Grid, along_x, along_z
-from cellweave.operators.stencil import square_centres, window_extrema
+from cellweave.operators.grid import Grid, along_x, along_z, in_tiles
+from cellweave.operators.stencil import _centres, _extrema, square_centres
 
 # Fixed values of the rules.
 SQUARE = 8.0
@@ -73,9 +73,17 @@ def slope_band(degrees: Column) -> Column:
 
 
 def slope_cells(corners: Grid, v: str = "v") -> DataFrame:
-    """cx, cz, slope, lo, hi of every 2 by 2 block of squares (lo, hi: of its 3 by 3 corners)."""
+    """cx, cz, slope, lo, hi of every 2 by 2 block of squares (lo, hi: of its 3 by 3 corners).
+
+    A block lies in one tile, so its sums need no further shuffle.
+    """
+    rows = in_tiles(corners, 2, lambda g: _slope_cells(g, v))
+    return rows.select("cx", "cz", "slope", "lo", "hi")
+
+
+def _slope_cells(corners: Grid, v: str) -> DataFrame:
     k = F.col
-    rows = corners.df.select("x", "z", k(v).alias("tl")).withColumn("tr", F.lead("tl").over(along_x()))
+    rows = corners.df.select("_tx", "_tz", "x", "z", k(v).alias("tl")).withColumn("tr", F.lead("tl").over(along_x()))
     rows = rows.withColumns({"bl": F.lead("tl").over(along_z()), "br": F.lead("tr").over(along_z())})
     rows = rows.where("tr is not null and br is not null")
     a, b, c, d = k("tr") - k("tl"), k("bl") - k("tl"), k("bl") - k("br"), k("tr") - k("br")
@@ -84,11 +92,12 @@ def slope_cells(corners: Grid, v: str = "v") -> DataFrame:
         "n1": F.lit(SQUARE) / F.sqrt(a * a + square2 + b * b), "n2": F.lit(SQUARE) / F.sqrt(c * c + square2 + d * d),
         "lo": F.least("tl", "tr", "bl", "br"), "hi": F.greatest("tl", "tr", "bl", "br"),
     })
-    cells = rows.groupBy(F.floor(k("x") / 2).alias("cx"), F.floor(k("z") / 2).alias("cz")).agg(
+    cells = rows.groupBy("_tx", "_tz", F.floor(k("x") / 2).alias("cx"), F.floor(k("z") / 2).alias("cz")).agg(
         (F.sum(k("n1") + k("n2")) * 0.125).alias("avg"), F.min(F.least("n1", "n2")).alias("low"),
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("squares"),
     ).where("squares = 4")
-    return cells.select("cx", "cz", (F.lit(1.0) - (k("low") + (k("avg") - k("low")) * (k("low") / k("avg")))).alias("slope"), "lo", "hi")
+    slope = F.lit(1.0) - (k("low") + (k("avg") - k("low")) * (k("low") / k("avg")))
+    return cells.select("_tx", "_tz", "cx", "cz", slope.alias("slope"), "lo", "hi", (k("cx") * 2).alias("x"), (k("cz") * 2).alias("z"))
 
 
 def passable(water: float = 0.0) -> Column:
@@ -110,14 +119,17 @@ def passability(cells: DataFrame, water: float = 0.0) -> DataFrame:
 
 def buildability(corners: Grid, sx: int, sz: int, tolerance: float, water: float = 0.0, max_depth: float | None = None, v: str = "v") -> DataFrame:
     """x, z, fits of every footprint of ``sx`` by ``sz`` squares, keyed by its first square."""
-    centres = square_centres(corners, v)
-    rows = centres.with_column("_p", F.lead("v", sx // 2).over(along_x()) if sx > 1 else F.col("v"))
-    rows = rows.with_column("_p", F.lead("_p", sz // 2).over(along_z()) if sz > 1 else F.col("_p"))
-    seen = window_extrema(rows, sx, sz)
     ok = (F.col("hi") - F.col("_p") <= tolerance) & (F.col("_p") - F.col("lo") <= tolerance)
     if max_depth is not None:
         ok &= F.lit(water) - F.col("lo") <= max_depth
-    return seen.select("x", "z", ok.cast("int").alias("fits"))
+
+    def run(g: Grid) -> DataFrame:
+        rows = _centres(g, v)
+        rows = rows.with_column("_p", F.lead("v", sx // 2).over(along_x()) if sx > 1 else F.col("v"))
+        rows = rows.with_column("_p", F.lead("_p", sz // 2).over(along_z()) if sz > 1 else F.col("_p"))
+        return _extrema(rows, sx, sz, "v").select("_tx", "_tz", "x", "z", ok.cast("int").alias("fits"))
+
+    return in_tiles(corners, max(sx, sz), run)
 
 
 def income(cells: DataFrame, spots: DataFrame, radius: float = 90.0, max_metal: float = 0.9, extracts: float = 0.001) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Neighbourhood operators: window frames along rows, then along columns."""
+"""Neighbourhood operators: window frames along rows, then along columns, inside tiles with a halo."""
 
 from __future__ import annotations
 
@@ -7,17 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.grid import Grid, along_x, along_z, neighbour
+from cellweave.operators.grid import Grid, along_x, along_z, in_tiles, neighbour
 from cellweave.operators.pointwise import SNOW_DRIFT, snow_cover
 
 
 def gradient(grid: Grid, v: str = "v") -> Grid:
     """``gx`` and ``gz``: central differences over two cells, also at held edges."""
     c = 2 * grid.meta.cell
-    return grid.with_columns({
+    return in_tiles(grid, 1, lambda g: g.with_columns({
         "gx": (neighbour(v, 1) - neighbour(v, -1)) / c,
         "gz": (neighbour(v, 0, 1) - neighbour(v, 0, -1)) / c,
-    })
+    }))
 
 
 def slope(gx: str = "gx", gz: str = "gz") -> Column:
@@ -49,6 +49,10 @@ def normal_map(strength: float = 1.0) -> list[Column]:
 
 def curvature(grid: Grid, v: str = "v") -> Grid:
     """``mean``, ``gaussian``, ``planform`` and ``profile`` curvature."""
+    return in_tiles(grid, 1, lambda g: _curvature(g, v))
+
+
+def _curvature(grid: Grid, v: str) -> Grid:
     c = grid.meta.cell
     rows = grid.with_columns({"_e": neighbour(v, 1), "_w": neighbour(v, -1)})
     rows = rows.with_columns({
@@ -82,13 +86,15 @@ def _box(v: str, r: int, window, place: str, size: int) -> Column:
     return (inside + first * before + last * after) / (2 * r + 1)
 
 
-def box_blur(grid: Grid, radius: int, v: str = "v") -> Grid:
-    r = max(0, int(radius + 0.5))
-    if not r:
-        return grid
+def _blurred(grid: Grid, r: int, v: str) -> Grid:
     return grid.with_column(v, _box(v, r, along_x(), "x", grid.meta.width)).with_column(v, _box(v, r, along_z(), "z", grid.meta.height))
 
 
+def box_blur(grid: Grid, radius: float, v: str = "v") -> Grid:
+    r = max(0, int(radius + 0.5))
+    return in_tiles(grid, r, lambda g: _blurred(g, r, v)) if r else grid
+
+
 def gaussian_widths(sigma: float, n: int = 3) -> list[int]:
     """Widths of ``n`` boxes whose variance is nearest to sigma squared."""
     ideal = math.sqrt(12 * sigma * sigma / n + 1)
@@ -99,9 +105,14 @@ def gaussian_widths(sigma: float, n: int = 3) -> list[int]:
 
 
 def gaussian_blur(grid: Grid, sigma: float, v: str = "v") -> Grid:
-    for width in gaussian_widths(sigma) if sigma > 0 else []:
-        grid = box_blur(grid, (width - 1) // 2, v)
-    return grid
+    radii = [r for r in ((w - 1) // 2 for w in gaussian_widths(sigma)) if r] if sigma > 0 else []
+
+    def run(g: Grid) -> Grid:
+        for r in radii:
+            g = _blurred(g, r, v)
+        return g
+
+    return in_tiles(grid, sum(radii), run) if radii else grid
 
 
 def unsharp(grid: Grid, sigma: float, amount: float) -> Grid:
@@ -110,11 +121,16 @@ def unsharp(grid: Grid, sigma: float, amount: float) -> Grid:
 
 
 def dilate(grid: Grid, r: int, v: str = "v") -> Grid:
-    return grid.with_column(v, F.max(v).over(along_x().rowsBetween(-r, r))).with_column(v, F.max(v).over(along_z().rowsBetween(-r, r)))
+    wide = lambda w: F.max(v).over(w.rowsBetween(-r, r))
+    return in_tiles(grid, r, lambda g: g.with_column(v, wide(along_x())).with_column(v, wide(along_z())))
 
 
 def window_extrema(grid: Grid, wx: int, wz: int, v: str = "v") -> DataFrame:
     """Smallest and largest value of every ``wx`` by ``wz`` window that lies inside, keyed by its first corner."""
+    return in_tiles(grid, max(wx, wz) - 1, lambda g: _extrema(g, wx, wz, v))
+
+
+def _extrema(grid: Grid, wx: int, wz: int, v: str) -> DataFrame:
     rows = grid.df.withColumns({"_lo": F.min(v).over(along_x().rowsBetween(0, wx - 1)), "_hi": F.max(v).over(along_x().rowsBetween(0, wx - 1))})
     rows = rows.where(F.col("x") <= grid.meta.width - wx)
     rows = rows.withColumns({"lo": F.min("_lo").over(along_z().rowsBetween(0, wz - 1)), "hi": F.max("_hi").over(along_z().rowsBetween(0, wz - 1))})
@@ -123,11 +139,15 @@ def window_extrema(grid: Grid, wx: int, wz: int, v: str = "v") -> DataFrame:
 
 def square_centres(grid: Grid, v: str = "v") -> Grid:
     """Mean of the four corners of every square; one sample less each way."""
+    return in_tiles(grid, 1, lambda g: _centres(g, v))
+
+
+def _centres(grid: Grid, v: str) -> Grid:
     rows = grid.df.withColumn("_r", F.lead(v).over(along_x()))
     rows = rows.withColumns({"_d": F.lead(v).over(along_z()), "_rd": F.lead("_r").over(along_z())})
     rows = rows.where(F.col("_r").isNotNull() & F.col("_rd").isNotNull())
     meta = type(grid.meta)(grid.meta.width - 1, grid.meta.height - 1, grid.meta.cell)
-    return Grid(rows.select("x", "z", ((F.col(v) + F.col("_r") + F.col("_d") + F.col("_rd")) * 0.25).alias("v")), meta)
+    return Grid(rows.select("_tx", "_tz", "x", "z", ((F.col(v) + F.col("_r") + F.col("_d") + F.col("_rd")) * 0.25).alias("v")), meta)
 
 
 def downsample_half(df: DataFrame, v: str = "v") -> DataFrame:
@@ -189,6 +209,6 @@ def transform(grid: Grid, dx: float, dz: float, scale: float, rotation: float) -
 
 def warp(grid: Grid, by: str, amount: float) -> DataFrame:
     """Displace samples along the gradient of channel ``by``; held edges keep the two-cell divisor."""
-    moved = grid.with_columns({"_gx": (neighbour(by, 1) - neighbour(by, -1)) * 0.5, "_gz": (neighbour(by, 0, 1) - neighbour(by, 0, -1)) * 0.5})
+    moved = in_tiles(grid, 1, lambda g: g.with_columns({"_gx": (neighbour(by, 1) - neighbour(by, -1)) * 0.5, "_gz": (neighbour(by, 0, 1) - neighbour(by, 0, -1)) * 0.5}))
     at = moved.df.select("x", "z", (F.col("x") + F.col("_gx") * amount).alias("sx"), (F.col("z") + F.col("_gz") * amount).alias("sz"))
     return bilinear(grid, at).select("x", "z", "v")

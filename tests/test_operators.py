@@ -402,3 +402,23 @@ def test_ranges_and_lights():
     assert 0.6 < lookups.flat_light() < 0.7 and lookups.peak_shade() == pytest.approx(1.3 * lookups.INTENSITY)
     with pytest.raises(KeyError):
         rules.building("castle")
+
+
+def test_tiles_do_not_show_in_results(spark, monkeypatch):
+    a = np.random.default_rng(12).random((23, 19)) * 60
+    g = frame(spark, a)
+
+    def results():
+        return {
+            "slope": stencil.gradient(g).df, "curve": stencil.curvature(g).df.select("x", "z", "mean", "profile"), "blur": stencil.gaussian_blur(g, 1.5).df,
+            "box": stencil.box_blur(g, 3).df, "dilate": stencil.dilate(g, 2).df, "extrema": stencil.window_extrema(g, 4, 3), "centres": stencil.square_centres(g).df,
+            "cells": rules.slope_cells(g), "fits": rules.buildability(g, 4, 6, 25.0), "snow": stencil.snow(g, 20.0, 80.0).df, "warp": stencil.warp(g, "v", 0.05),
+        }
+
+    rows = lambda df: np.array(sorted(tuple(map(float, r)) for r in df.collect()))
+    whole = {n: rows(df) for n, df in results().items()}
+    plan = results()["blur"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+    monkeypatch.setattr(G, "TILE", 6)
+    for name, df in results().items():
+        assert np.allclose(rows(df), whole[name]), name
