@@ -49,9 +49,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """_row, text, _id (doc_id), _doc (all columns of a row of ``docs``), written once, so that numbers stay."""
+    """_row, text, _id (doc_id), _doc (all columns of a row of ``docs``); the rows are written once, so that numbers stay."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text"), F.col("doc_id").alias("_id"), whole.alias("_doc")), "numbered")
+    kept = cut(docs.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_doc")), "numbered")
+    return kept.select("_row", F.col("_doc.text").alias("text"), F.col("_doc.doc_id").alias("_id"), "_doc")
 
 
 def first_rows(rows: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
