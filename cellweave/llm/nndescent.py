@@ -49,7 +49,7 @@ ORDERS = 4
 ROUNDS = 30
 SIGNS = 8
 #: Rows of a block of the exact comparisons; a tile holds two blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Rows that a task sorts for an order, at least.
 ORDER_ROWS = 2048
 AUDIT_ROWS = 256
