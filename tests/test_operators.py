@@ -422,3 +422,33 @@ def test_tiles_do_not_show_in_results(spark, monkeypatch):
     monkeypatch.setattr(G, "TILE", 6)
     for name, df in results().items():
         assert np.allclose(rows(df), whole[name]), name
+
+
+def test_graph_nodes_run(spark):
+    from cellweave.plans import graph as P
+
+    layout = '[{"id": "a", "kind": "polygon", "points": [{"x": 8, "z": 8}, {"x": 40, "z": 8}, {"x": 40, "z": 40}], "falloff": 16}]'
+    extra = {
+        "filter.curve": {"points": [[0, 0], [0.5, 0.2], [1, 1]]}, "filter.warp": {"amount": 9}, "selector.curvature": {"kind": "concave"}, "selector.flow": {}, "selector.occlusion": {"radius": 16},
+        "natural.thermal": {"angle": 20}, "natural.snow": {"line": 10, "slopeLimit": 85}, "layout.mask": {"shapes": layout}, "layout.distance": {"shapes": layout}, "gameplay.symmetry": {},
+        "utility.statistics": {"measure": "max"}, "utility.number": {"value": 3},
+    }
+    nodes = [{"id": "n", "type": "generator.noise", "params": {"amplitude": 50, "octaves": 2}}] + [{"id": t, "type": t, "params": p} for t, p in extra.items()]
+    edges = [{"fromNode": "n", "toNode": t, "toPort": port} for t in extra for port in P.REGISTRY[t].inputs if port != "mask"]
+    e = P.Evaluator(spark, {"nodes": nodes, "edges": edges}, G.GridMeta(8, 8), seed=5)
+    for name, grid in e.evaluate_many(list(extra)).items():
+        row = grid.df.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        assert row["n"] == 64 and np.isfinite([row["lo"], row["hi"]]).all(), name
+        assert name.split(".")[0] != "selector" and name != "layout.mask" or 0 <= row["lo"] <= row["hi"] <= 1
+    g = G.Grid(e.evaluate("gameplay.symmetry").df, G.GridMeta(8, 8))
+    assert symmetry.error(g, "rotate180").first()["max_deviation"] < 1e-9
+    assert e.evaluate("utility.statistics").df.select("v").distinct().count() == 1
+    other = P.Evaluator(spark, {"nodes": nodes, "edges": edges}, G.GridMeta(8, 8), seed=6, budget=1200)
+    assert other.evaluate("n").df.agg(F.sum("v")).first() != e.evaluate("n").df.agg(F.sum("v")).first()
+    other.evaluate_many(["utility.number", "layout.mask", "natural.snow"])
+    assert len(other.memo) <= 2
+    order, left = P.topological_order({"nodes": nodes, "edges": edges})
+    assert order[0] == "n" or "n" in order and not left
+    assert P.descendants({"nodes": nodes, "edges": edges}, "n") == {"n", *[x["toNode"] for x in edges]}
+    ring = {"nodes": [{"id": "a"}, {"id": "b"}, {"id": "c"}], "edges": [{"fromNode": "a", "toNode": "b"}, {"fromNode": "b", "toNode": "a"}]}
+    assert P.topological_order(ring) == (["c"], ["a", "b"])
