@@ -1,12 +1,17 @@
 """Near copies by the Jaccard similarity of word-shingle sets.
 
-Words are those of ``simhash``; a text's set holds the XXH64 of its shingles of
-``WIDTH`` words (fewer words are one shingle).  Equal sets are one node.  Nodes
-that agree on all ``ROWS`` minima of one of ``BANDS`` bands share a bucket: a
-pair of similarity 0.8 shares none with a probability of (1 - 0.8^3)^30, about
-5e-10.  In each bucket members meet its smallest member, then the next one, and
-pairs of one component are left out; what is left after ``STARS`` rounds meets
-in all pairs.  Every candidate is checked on its whole sets.
+Words are those of ``simhash``; a text's set holds one 64-bit hash for each of
+its shingles of ``WIDTH`` words (fewer words are one shingle).  Equal sets are
+one node.  Nodes that agree on all ``ROWS`` minima of one of ``BANDS`` bands
+share a bucket: a pair of similarity 0.8 shares none with a probability of
+(1 - 0.8^3)^30, about 5e-10.  In each bucket members meet its smallest member,
+then the next one, and pairs of one component are left out; what is left after
+``STARS`` rounds meets in all pairs.
+
+A candidate whose set sizes rule the similarity out, or that agrees on less than
+``AGREE`` of all minima (a pair of similarity 0.8: with a probability below
+1e-11), goes no further; every other one is checked on its whole sets, which are
+made for the nodes of such candidates only.
 """
 
 from __future__ import annotations
@@ -27,7 +32,12 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 3
 STARS = 3
 SALTS = 64
-SEED = 42
+#: Share of ``SIMILARITY`` that a candidate's agreement on minima must reach.
+AGREE = 0.55
+#: Odd multipliers, from a fixed seed: of the words of a shingle (the last one mixes their sum) and of the minima.
+_RNG = np.random.default_rng(42)
+PLACES = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TURNS = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -35,8 +45,14 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))], np.uint64))
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    many = max(1, len(words) - width + 1)
+    out = np.zeros(many, np.uint64)
+    for i in range(min(width, len(words))):
+        out += each[i : i + many] * PLACES[i]
+    out ^= out >> np.uint64(32)
+    out *= PLACES[-1]
+    return np.unique(out ^ (out >> np.uint64(29)))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -44,56 +60,91 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def bands(hashes: np.ndarray) -> list[int]:
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of ``BANDS * ROWS`` hash functions."""
+    high, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(high), 512):
+        np.minimum(least, (high[at : at + 512, None] * TURNS).min(0), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
     """One signed key a band."""
-    rng = np.random.default_rng(SEED)
-    by = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        least = np.minimum(least, (hashes[at : at + 1024, None] * by + add).min(0))
-    raw = least.tobytes()
-    size = 8 * ROWS
+    raw, size = least.tobytes(), least.itemsize * ROWS
     return [int(np.uint64(xxhash.xxh64_intdigest(raw[i * size : (i + 1) * size], i)).astype(np.int64)) for i in range(BANDS)]
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """_row, key (of the whole set), bands."""
+    """_row, key (of the whole set), n (its size), minima, bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("_row", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("minima", pa.binary()), ("bands", pa.list_(pa.int64()))])
+        for batch in batches:
+            out = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = shingle_set(text.as_py())
+                least = minima(hashes)
+                out.append((row, xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), least.tobytes(), bands(least)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return text_bytes(rows, "_row").mapInArrow(run, "_row long, key binary, n long, minima binary, bands array<long>")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that sizes and minima do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for i in (2, 3))
+            stay = pa.array((x == y).mean(1) >= least * AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay), batch.column(1).filter(stay)], names=["a", "b"])
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("minima").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("minima").alias("y"))
+    sized = _beside(pairs.join(left, "a"), right).where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least))
+    return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _beside(pairs: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs`` joined to ``right`` by b, per (b, salt): the centre of a large bucket is in many pairs."""
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    return salted.join(salted.select("b", "_salt").distinct().join(right, "b"), ["b", "_salt"])
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node, hashes (the packed shingle set) of ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["_row", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "hashes"])
 
-    return text_bytes(rows, "_row").mapInArrow(run, "_row long, key binary, bands array<long>")
+    return texts.select("_row", "_text").mapInArrow(run, "node long, hashes binary")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of ``least`` or more."""
+    near = cut(_likely(pairs, nodes, least), "likely")
+    asked = near.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    sets = cut(_sets(texts.join(asked, "_row", "left_semi")), "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            found = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if b != last:
-                    last, held = b, shingle_set(y.as_py())
-                if similarity(shingle_set(x.as_py()), held) >= least:
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            sets = zip(*([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(i)] for i in (2, 3)))
+            stay = pa.array([similarity(x, y) >= least for x, y in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay), batch.column(1).filter(stay)], names=["a", "b"])
 
-    left = texts.select(F.col("_row").alias("a"), F.col("_text").alias("x"))
-    right = texts.select(F.col("_row").alias("b"), F.col("_text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return _beside(near.join(left, "a"), right).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: int = STARS) -> DataFrame:
-    """node, component of the linked ones of ``nodes`` (node, bands)."""
+    """node, component of the linked ones of ``nodes`` (node, n, minima, bands; a written table)."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     rows = cut(rows.join(shared, "bucket"), "buckets")
-    links, joined = None, None
+    joined = None
     for star in range(stars + 1):
         now = rows if joined is None else rows.join(joined, "node", "left")
         now = now.withColumn("part", F.col("node") if joined is None else F.coalesce("component", "node")).select("bucket", "node", "part")
@@ -107,9 +158,10 @@ def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: i
         else:
             other = now.select("bucket", F.col("node").alias("b"), F.col("part").alias("other"))
             pairs = now.join(other, "bucket").where("b < node and part <> other").select(F.col("node").alias("a"), "b")
-        new = cut(_checked(cut(pairs.distinct(), "pairs"), texts, least), "checked")
-        links = new if links is None else links.unionByName(new)
-        joined = cut(components(links), "joined")
+        new = cut(_checked(cut(pairs.distinct(), "pairs"), nodes.drop("bands"), texts, least), "checked")
+        if joined is None or not new.isEmpty():
+            known = new if joined is None else new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            joined = cut(components(known), "joined")
         if star < stars:
             rows = cut(now.join(centre, "bucket").where("node <> c.node").select("bucket", "node"), "left")
     return joined
@@ -119,8 +171,8 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component: the first by (null id last, doc_id, hash of the text, hash of the row)."""
     rows = numbered(docs)
     signed = cut(_signed(rows), "signed")
-    known = cut(signed.groupBy("key").agg(F.min("_row").alias("node"), F.first("bands").alias("bands")), "sets")
-    joined = link(known.select("node", "bands"), text_bytes(rows, "_row"), least)
+    known = cut(signed.groupBy("key").agg(F.min("_row").alias("node"), *[F.first(c).alias(c) for c in ("n", "minima", "bands")]), "sets")
+    joined = link(known.drop("key"), text_bytes(rows, "_row"), least)
     group = known.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     salted = signed.select("_row", "key").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
     return first_rows(rows, label_rows(salted, "key", group, "component").select("_row", "component"), docs.columns)

@@ -541,3 +541,17 @@ def test_pipeline_drops_near_copies_of_similarity_0_8(spark):
     docs = spark.createDataFrame([(i, t, "en", "a", 1, "x") for i, t in enumerate(texts)], DOC)
     kept = {r[0] for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
     assert len(near) > 40 and not kept & {i + 1 for i in near} and set(range(0, 120, 2)) <= kept and not kept & set(range(120, 170))
+
+
+def test_shingle_sets_and_minima():
+    rnd = random.Random(4)
+    for n in (0, 1, 4, 5, 6, 900):
+        words = [f"W{rnd.randrange(200)}" for _ in range(n)]
+        wanted = {tuple(words[i : i + 5]) for i in range(max(1, n - 4))} if n else set()
+        assert len(shingles.shingle_set(" \t".join(words).encode())) == len(wanted)
+    a, b = ([f"w{i}" for i in range(at, at + 1500)] for at in (0, 160))
+    x, y = (shingles.shingle_set(" ".join(w).encode()) for w in (a, b))
+    least = [shingles.minima(v) for v in (x, y)]
+    assert abs(shingles.similarity(x, y) - 1336 / 1656) < 1e-9  # 0.807
+    assert (least[0] == least[1]).mean() >= 0.8 * shingles.AGREE and set(shingles.bands(least[0])) & set(shingles.bands(least[1]))
+    assert len({*map(tuple, (shingles.shingle_set(t) for t in (b"a b", b"b a", b"a b c", b"a")))}) == 4
