@@ -7,6 +7,7 @@ separator ends each file, so readers drop one trailing byte.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,21 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators.grid import Grid, GridMeta
+from cellweave.operators.regions import DEFAULT_CHECKPOINTS
 
 #: Full scale of raw heights in exchange files.
 FULL = 65535
 BLOCK_ROWS = 256
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path, used once, in the folder that driver and executors share (a folder of our own only in local mode)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(named or DEFAULT_CHECKPOINTS).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_raw16(grid: Grid, path: str, low: float, high: float, block_rows: int = BLOCK_ROWS) -> None:
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["z", "x"])

@@ -189,6 +189,40 @@ def test_raw16_round_trip(spark, tmp_path):
     assert np.abs(array(back.df, a.shape) - a).max() < 0.01
 
 
+def test_png():
+    import struct
+    import zlib
+
+    from cellweave.sources import png
+
+    rng = np.random.default_rng(3)
+    for channels in (1, 2, 3, 4):
+        for kind in (np.uint8, np.uint16):
+            image = rng.integers(0, np.iinfo(kind).max + 1, (7, 11, channels)).astype(kind)
+            for f in range(5):
+                assert (png.decode(png.encode(image, kinds=(f,))) == image).all()
+            assert (png.decode(png.encode(image) + b"\n") == image).all()
+    # Rows filtered by hand: one byte a sample, every filter once.
+    lines = bytes([0, 10, 20, 30, 1, 1, 1, 1, 2, 5, 5, 5, 3, 3, 3, 3, 4, 1, 2, 3])
+    data = png.SIGNATURE + png._chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 5, 8, 0, 0, 0, 0)) + png._chunk(b"IDAT", zlib.compress(lines)) + png._chunk(b"IEND", b"")
+    assert png.decode(data)[:, :, 0].tolist() == [[10, 20, 30], [1, 2, 3], [6, 7, 8], [6, 9, 11], [7, 11, 14]]
+    for bad in (b"", data[:-6], data.replace(b"IDAT", b"IDAX"), data[:30] + b"\0" + data[31:]):
+        with pytest.raises(png.PngError):
+            png.decode(bad)
+
+
+def test_png16_files(spark, tmp_path):
+    from cellweave.sources.png import read_png16, write_png16
+
+    rows = [(m, x, z, float(m * 10 + x - z), "y") for m in range(3) for x in range(5) for z in range(4 + m)]
+    cells = spark.createDataFrame(rows, "map_id int, x int, z int, v double, image string")
+    write_png16(cells, str(tmp_path / "p"), -10, 40)
+    back = {r[:3]: r[3] for r in map(tuple, read_png16(spark, str(tmp_path / "p"), -10, 40).collect())}
+    assert len(back) == len(rows) and all(abs(back[r[:3]] - r[3]) < 0.001 for r in rows)
+    with pytest.raises(Exception, match="does not fill"):
+        write_png16(cells.where("x <> 2"), str(tmp_path / "q"), -10, 40)
+
+
 def test_graph_plan(spark):
     from cellweave.plans.graph import Evaluator, GraphError
 
