@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import channels, checks, kernels, lookups, noise, pointwise, regions, resources, rules, shapes, stencil, surface
 from cellweave.operators import grid as G
-from cellweave.sources import png
+from cellweave.sources import heights, png
 from cellweave.sources.raw16 import scratch
 from cellweave.plans.queries import (
     CELLS, CENTRES, GRAD, LAYERS, LINE, QUERIES, SLOPE_CELLS, SPOTS, SQL, STARTS, V, _box_sql, cells, graded, query, r6, raster, slope_cells, spots, step_sql, tiles,
@@ -228,8 +228,19 @@ def simulate_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Height files.
 
 
-@query("io_png16", "SELECT z // 64 AS map_id, x, z % 64 AS z, round(floor(least(greatest((v + 1000) / 2000, 0), 1) * 65535 + 0.5) / 65535.0::DOUBLE * 2000 - 1000, 6) AS v FROM hg")
+_EXCHANGED = "SELECT z // 64 AS map_id, x, z % 64 AS z, round(floor(least(greatest((v + 1000) / 2000, 0), 1) * 65535 + 0.5) / 65535.0::DOUBLE * 2000 - 1000, 6) AS v FROM hg"
+
+
+@query("io_png16", _EXCHANGED)
 def io_png16(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "png16")
     png.write_png16(tiles(spark, sf_dir), path, -1000.0, 1000.0)
     return png.read_png16(spark, path, -1000.0, 1000.0).select("map_id", "x", "z", r6("v").alias("v"))
+
+
+@query("io_raw_sniffed", _EXCHANGED)
+def io_raw_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Big-endian samples, whose order and height the reader finds."""
+    path = scratch(spark, "raw")
+    heights.write_raw(tiles(spark, sf_dir), path, -1000.0, 1000.0, "big")
+    return heights.read_heights(spark, path, -1000.0, 1000.0, width=64).select("map_id", "x", "z", r6("v").alias("v"))

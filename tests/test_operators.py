@@ -223,6 +223,24 @@ def test_png16_files(spark, tmp_path):
         write_png16(cells.where("x <> 2"), str(tmp_path / "q"), -10, 40)
 
 
+def test_height_files_of_unknown_kind():
+    from cellweave.sources import heights, png
+
+    z, x = np.indices((12, 12))
+    smooth = (3000 + 700 * x + 90 * z).astype(np.uint16)
+    for order, kind in heights.ORDERS.items():
+        raw = smooth.astype(kind).tobytes()
+        assert heights.byte_order(raw) == order
+        for content in (raw, raw + b"\n"):
+            assert np.allclose(heights.heights(content, order="auto") * 65535, smooth)
+    assert heights.heights(smooth.tobytes(), width=24).shape == (6, 24) and heights.heights(smooth.tobytes(), height=2).shape == (2, 72)
+    assert [heights.byte_order(b) for b in (b"", b"ab", b"ab" * 9, (np.arange(40) % 7 * 256).astype("<u2").tobytes())] == ["little"] * 4
+    assert np.allclose(heights.heights(png.encode((smooth >> 8).astype(np.uint8))) * 255, smooth >> 8)
+    for bad, how in ((b"", {}), (b"abc", {}), (b"ab" * 7, {}), (b"ab" * 8, {"width": 5})):
+        with pytest.raises(png.PngError):
+            heights.heights(bad, **how)
+
+
 def test_graph_plan(spark):
     from cellweave.plans.graph import Evaluator, GraphError
 
