@@ -79,5 +79,5 @@ def read_heights(spark: SparkSession, path: str, low: float, high: float, width:
                 z, x = np.indices(values.shape).reshape(2, -1)
                 yield pd.DataFrame({"map_id": map_id, "x": x, "z": z, "v": low + values.ravel() * (high - low)})
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("map_id").cast("long").alias("map_id"), "content")
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "map_id=(-?[0-9]+)", 1).cast("long").alias("map_id"), "content")
     return files.mapInPandas(unpack, "map_id long, x long, z long, v double")

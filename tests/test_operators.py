@@ -219,6 +219,8 @@ def test_png16_files(spark, tmp_path):
     write_png16(cells, str(tmp_path / "p"), -10, 40)
     back = {r[:3]: r[3] for r in map(tuple, read_png16(spark, str(tmp_path / "p"), -10, 40).collect())}
     assert len(back) == len(rows) and all(abs(back[r[:3]] - r[3]) < 0.001 for r in rows)
+    write_png16(cells.where("x < 0"), str(tmp_path / "none"), -10, 40)
+    assert read_png16(spark, str(tmp_path / "none"), -10, 40).count() == 0
     with pytest.raises(Exception, match="does not fill"):
         write_png16(cells.where("x <> 2"), str(tmp_path / "q"), -10, 40)
 
