@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from cellweave.operators.rules import METAL_SQUARE, MOVE_CLASSES, SQUARE, buildi
 # Fixed values of the checks.
 CLASSES = ("TANK3", "BOT2", "HOVER3", "BOAT4")
 CROSSABLE, LEAST_POCKET, LISTED, PADS = 0.75, 400.0 * 400.0, 3, 25
+#: Starts of a bucket that one task compares; rows that one task repeats at a time.
+CHUNK, RUN = 512, 65_536
 #: Severities in the order of a report.
 SEVERITY = ("error", "warning", "info")
 
@@ -151,24 +153,70 @@ def check_water(heights: DataFrame, level: float = 0.0, v: str = "v") -> DataFra
     ])
 
 
-def check_starts(starts: DataFrame, world_x: float, world_z: float, players: int) -> DataFrame:
-    """``starts``: id, x, z.  Pairs meet by buckets of the least spacing, so only near ones do."""
+def check_starts(starts: DataFrame, world_x: float, world_z: float, players: int, place: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """``starts``: id, x, z; ``place`` is applied to the coordinates of issues.
+
+    Pairs meet by buckets of the least spacing, so only near ones do: positions
+    once, however many starts they hold, and each pair of positions is then
+    repeated for all its pairs of starts.
+    """
     near = 2500.0 if players <= 2 else 1400.0
     x, z = F.col("x"), F.col("z")
     off = (x < 0) | (z < 0) | (x > world_x) | (z > world_z)
     edge = F.least(x, z, F.lit(world_x) - x, F.lit(world_z) - z)
-    single = _rows(starts, [F.when(off, _issue("error", "start.offMap", x, z)), F.when(~off & (edge < 600), _issue("warning", "start.nearEdge", x, z))])
+    single = _rows(starts, [
+        F.when(off, _issue("error", "start.offMap", place(x), place(z))), F.when(~off & (edge < 600), _issue("warning", "start.nearEdge", place(x), place(z)))
+    ])
     counts = _rows(starts.agg(F.count(F.lit(1)).alias("n")), [
         F.when(F.col("n") == 0, _issue("warning", "start.missing")), F.when((F.col("n") > 0) & (F.col("n") < players), _issue("error", "start.tooFew")),
     ])
+    close = _near_positions(_positions(starts), near)
+    level = F.when(F.col("d") < near * 0.6, F.lit("error")).otherwise(F.lit("warning"))
+    found = close.select(level.alias("severity"), F.lit("start.tooClose").alias("code"), place((x + F.col("ox")) / 2).alias("x"), place((z + F.col("oz")) / 2).alias("z"), "times")
+    return single.unionByName(counts).unionByName(_repeated(found, "times"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a shuffle whose few rows stand for much work; a given number is not coalesced."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _positions(starts: DataFrame) -> DataFrame:
+    """x, z, own (an id that occurs again, which never pairs with itself; else null), n (starts there)."""
+    here = starts.where("id is not null and x is not null and z is not null").groupBy("id", "x", "z").agg(F.count(F.lit(1)).alias("n"))
+    again = here.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("again"), F.max("n").alias("most")).where("again or most > 1").select("id", F.col("id").alias("own"))
+    return here.join(again, "id", "left").groupBy("x", "z", "own").agg(F.sum("n").alias("n"))
+
+
+def _near_positions(at: DataFrame, near: float) -> DataFrame:
+    """Pairs of ``at`` nearer than ``near``: x, z, ox, oz, d, times (pairs of starts with different ids).
+
+    A bucket's rows are dealt to chunks of about ``CHUNK``, so that a crowded one is many tasks' work.
+    """
+    x, z = F.col("x"), F.col("z")
+    cell = at.select("x", "z", "own", "n", F.floor(x / near).alias("bx"), F.floor(z / near).alias("bz"))
+    chunks = cell.groupBy("bx", "bz").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    left = cell.join(chunks, ["bx", "bz"]).withColumn("chunk", F.pmod(F.xxhash64("x", "z", "own"), F.col("chunks"))).drop("chunks")
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    left = starts.select("id", "x", "z", F.floor(x / near).alias("bx"), F.floor(z / near).alias("bz"))
-    right = starts.select(F.col("id").alias("oid"), x.alias("ox"), z.alias("oz"), F.floor(x / near).alias("cx"), F.floor(z / near).alias("cz"))
-    right = right.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("oid", "ox", "oz", (F.col("cx") + F.col("i")).alias("bx"), (F.col("cz") + F.col("j")).alias("bz"))
-    d = F.hypot(x - F.col("ox"), z - F.col("oz"))
-    pairs = left.join(right, ["bx", "bz"]).where("id < oid").withColumn("d", d).where(F.col("d") < near)
-    close = _rows(pairs, [_issue(F.when(F.col("d") < near * 0.6, F.lit("error")).otherwise(F.lit("warning")), "start.tooClose", (x + F.col("ox")) / 2, (z + F.col("oz")) / 2)])
-    return single.unionByName(counts).unionByName(close)
+    right = cell.select(x.alias("ox"), z.alias("oz"), F.col("own").alias("other"), F.col("n").alias("on"), F.col("bx").alias("cx"), F.col("bz").alias("cz"))
+    right = right.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).select("ox", "oz", "other", "on", (F.col("cx") + F.col("i")).alias("bx"), (F.col("cz") + F.col("j")).alias("bz"))
+    right = right.join(chunks, ["bx", "bz"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    dx, dz, n = x - F.col("ox"), z - F.col("oz"), F.col("n")
+    after = F.struct("x", "z", "own") < F.struct("ox", "oz", "other")
+    same = (x == F.col("ox")) & (z == F.col("oz")) & F.col("own").eqNullSafe(F.col("other"))
+    pairs = left.repartition(_tasks(at), "bx", "bz", "chunk").join(right, ["bx", "bz", "chunk"]).where(after | same)
+    pairs = pairs.withColumn("d", F.sqrt(dx * dx + dz * dz)).where(F.col("d") < near)
+    times = F.when(F.col("own") == F.col("other"), 0).when(same, F.expr("n * (n - 1) div 2")).otherwise(n * F.col("on"))
+    return pairs.withColumn("times", times).where("times > 0").select("x", "z", "ox", "oz", "d", "times")
+
+
+def _repeated(df: DataFrame, times: str) -> DataFrame:
+    """Each row of ``df`` as often as its ``times`` says, in runs of ``RUN`` at most that all tasks share."""
+    columns, n = [c for c in df.columns if c != times], F.col(times)
+    runs = df.select(*columns, n.alias("_all"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(RUN).cast("long"))).alias("_from"))
+    dealt = runs.select(*columns, F.least(F.col("_all") - F.col("_from"), F.lit(RUN)).cast("int").alias("_run")).repartition(_tasks(df))
+    return dealt.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_run")))).select(*columns)
 
 
 def report(*checks: DataFrame) -> DataFrame:

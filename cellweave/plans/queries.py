@@ -476,7 +476,7 @@ UNION ALL SELECT CASE WHEN sqrt((a.px - b.px) ** 2 + (a.pz - b.pz) ** 2) < 840 T
 SELECT severity, code, round(x, 6) AS x, round(z, 6) AS z FROM i""")
 def check_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = spots(spark, sf_dir).select("id", F.col("px").alias("x"), F.col("pz").alias("z"))
-    return checks.check_starts(at, 1024.0, 8192.0, 8).select("severity", "code", r6("x").alias("x"), r6("z").alias("z"))
+    return checks.check_starts(at, 1024.0, 8192.0, 8, r6)
 
 
 @query("resource_paint")

@@ -287,6 +287,33 @@ def test_checks_on_starts(spark):
     assert [r["code"] for r in checks.check_starts(starts.limit(0), 10.0, 10.0, 2).collect()] == ["start.missing"]
 
 
+def test_check_starts_compares_positions_once(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from cellweave.operators import checks
+
+    rng = random.Random(3)
+    spots = [(rng.uniform(0, 6000), rng.uniform(0, 6000)) for _ in range(40)]
+    rows = [(rng.choice([None, *range(150)]), *rng.choice(spots)) for _ in range(300)] + [(1000, None, 5.0), (1001, 5.0, float("nan"))]
+    starts = spark.createDataFrame(rows, "id long, x double, z double")
+    issues = checks.check_starts(starts, 6000.0, 6000.0, 8).where("code = 'start.tooClose'")
+    got = Counter((r["severity"], round(r["x"], 6), round(r["z"], 6)) for r in issues.collect())
+    want = Counter()
+    for i, x, z in rows:
+        for j, u, w in rows:
+            if None not in (i, j, x, u) and i < j and (d := math.hypot(x - u, z - w)) < 1400:
+                want["error" if d < 840 else "warning", round((x + u) / 2, 6), round((z + w) / 2, 6)] += 1
+    assert got == want
+    # 60,000 starts on 2 near positions: three pairs of positions stand for all pairs of starts.
+    many = spark.range(60_000).selectExpr("id", "double(id % 2) x", "1D z")
+    pairs = checks._near_positions(checks._positions(many), 1400.0).collect()
+    assert len(pairs) == 3 and sum(r["times"] for r in pairs) == 60_000 * 59_999 // 2
+    rows = spark.createDataFrame([("a", 3 * checks.RUN + 1), ("b", 1)], "k string, times long")
+    assert {r["k"]: r["count"] for r in checks._repeated(rows, "times").groupBy("k").count().collect()} == {"a": 3 * checks.RUN + 1, "b": 1}
+
+
 def test_equal_tiles_share_an_id(spark):
     from cellweave.operators import resources
 
