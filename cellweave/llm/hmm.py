@@ -49,7 +49,7 @@ from cellweave.llm.words import ascii_lower_words, count_words, text_bytes, top_
 STATES = 8
 PASSES = 6
 SEGMENT = 65_536
-#: Matrix products are scaled after so many steps.
+#: Forward values and matrix products are scaled after so many steps.
 SCALE_STEPS = 8
 VOCABULARY = 16_384
 LOOKUP = 200_000
@@ -60,6 +60,8 @@ SMOOTH = 0.05
 #: Sequences are stepped together in groups of about so many tokens.
 GROUP_TOKENS = 800_000
 SCORE_TOKENS = 4_000_000
+#: Emission counts are added up, and documents encoded, for about so many tokens at once.
+EMIT_TOKENS, ENCODE_TOKENS = 1 << 17, 1 << 18
 
 
 class Hmm(NamedTuple):
@@ -100,25 +102,35 @@ def _by_step(sequences: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray
     return flat[order].astype(np.int64), np.bincount(step, minlength=int(size.max()) if len(size) else 0)
 
 
-def forward(model: Hmm, symbols: np.ndarray, active: np.ndarray, begin: np.ndarray, keep: bool) -> tuple[np.ndarray, list, list]:
-    """Scaled forward recursion; log-likelihood of each sequence, and the scaled values if ``keep``.
+def forward(model: Hmm, symbols: np.ndarray, active: np.ndarray, begin: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None, list]:
+    """Scaled forward recursion; log-likelihood of each sequence, and the scaled values (a row a token) if ``keep``.
 
-    Arrays are (states, sequences); ``begin`` has a column a sequence.
+    ``begin`` has a column a sequence.  Values are scaled every ``SCALE_STEPS``
+    steps: a step's scales, None where it has none, come last.
     """
-    emit, step = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    loglik = np.zeros(active[0] if len(active) else 0)
-    alphas, scales, at, prev = [], [], 0, None
-    for n in active.tolist():
-        a = emit.take(symbols[at : at + n], axis=1)
-        a *= begin if prev is None else step @ prev[:, :n]
-        c = a.sum(0)
-        a /= c
-        loglik[:n] += np.log(c)
-        if keep:
-            alphas.append(a)
-            scales.append(c)
+    states, loglik = len(model.start), np.zeros(active[0] if len(active) else 0)
+    alphas = np.empty((len(symbols), states)) if keep else None
+    scales, at, prev = [], 0, None
+    for t, n in enumerate(active.tolist()):
+        a = alphas[at : at + n] if keep else np.empty((n, states))
+        emitted = model.emit.take(symbols[at : at + n], axis=0)
+        if prev is None:
+            np.multiply(emitted, begin.T, out=a)
+        else:
+            if n < len(prev):
+                loglik[n : len(prev)] += np.log(prev[n:].sum(1))
+            np.matmul(prev[:n], model.move, out=a)
+            a *= emitted
+        c = None
+        if t % SCALE_STEPS == SCALE_STEPS - 1:
+            c = a.sum(1)
+            a /= c[:, None]
+            loglik[:n] += np.log(c)
+        scales.append(c)
         prev = a
         at += n
+    if prev is not None:
+        loglik[: len(prev)] += np.log(prev.sum(1))
     return loglik, alphas, scales
 
 
@@ -177,34 +189,36 @@ def expected(model: Hmm, sequences: list[np.ndarray], segment: int = SEGMENT) ->
     segments = [s[a : a + segment] for s, a in cut_at]
     before, after = borders(model, segments, later)
     begins = np.where(later, model.move.T @ before, model.start[:, None])
-    emit = np.ascontiguousarray(model.emit.T)
+    emit, back = np.ascontiguousarray(model.emit), np.ascontiguousarray(model.move.T)
     for which in grouped(segments):
         symbols, active = _by_step(segments, which)
         loglik, alphas, scales = forward(model, symbols, active, begins[:, which], True)
         total += loglik.sum()
-        ends, at, beta = after[:, which], len(symbols), None
+        ends, at, beta = np.ascontiguousarray(after[:, which].T), len(symbols), None
         for t in range(len(active) - 1, -1, -1):
-            n = int(active[t])
-            m = 0 if beta is None else beta.shape[1]
-            now = np.empty((states, n))
-            now[:, m:] = ends[:, m:n]
-            now[:, m:] /= (alphas[t][:, m:] * now[:, m:]).sum(0)
+            n, m, later_at = int(active[t]), 0 if beta is None else len(beta), at
+            at -= n
+            alpha, now = alphas[at : at + n], np.empty((n, states))
+            if m < n:
+                np.divide(ends[m:n], (alpha[m:] * ends[m:n]).sum(1)[:, None], out=now[m:])
             if m:
-                beta *= emit.take(symbols[at : at + m], axis=1)
-                beta /= scales[t + 1]
-                moves += alphas[t][:, :m] @ beta.T
-                now[:, :m] = model.move @ beta
-            alphas[t] *= now  # from here on the probabilities of states
+                beta *= emit.take(symbols[later_at : later_at + m], axis=0)
+                if scales[t + 1] is not None:
+                    beta /= scales[t + 1][:, None]
+                moves += alpha[:m].T @ beta
+                np.matmul(beta, back, out=now[:m])
+            alpha *= now  # from here on the probabilities of states
             beta = now
-            at -= n
         carried = later[which]
         if carried.any():  # the transition into a segment
-            beta = beta * emit.take(symbols[: active[0]], axis=1) / scales[0]
-            moves += before[:, which][:, carried] @ beta[:, carried].T
-        first += alphas[0][:, ~carried].sum(1)
-        gamma = np.concatenate(alphas, axis=1)
-        for s in range(states):
-            emits[:, s] += np.bincount(symbols, gamma[s], minlength=len(emits))
+            beta = beta * emit.take(symbols[: active[0]], axis=0)
+            if scales[0] is not None:
+                beta /= scales[0][:, None]
+            moves += before[:, which][:, carried] @ beta[carried]
+        first += alphas[: active[0]][~carried].sum(0)
+        for at in range(0, len(symbols), EMIT_TOKENS):
+            cells = symbols[at : at + EMIT_TOKENS, None] * states + np.arange(states)
+            emits += np.bincount(cells.ravel(), alphas[at : at + EMIT_TOKENS].ravel(), minlength=emits.size).reshape(emits.shape)
     return first, moves * model.move, emits, total
 
 
@@ -241,6 +255,51 @@ def train(symbols: DataFrame, model: Hmm, passes: int = PASSES) -> tuple[Hmm, li
     return model, logs
 
 
+#: Words of a document that are not in the broadcast, with their occurrences there.
+RARE = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+
+
+class Codes(dict):
+    """A number for each word of the table, for each class of other words and for the end; arrays by number say what it stands for.
+
+    ``table``: counts of words; ``frequent``: symbols of the model's own words; ``room``: log of what a class shares out.
+    """
+
+    def __init__(self, table: dict[bytes, int], frequent: dict[bytes, int], room: np.ndarray, end: int, n_docs: int) -> None:
+        super().__init__(zip(table, range(len(table))))
+        self.classes, self.first, self.end, self.rare = len(room), len(table), len(table) + len(room), []
+        place = np.fromiter((frequent[w] if w in frequent else end + 1 + zlib.crc32(w[-3:]) % len(room) for w in table), np.int64, len(table))
+        count = np.fromiter(table.values(), np.float64, len(table))
+        value = np.log10(count + 1)
+        share = np.where(place < end, 0.0, value - room[np.maximum(place - end - 1, 0)])
+        known = (count > 0) | (place < end)
+        self.symbol = np.concatenate([place, end + 1 + np.arange(len(room)), [end]]).astype("<u2")
+        self.base = np.concatenate([value, np.zeros(len(room)), [math.log10(n_docs + 1)]])
+        self.share = np.concatenate([share, -room, [0.0]])
+        self.known = np.concatenate([known, np.zeros(len(room), bool), [n_docs > 0]]).astype(np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.rare.append(word)
+        return self.first + zlib.crc32(word[-3:]) % self.classes
+
+    def taken(self) -> Counter:
+        """The words that were not in the table since the last call."""
+        out = Counter(self.rare)
+        self.rare.clear()
+        return out
+
+    def columns(self, flat: list[int], sizes: list[int], rare: list[Counter]) -> list[pa.Array]:
+        """n_tokens, n_known, base_sum, class_sum, symbols, rare of documents of ``sizes`` (1 or more) numbers each."""
+        code, size = np.array(flat, np.int64), np.array(sizes, np.int64)
+        border = np.append(0, np.cumsum(size))
+        sums = [pa.array(np.add.reduceat(of[code], border[:-1])) for of in (self.known, self.base, self.share)]
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer((2 * border).astype("<i8")), pa.py_buffer(self.symbol[code])]).cast(pa.binary())
+        words = pa.array([w for own in rare for w in own], pa.binary())
+        times = pa.array([n for own in rare for n in own.values()], pa.int64())
+        lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(own) for own in rare])).astype(np.int32), pa.StructArray.from_arrays([words, times], fields=[*RARE.value_type]))
+        return [pa.array(size), *sums, packed, lists]
+
+
 def held_out(fold: int = 2, folds: int = 7) -> "F.Column":
     return F.coalesce(crc_fold("doc_id", folds) == fold, F.lit(False))
 
@@ -275,46 +334,20 @@ def score(docs: DataFrame, fold: int = 2, folds: int = 7, states: int = STATES,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, frequent, room, n_docs = shared.value
-        free = room.tolist()
-        facts: dict[bytes, tuple] = {}
-
-        def fact(w: bytes) -> tuple:
-            """Symbol, log of the count (None: not in the table), whether known, log share of its class."""
-            count, s = table.get(w), frequent.get(w)
-            value = None if count is None else math.log10(count + 1)
-            if s is not None:
-                found = s, value, True, 0.0
-            else:
-                c = zlib.crc32(w[-3:]) % classes
-                found = end + 1 + c, value, bool(count), (value or 0.0) - free[c]
-            if count is not None:
-                facts[w] = found
-            return found
-
-        schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("class_sum", pa.float64()), ("symbols", pa.binary()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
+        codes = Codes(table, frequent, room, end, n_docs)
+        schema = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sum", pa.float64()), ("class_sum", pa.float64()), ("symbols", pa.binary()), ("rare", RARE)])
         for batch in batches:
-            rows = []
-            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            begun, flat, sizes, rare = 0, [], [], []
+            for i, text in enumerate(batch.column(2)):
                 words = text.as_py().lower().split()
-                own = Counter(words)
-                n_known, base, inside, rare, ids = int(n_docs > 0), math.log10(n_docs + 1), 0.0, [], {}
-                for w, n in own.items():
-                    s, value, known, share = facts.get(w) or fact(w)
-                    ids[w] = s
-                    inside += n * share
-                    if value is None:
-                        rare.append({"word": w, "times": n})
-                    else:
-                        base += n * value
-                        if known:
-                            n_known += n
-                packed = np.array([*map(ids.__getitem__, words), end], "<u2").tobytes()
-                rows.append((doc_id, held, len(words) + 1, n_known, base, inside, packed, rare))
-                if len(rows) == 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                flat.extend(map(codes.__getitem__, words))
+                flat.append(codes.end)
+                sizes.append(len(words) + 1)
+                rare.append(codes.taken())
+                if len(flat) >= ENCODE_TOKENS or i + 1 == batch.num_rows:
+                    mine = batch.slice(begun, i + 1 - begun)
+                    yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), *codes.columns(flat, sizes, rare)], schema=schema)
+                    begun, flat, sizes, rare = i + 1, [], [], []
 
     sql_kind = docs.schema["doc_id"].dataType.simpleString()
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
