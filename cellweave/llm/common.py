@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, laptops).
 DEFAULT_SHARED = "/tmp/checkpoints/cellweave"
+#: Arrow batches of large values: rows and bytes, each held by the JVM and by Python, more than once while it is copied.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,15 +40,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/cellweave-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession, limits: dict[str, int]) -> Iterator[None]:
+    """While it lasts, started queries send Arrow batches within ``limits`` to Python; the session's own limits come back."""
+    were = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in were.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: what was computed survives the loss of any executor and
-    is computed once, however often the result is read.
+    is computed once, however often the result is read.  ``small``: whole texts
+    or sets go to Python, in batches that hold few of them at once.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark, SMALL if small else {}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

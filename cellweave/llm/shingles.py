@@ -126,11 +126,11 @@ def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
     """The pairs (a, b) whose sets have a similarity of ``least`` or more."""
     near = cut(_likely(pairs, nodes, least), "likely")
     asked = near.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    sets = cut(_sets(texts.join(asked, "_row", "left_semi")), "shingles")
+    sets = cut(_sets(texts.join(asked, "_row", "left_semi")), "shingles", True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = zip(*([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(i)] for i in (2, 3)))
+            sets = zip(*((np.frombuffer(v.as_py(), np.uint64) for v in batch.column(i)) for i in (2, 3)))
             stay = pa.array([similarity(x, y) >= least for x, y in sets], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay), batch.column(1).filter(stay)], names=["a", "b"])
 
@@ -158,7 +158,7 @@ def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: i
         else:
             other = now.select("bucket", F.col("node").alias("b"), F.col("part").alias("other"))
             pairs = now.join(other, "bucket").where("b < node and part <> other").select(F.col("node").alias("a"), "b")
-        new = cut(_checked(cut(pairs.distinct(), "pairs"), nodes.drop("bands"), texts, least), "checked")
+        new = cut(_checked(cut(pairs.distinct(), "pairs"), nodes.drop("bands"), texts, least), "checked", True)
         if joined is None or not new.isEmpty():
             known = new if joined is None else new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
             joined = cut(components(known), "joined")
@@ -170,7 +170,7 @@ def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: i
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component: the first by (null id last, doc_id, hash of the text, hash of the row)."""
     rows = numbered(docs)
-    signed = cut(_signed(rows), "signed")
+    signed = cut(_signed(rows), "signed", True)
     known = cut(signed.groupBy("key").agg(F.min("_row").alias("node"), *[F.first(c).alias(c) for c in ("n", "minima", "bands")]), "sets")
     joined = link(known.drop("key"), text_bytes(rows, "_row"), least)
     group = known.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))

@@ -276,7 +276,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, **how) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of every document."""
-    rows = cut(fingerprints(docs, width).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "fingerprints")
+    rows = cut(fingerprints(docs, width).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "fingerprints", True)
     known = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = components(link(known.select("fp"), radius, **how))
     member = known.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))

@@ -219,6 +219,26 @@ def test_nn_descent_is_whole_where_the_search_misses(spark, monkeypatch):
     assert all(got[i]["n_links"] == n[i] and got[i]["component_id"] == lab[i] for i in range(len(x)))
 
 
+def test_cut_sends_large_values_in_small_batches(spark):
+    import pyarrow as pa
+
+    from cellweave.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    def most(length, small):
+        got = common.cut(spark.range(0, 2000, 1, 1).selectExpr(f"repeat('x', {length}) t").mapInArrow(sizes, "rows long, bytes long"), "batches", small).collect()
+        assert sum(r["rows"] for r in got) == 2000
+        return max(r["rows"] for r in got), max(r["bytes"] for r in got)
+
+    limits = [spark.conf.get(k, None) for k in common.SMALL]
+    assert most(10, True)[0] <= 512 < most(10, False)[0]
+    assert most(50_000, True)[1] < 8 << 20
+    assert [spark.conf.get(k, None) for k in common.SMALL] == limits
+
+
 def test_hmm_forward_backward_and_scores(docs, empty):
     rng = np.random.default_rng(2)
     model = hmm.Hmm(rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(5), 2).T)
