@@ -279,6 +279,31 @@ def test_hmm_forward_backward_and_scores(docs, empty):
     assert hmm.score(empty, passes=1).count() == 0
 
 
+def test_hmm_codes_and_rare_scaling():
+    table, frequent, room = {b"a": 9, b"b": 3, b"held": 0}, {b"a": 0}, np.array([0.5, 0.25])
+    codes = hmm.Codes(table, frequent, room, 1, 6)
+    docs = [[b"a", b"b", b"odd", b"a", b"odd"], [], [b"held"]]
+    flat, rare = [], []
+    for words in docs:
+        flat += [*map(codes.__getitem__, words), codes.end]
+        rare.append(codes.taken())
+    size, known, base, share, symbols, odd = (c.to_pylist() for c in codes.columns(flat, [len(d) + 1 for d in docs], rare))
+    kind = {w: zlib.crc32(w[-3:]) % 2 for w in (b"b", b"odd", b"held")}
+    end = math.log10(7)
+    assert size == [6, 1, 2] and known == [4, 1, 1]
+    assert base == pytest.approx([2 + math.log10(4) + end, end, end])
+    assert share == pytest.approx([math.log10(4) - room[kind[b"b"]] - 2 * room[kind[b"odd"]], 0, -room[kind[b"held"]]])
+    assert [np.frombuffer(x, "<u2").tolist() for x in symbols] == [[0, 2 + kind[b"b"], 2 + kind[b"odd"], 0, 2 + kind[b"odd"], 1], [1], [2 + kind[b"held"], 1]]
+    assert odd == [[{"word": b"odd", "times": 2}], [], []]
+    # Values are scaled every few steps only, and rare symbols do not underflow.
+    rng = np.random.default_rng(4)
+    emit = np.full((3, 2), 1e-30)
+    emit[2] = 1 - 2e-30
+    model = hmm.Hmm(np.array([0.5, 0.5]), rng.dirichlet(np.ones(2), 2), emit)
+    loglik, alphas, scales = hmm.forward(model, np.zeros(100, np.int64), np.ones(100, np.int64), model.start[:, None], True)
+    assert loglik == pytest.approx(100 * math.log(1e-30)) and alphas.shape == (100, 2) and sum(c is not None for c in scales) == 100 // hmm.SCALE_STEPS
+
+
 def test_hmm_score_is_the_likelihood_of_the_text(spark, monkeypatch):
     texts = ["b a B c", "a a rare word b", "c b a x", "", None, "a b odd x y z"] * 3
     rows = [(i, t) for i, t in enumerate(texts)]
