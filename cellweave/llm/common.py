@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, laptops).
 DEFAULT_SHARED = "/tmp/checkpoints/cellweave"
-#: Arrow batches of large values: rows and bytes, each held by the JVM and by Python, more than once while it is copied.
-SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Arrow batches of large values: rows and bytes, each held by the JVM and by Python, more than once while it is copied;
+#: and the rows that a Parquet reader holds at once.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+#: Words of 64 row numbers that are broadcast, about 50 bytes each.
+BROADCAST_WORDS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,20 +62,46 @@ def cut(df: DataFrame, name: str, small: bool = False) -> DataFrame:
 
     Cuts the lineage: what was computed survives the loss of any executor and
     is computed once, however often the result is read.  ``small``: whole texts
-    or sets go to Python, in batches that hold few of them at once.
+    or sets are read or go to Python, in batches that hold few of them at once.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     with small_batches(spark, SMALL if small else {}):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = [path]
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what was written for tables of ``cut``, ``numbered`` and ``first_rows``, when nothing is left that reads them."""
+    for table in tables:
+        for path in table._scratch:
+            remove(table.sparkSession, path)
+
+
+def within(rows: DataFrame, ids: DataFrame, column: str = "_row") -> DataFrame:
+    """The ``rows`` whose ``column`` is among ``ids`` (one column of longs, not null); ``rows`` are not shuffled.
+
+    The ids go out as words of 64 bits, so a broadcast has a row for each 64
+    numbers of ``numbered`` at most; beyond ``BROADCAST_WORDS`` a join shuffles.
+    """
+    id = F.col(ids.columns[0])
+    words = cut(ids.groupBy(F.shiftright(id, 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({ids.columns[0]} & 63 as int))")).alias("_bits")), "ids")
+    words_of = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+    bit = F.expr(f"shiftrightunsigned(_bits, cast({column} & 63 as int)) & 1")
+    out = rows.withColumn("_word", F.shiftright(column, 6)).join(words_of, "_word").where(bit == 1).select(*rows.columns)
+    out._scratch = words._scratch
+    return out
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """_row, text, _id (doc_id), _doc (all columns of a row of ``docs``); the rows are written once, so that numbers stay."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = cut(docs.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_doc")), "numbered")
-    return kept.select("_row", F.col("_doc.text").alias("text"), F.col("_doc.doc_id").alias("_id"), "_doc")
+    kept = cut(docs.select(F.monotonically_increasing_id().alias("_row"), whole.alias("_doc")), "numbered", True)
+    rows = kept.select("_row", F.col("_doc.text").alias("text"), F.col("_doc.doc_id").alias("_id"), "_doc")
+    rows._scratch = kept._scratch
+    return rows
 
 
 def first_rows(rows: DataFrame, groups: DataFrame, columns: list[str]) -> DataFrame:
@@ -83,7 +113,11 @@ def first_rows(rows: DataFrame, groups: DataFrame, columns: list[str]) -> DataFr
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(content).alias("doc"), "_row")
     named = rows.select("_row", order.alias("first")).join(groups, "_row")
     stay = cut(named.groupBy("component").agg(F.min("first").alias("first")).select("first._row"), "stay")
-    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns])
+    kept = within(rows, stay)
+    out = kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in columns])
+    out._scratch = [*rows._scratch, *kept._scratch]
+    drop(stay)
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -5,13 +5,20 @@ its shingles of ``WIDTH`` words (fewer words are one shingle).  Equal sets are
 one node.  Nodes that agree on all ``ROWS`` minima of one of ``BANDS`` bands
 share a bucket: a pair of similarity 0.8 shares none with a probability of
 (1 - 0.8^3)^30, about 5e-10.  In each bucket members meet its smallest member,
-then the next one, and pairs of one component are left out; what is left after
-``STARS`` rounds meets in all pairs.
+then the next one, and pairs of one component are left out, for ``STARS`` rounds.
+
+Nodes that then still share a bucket with another component meet by prefix
+filtering, which is exact: with hashes in one order, rare ones first, a pair of
+the similarity shares a hash early in both sets, in the first ninth of the
+smaller one and the first fifth of the larger one (for 0.8), and as many hashes
+follow it in both as the similarity asks for.  So a passage that many texts
+share, or many copies that differ too much, make no pairs; members of the
+component with the most nodes of a hash do not meet each other.
 
 A candidate whose set sizes rule the similarity out, or that agrees on less than
 ``AGREE`` of all minima (a pair of similarity 0.8: with a probability below
 1e-11), goes no further; every other one is checked on its whole sets, which are
-made for the nodes of such candidates only.
+made for the nodes of such candidates and those of the prefix filter only.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut, first_rows, numbered
+from cellweave.llm.common import cut, drop, first_rows, numbered, within
 from cellweave.llm.components import components, label_rows
 from cellweave.llm.words import text_bytes
 
@@ -32,6 +39,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 3
 STARS = 3
 SALTS = 64
+#: Counters of the hashes' frequency, on the driver and in every Python worker; they order hashes and decide no link.
+SLOTS = 1 << 20
 #: Share of ``SIMILARITY`` that a candidate's agreement on minima must reach.
 AGREE = 0.55
 #: Odd multipliers, from a fixed seed: of the words of a shingle (the last one mixes their sum) and of the minima.
@@ -100,10 +109,17 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             stay = pa.array((x == y).mean(1) >= least * AGREE)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay), batch.column(1).filter(stay)], names=["a", "b"])
 
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("minima").alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("minima").alias("y"))
+    asked = within(nodes.select("node", "n", "minima"), _ends(pairs), "node")
+    left = asked.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("minima").alias("x"))
+    right = asked.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("minima").alias("y"))
     sized = _beside(pairs.join(left, "a"), right).where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least))
-    return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    near = cut(sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "likely")
+    drop(asked)
+    return near
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def _beside(pairs: DataFrame, right: DataFrame) -> DataFrame:
@@ -122,11 +138,11 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("_row", "_text").mapInArrow(run, "node long, hashes binary")
 
 
-def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of ``least`` or more."""
-    near = cut(_likely(pairs, nodes, least), "likely")
-    asked = near.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    sets = cut(_sets(texts.join(asked, "_row", "left_semi")), "shingles", True)
+def _checked(pairs: DataFrame, nodes: DataFrame, least: float, texts: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b; a written table, deleted here) whose sets, ``known`` or those of ``texts``, have a similarity of ``least`` or more."""
+    near = _likely(pairs, nodes, least)
+    asked = within(texts, _ends(near)) if known is None else within(known, _ends(near), "node")
+    sets = cut(_sets(asked), "shingles", True) if known is None else asked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +152,80 @@ def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float)
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return _beside(near.join(left, "a"), right).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = cut(_beside(near.join(left, "a"), right).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "checked", True)
+    drop(pairs, near, asked, *([sets] if known is None else []))
+    return out
+
+
+def prefixes(n: int, least: float) -> tuple[int, int]:
+    """How many of a set's ``n`` first hashes hold one of any similar set, no smaller than it or of any size."""
+    return tuple(min(n, int(n - np.ceil(n * share - 1e-9) + 1)) for share in (2 * least / (1 + least), least))
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) % SLOTS
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets have a hash of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            held += np.bincount(_slot(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), minlength=SLOTS)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at])], names=["slot", "n"])
+
+    found = cut(sets.select("hashes").mapInArrow(run, "slot int, n long"), "slots", True)
+    sums = found.groupBy("slot").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    drop(found)
+    out = np.zeros(SLOTS, np.int32)
+    out[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _prefixed(sets: DataFrame, least: float) -> DataFrame:
+    """hash, node, n, at (the hash's place in the set, from 0), short (in the prefix of a set that is the smaller one).
+
+    Hashes are ordered by frequency of the slot; those of a slot with one are in one set and left out.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes = np.frombuffer(packed, np.uint64)
+                many = counts.value[_slot(hashes)]
+                short, long = prefixes(len(hashes), least)
+                first = np.lexsort((hashes, many))[:long]
+                at = np.flatnonzero(many[first] > 1)
+                each = hashes[first[at]].view(np.int64)
+                out.append((each, np.full(len(at), node), np.full(len(at), len(hashes)), at, at < short))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["hash", "node", "n", "at", "short"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "hash long, node long, n long, at long, short boolean")
+
+
+def _across(sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different ``parts`` (node, part) that prefixes and places do not rule out."""
+    rows = cut(_prefixed(sets, least).join(parts, "node"), "prefixes", True)
+    sizes = rows.groupBy("hash", "part").agg(F.count(F.lit(1)).alias("m"))
+    most = sizes.groupBy("hash").agg(F.max(F.struct("m", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rows_of = cut(rows.join(most.select("hash", F.col("most.part").alias("main")), "hash").withColumn("lone", F.col("part") != F.col("main")), "crossing")
+
+    def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        x = smaller.where("short").select("hash", F.col("node").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rest"), "part")
+        y = larger.select("hash", F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("other_rest"), F.col("part").alias("other"))
+        order = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+        sized = F.col("nb") >= F.col("na") * F.lit(least) - F.lit(1e-9)
+        placed = F.least("rest", "other_rest") >= (F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - F.lit(1e-9)
+        return y.join(x, "hash").where((F.col("part") != F.col("other")) & order & sized & placed).select("a", "b")
+
+    pairs = cut(meet(rows_of.where("lone"), rows_of).unionByName(meet(rows_of.where("not lone"), rows_of.where("lone"))).distinct(), "pairs")
+    drop(rows, rows_of)
+    return pairs
 
 
 def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: int = STARS) -> DataFrame:
@@ -148,22 +237,26 @@ def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: i
     for star in range(stars + 1):
         now = rows if joined is None else rows.join(joined, "node", "left")
         now = now.withColumn("part", F.col("node") if joined is None else F.coalesce("component", "node")).select("bucket", "node", "part")
-        if star:
-            mixed = now.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-            now = now.join(mixed, "bucket")
-        now = cut(now, "mixed")
+        mixed = now.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
+        now = cut(now.join(mixed, "bucket") if star else now, "mixed")
+        drop(rows)
         if star < stars:
             centre = now.groupBy("bucket").agg(F.min(F.struct("node", "part")).alias("c"))
             pairs = now.join(centre, "bucket").where("node <> c.node and part <> c.part").select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+            new = _checked(cut(pairs.distinct(), "pairs"), nodes, least, texts)
+            rows = cut(now.join(centre, "bucket").where("node <> c.node").select("bucket", "node"), "left")
         else:
-            other = now.select("bucket", F.col("node").alias("b"), F.col("part").alias("other"))
-            pairs = now.join(other, "bucket").where("b < node and part <> other").select(F.col("node").alias("a"), "b")
-        new = cut(_checked(cut(pairs.distinct(), "pairs"), nodes.drop("bands"), texts, least), "checked", True)
+            parts = cut(now.select("node", "part").distinct(), "parts")
+            asked = within(texts, parts.select("node"))
+            sets = cut(_sets(asked), "shingles", True)
+            new = _checked(_across(sets, parts, least), nodes, least, known=sets)
+            drop(parts, asked, sets)
+        drop(now)
         if joined is None or not new.isEmpty():
             known = new if joined is None else new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            joined = cut(components(known), "joined")
-        if star < stars:
-            rows = cut(now.join(centre, "bucket").where("node <> c.node").select("bucket", "node"), "left")
+            older, joined = joined, cut(components(known), "joined")
+            drop(*([older] if older is not None else []))
+        drop(new)
     return joined
 
 
@@ -175,4 +268,6 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     joined = link(known.drop("key"), text_bytes(rows, "_row"), least)
     group = known.select("key", "node").join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     salted = signed.select("_row", "key").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
-    return first_rows(rows, label_rows(salted, "key", group, "component").select("_row", "component"), docs.columns)
+    out = first_rows(rows, label_rows(salted, "key", group, "component").select("_row", "component"), docs.columns)
+    drop(signed, known, joined)
+    return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm import bpe, langid, mixing, shingles, simhash
-from cellweave.llm.common import cut, table
+from cellweave.llm.common import cut, drop, table
 from cellweave.llm.queries import tokenizer_path
 
 #: SQL has no form of the stages' models and searches; tests hold them against brute force.
@@ -24,7 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of 5-word shingle similarity 0.8 or more, then of SimHash links (4 words, 4 bits)."""
-    return simhash.keep_one(shingles.keep_one(docs), width=4, radius=4)
+    once = shingles.keep_one(docs)
+    out = simhash.keep_one(once, width=4, radius=4)
+    drop(once)  # simhash has written its rows
+    return out
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -588,6 +588,71 @@ def test_pipeline_drops_near_copies_of_similarity_0_8(spark):
     assert len(near) > 40 and not kept & {i + 1 for i in near} and set(range(0, 120, 2)) <= kept and not kept & set(range(120, 170))
 
 
+def shingle_nodes(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(4)
+    signed = shingles._signed(docs)
+    nodes = shingles.cut(signed.select(*[signed["_row"].alias("node"), "n", "minima", "bands"]), "nodes")
+    return nodes, shingles.text_bytes(docs, "_row")
+
+
+def passage_texts(rnd, many, own, passage):
+    """Texts with ``own`` words each around one ``passage``."""
+    out = []
+    for _ in range(many):
+        words = [f"v{rnd.randrange(10**9)}" for _ in range(own)]
+        out.append(" ".join(words[: own // 2] + passage + words[own // 2 :]))
+    return out
+
+
+def test_shared_passages_make_few_pairs(spark, monkeypatch):
+    rnd, pairs = random.Random(3), []
+    nodes, texts = shingle_nodes(spark, passage_texts(rnd, 400, 40, [f"p{i}" for i in range(60)]))
+    likely = shingles._likely
+    monkeypatch.setattr(shingles, "_likely", lambda found, *a: pairs.append(found.count()) or likely(found, *a))
+    assert shingles.link(nodes, texts).count() == 0
+    assert sum(pairs) < 400 * 3 * shingles.BANDS / 4 and pairs[-1] < 400  # all of them: 79,800 pairs
+
+
+@pytest.mark.parametrize("stars", [0, 3])
+def test_links_equal_brute_force(spark, stars):
+    rnd = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = passage_texts(rnd, 40, 40, passage) + [" ".join(passage), " ".join(passage[:58]), "", "a", "b", "a b c", "a b c d e f", "a b c d e f g"]
+    for many, edits in ((25, 1), (25, 2), (25, 3), (25, 5), (12, 8)):  # similarities from 0.5 to 0.95
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+        for _ in range(many):
+            copy = base[: 100 - rnd.randrange(12)]
+            for at in rnd.sample(range(len(copy)), edits):
+                copy[at] = f"e{rnd.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if shingles.similarity(sets[i], sets[j]) >= 0.8]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    linked = {i for pair in links for i in pair}
+    nodes, rows = shingle_nodes(spark, texts)
+    got = {r["node"]: r["component"] for r in shingles.link(nodes, rows, stars=stars).collect()}
+    assert got == {i: least[i] for i in linked} and 20 < len(linked) < len(texts) - 40
+
+
+def test_within(spark, monkeypatch):
+    from cellweave.llm import common
+
+    rows = spark.range(0, 1000).selectExpr("id * 37 + if(id % 3 = 0, 8589934592L * 5, 0) as _row", "id")
+    ids = rows.where("id % 7 in (0, 3)").select("_row")
+    wanted = {r[0] for r in rows.where("id % 7 in (0, 3)").select("id").collect()}
+    for most in (common.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(common, "BROADCAST_WORDS", most)
+        got = common.within(rows, ids)
+        assert got.columns == rows.columns and {r["id"] for r in got.collect()} == wanted and got.count() == len(wanted)
+        assert common.within(rows, ids.limit(0)).count() == 0
+    many = common.within(rows.unionByName(rows), ids)
+    assert many.count() == 2 * len(wanted)
+
+
 def test_shingle_sets_and_minima():
     rnd = random.Random(4)
     for n in (0, 1, 4, 5, 6, 900):
