@@ -36,7 +36,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cellweave.llm.common import cut
+from cellweave.llm.common import cut, kept
 from cellweave.llm.sstable import byte_alphabet
 from cellweave.llm.words import TwoGenerations, count_words, text_bytes, top_words
 
@@ -336,24 +336,17 @@ class Coder:
         return b"".join(map(self.v.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS) -> bytes:
+def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_WORDS, small: bool = False) -> bytes:
     """Count the words of all ``docs``; compile the ``words`` most frequent."""
-    top = top_words(cut(count_words(docs), "words"), words) if words else []
+    top = top_words(cut(count_words(docs), "words", small), words) if words else []
     known = {w.encode() for word, _ in top for w in vocabulary.split.findall(" " + word.decode("utf-8", "replace"))}
     ordered = sorted(known)
     return compile_lexicon(dict(zip(ordered, vocabulary.merge_many(ordered))), vocabulary.kind)
 
 
-_CODERS: dict[tuple, Coder] = {}
-
-
 def coder_for(tokenizer: str, image: bytes) -> Coder:
     """One coder per Python worker, kept between tasks of a job."""
-    key = (hash(tokenizer), hash(image))
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(Vocabulary(tokenizer), Lexicon(image))
-    return _CODERS[key]
+    return kept(("bpe", hash(tokenizer), hash(image)), lambda: Coder(Vocabulary(tokenizer), Lexicon(image)))
 
 
 def groups(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -370,12 +363,12 @@ def groups(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator
         yield first, held
 
 
-def round_trip(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+def round_trip(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS, small: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; ``small``: of rows that ``cut`` writes, from batches that hold few texts."""
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         text = f.read()
-    shared = spark.sparkContext.broadcast((text, build_lexicon(docs, Vocabulary(text), lexicon_words)))
+    shared = spark.sparkContext.broadcast((text, build_lexicon(docs, Vocabulary(text), lexicon_words, small)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(*shared.value)
@@ -392,9 +385,10 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WOR
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return text_bytes(docs, "doc_id").mapInArrow(
+    out = text_bytes(docs, "doc_id").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
+    return cut(out, "tokens", True) if small else out
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:

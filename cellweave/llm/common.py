@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,32 @@ SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.executi
 BROADCAST_WORDS = 1 << 19
 
 
+#: What a Python worker keeps between tasks: one value, such as an encoder with its memo.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """The value of ``make()``, once a Python worker for as long as its tasks ask for the same key."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what an earlier job left in this Python worker; tasks that keep nothing begin with it."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc's
+        libc.malloc_trim(0)
+
+
+def driver_table(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A few ``rows`` of the driver as a table; goes by Arrow, as lists of tuples start Python workers that only copy them."""
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,6 +123,20 @@ def within(rows: DataFrame, ids: DataFrame, column: str = "_row") -> DataFrame:
     return out
 
 
+def repeated(rows: DataFrame, copies: DataFrame, most: int) -> DataFrame:
+    """The ``rows``, each as often as ``copies`` (_row, copies: ``most`` or fewer, none twice) says; ``rows`` are not shuffled.
+
+    Each binary digit of the copies goes out as the ids of ``within`` do.
+    """
+    digits = range(max(1, most.bit_length()))
+    bits = [F.bit_or(F.expr(f"shiftleft(cast(shiftright(copies, {d}) & 1 as bigint), cast(_row & 63 as int))")).alias(f"_bits{d}") for d in digits]
+    words = cut(copies.where("copies > 0").groupBy(F.shiftright("_row", 6).alias("_word")).agg(*bits), "copies")
+    words_of = F.broadcast(words) if words.count() * len(digits) <= BROADCAST_WORDS else words
+    many = F.expr(" + ".join(f"cast(shiftrightunsigned(_bits{d}, cast(_row & 63 as int)) & 1 as int) * {1 << d}" for d in digits))
+    counted = rows.withColumn("_word", F.shiftright("_row", 6)).join(words_of, "_word").withColumn("_copies", many).where("_copies > 0")
+    return counted.select(*rows.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """_row, text, _id (doc_id), _doc (all columns of a row of ``docs``); the rows are written once, so that numbers stay."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import crc_fold
+from cellweave.llm.common import crc_fold, forget
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -57,6 +57,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
@@ -125,6 +126,7 @@ def predict(docs: DataFrame, labels: list[str], prob: np.ndarray, carry: tuple[s
     shared = docs.sparkSession.sparkContext.broadcast((labels, prob.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         names, table = shared.value
         table = table.astype(np.float64)
         logs = np.log(table)

@@ -27,10 +27,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut
+from cellweave.llm.common import cut, driver_table, numbered, repeated
 
 #: Rows of a (source, size) group that one window partition ranks, about.
 PIECE_ROWS = 1024
@@ -99,7 +100,7 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, max_copies: int, iterat
             break
         if number == iterations:
             raise RuntimeError(f"{len(open_)} sources unsolved after {iterations} Newton steps")
-        now = spark.createDataFrame([(k, float(lam[k])) for k in sorted(open_)], "source_key int, lam double")
+        now = driver_table(spark, [(k, float(lam[k])) for k in sorted(open_)], source_key=pa.int32(), lam=pa.float64())
         rate = F.least(F.exp(F.least(F.col("lam") * F.col("x"), F.lit(600.0))), F.lit(float(max_copies)))
         moved = scaled.join(F.broadcast(now), "source_key").select(
             "source_key", (F.col("size") * F.col("n") * rate).alias("value"),
@@ -152,8 +153,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int =
     ``keep`` names further columns of ``docs`` to carry along, as ``_keep_<name>``.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    if not keep:
-        sized = cut(sized, "sizes")  # texts are read once
+    sized = cut(sized, "sizes", bool(keep))  # texts are read once
     by = cut(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     totals = cut(by.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n")), "sources")
     if (many := totals.count()) > MAX_SOURCES:
@@ -162,14 +162,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int =
     sources.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     goals = targets_for([(r[0], r[1]) for r in sources], weights, max_copies, share)
     spark = docs.sparkSession
-    targets = spark.createDataFrame(
-        [(i, r[0], r[1], r[2], float(t)) for i, (r, t) in enumerate(zip(sources, goals))],
-        "source_key int, source string, source_size long, source_docs long, target double",
+    targets = driver_table(
+        spark, [(i, r[0], r[1], r[2], float(t)) for i, (r, t) in enumerate(zip(sources, goals))],
+        source_key=pa.int32(), source=pa.string(), source_size=pa.int64(), source_docs=pa.int64(), target=pa.float64(),
     )
     names = targets.select("source_key", F.col("source").alias("_source"))
     keyed = by.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).select("source_key", "size", "n")
     lam = solve_dual(keyed, targets, max_copies)
-    solved = spark.createDataFrame([(k, float(v)) for k, v in sorted(lam.items())], "source_key int, lam double")
+    solved = driver_table(spark, [(k, float(v)) for k, v in sorted(lam.items())], source_key=pa.int32(), lam=pa.float64())
     facts = targets.join(solved, "source_key")
 
     def copies_of(part: pd.DataFrame) -> pd.DataFrame:
@@ -223,9 +223,8 @@ def _spend(sized: DataFrame, plan: DataFrame, targets: DataFrame, piece_rows: in
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int = 3, share: float = 1.0) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it (rows without copies go)."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    rows = mix(docs, weights, max_copies, share, keep=rest).where("copies > 0")
-    return rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(
-        *[F.col(f"_keep_{c}").alias(c) if c != "doc_id" else F.col(c) for c in docs.columns]
-    )
+    """``docs`` with every row as often as the mix takes it (rows without copies go); whole rows are not shuffled."""
+    rows = numbered(docs)
+    sized = rows.select(F.col("_id").alias("doc_id"), F.col("_doc.source").alias("source"), "text", "_row")
+    copies = mix(sized, weights, max_copies, share, keep=["_row"]).select(F.col("_keep__row").alias("_row"), "copies")
+    return repeated(rows, copies, max_copies).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

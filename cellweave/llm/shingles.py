@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut, drop, first_rows, numbered, within
+from cellweave.llm.common import cut, drop, first_rows, forget, numbered, within
 from cellweave.llm.components import components, label_rows
 from cellweave.llm.words import text_bytes
 
@@ -87,6 +87,7 @@ def _signed(rows: DataFrame) -> DataFrame:
     """_row, key (of the whole set), n (its size), minima, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         schema = pa.schema([("_row", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("minima", pa.binary()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
             out = []

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut, first_rows, numbered
+from cellweave.llm.common import cut, first_rows, forget, numbered
 from cellweave.llm.components import components, label_rows
 from cellweave.llm.words import text_bytes
 
@@ -267,6 +267,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             fps = [signed(fingerprint(t.as_py(), width)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut, read_blobs, scratch, write_blobs
+from cellweave.llm.common import cut, kept, read_blobs, scratch, write_blobs
 from cellweave.llm.words import TwoGenerations, text_bytes
 
 MAGIC = b"CWSST01\n"
@@ -129,16 +129,10 @@ class WordCoder:
 if sys.byteorder != "little":
     raise ImportError("shards are packed on little-endian machines")
 
-_CODERS: dict[int, WordCoder] = {}
-
 
 def coder_for(json: str) -> WordCoder:
     """One coder per Python worker and tokenizer, kept between tasks."""
-    key = hash(json)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = WordCoder(json)
-    return _CODERS[key]
+    return kept(("words", hash(json)), lambda: WordCoder(json))
 
 
 def varint(n: int) -> bytes:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.llm.common import forget
+
 #: A task hands its partial counts on when it holds so many different words.
 HELD = 400_000
 
@@ -32,6 +34,7 @@ def count_words(docs: DataFrame, split: Callable[[bytes], list[bytes]] = ascii_w
     """word (binary), count (long) over all texts of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: Counter = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:

@@ -653,6 +653,66 @@ def test_within(spark, monkeypatch):
     assert many.count() == 2 * len(wanted)
 
 
+def test_tasks_drop_what_earlier_jobs_kept(docs, monkeypatch):
+    import gc
+    import weakref
+
+    from pyspark.sql import functions as F
+
+    from cellweave.llm import words
+
+    tasks, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: tasks.append(f) or real(df, f, schema))
+    words.count_words(docs)
+    langid.predict(docs, ["de", "en"], np.full((langid.BUCKETS, 2), 0.5))
+    shingles._signed(docs.withColumn("_row", F.col("doc_id")))
+    simhash.fingerprints(docs, 4)
+    text = open(path("byte_bpe_50k.json"), encoding="utf-8").read()
+    for task in tasks:
+        coder = bpe.coder_for(text, bpe.compile_lexicon({}, "<u2"))
+        assert coder is bpe.coder_for(text, bpe.compile_lexicon({}, "<u2"))
+        held = weakref.ref(coder)
+        del coder
+        list(task(iter([])))
+        gc.collect()
+        assert held() is None
+    assert len(tasks) == 4
+
+
+def test_token_stage_sends_small_batches(spark, docs):
+    many = docs.crossJoin(spark.range(20)).drop("id").coalesce(1)
+
+    def rows(df, small):
+        found = bpe.round_trip(df, path("byte_bpe_50k.json"), 50, **small)
+        return Counter(map(tuple, found.collect())), "MapInArrow" in found._jdf.queryExecution().toString()
+
+    whole, lazy = rows(many, {})
+    few, left = rows(many, {"small": True})
+    assert few == whole and lazy and not left  # written in the small batches of ``cut``
+
+
+def test_mixed_repeats_rows_without_shuffling_them(spark, docs):
+    whole = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(whole).collect()}
+    out = mixing.mixed(whole)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert Counter(map(tuple, out.collect())) == Counter({tuple(r): copies[r["doc_id"]] for r in whole.collect() if copies[r["doc_id"]]})
+
+
+@pytest.mark.parametrize("most", [1, 3, 5])
+def test_repeated(spark, monkeypatch, most):
+    from cellweave.llm import common
+
+    rows = spark.range(0, 700).selectExpr("id * 37 + if(id % 3 = 0, 8589934592L * 5, 0) as _row", "id")
+    copies = rows.selectExpr("_row", f"cast(id % {most + 1} as int) as copies").where("_row % 11 <> 0")
+    want = Counter({r["id"]: r["id"] % (most + 1) for r in rows.collect() if r["_row"] % 11 and r["id"] % (most + 1)})
+    for limit in (common.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(common, "BROADCAST_WORDS", limit)
+        got = common.repeated(rows, copies, most)
+        assert got.columns == rows.columns and Counter(r["id"] for r in got.collect()) == want
+        assert common.repeated(rows, copies.limit(0), most).count() == 0
+
+
 def test_shingle_sets_and_minima():
     rnd = random.Random(4)
     for n in (0, 1, 4, 5, 6, 900):
