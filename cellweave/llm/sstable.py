@@ -57,8 +57,10 @@ WORD_SPLITTERS = [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
 WORD_NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
-#: Words that need no normalisation beyond lower case and one optional stop.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([.,]?)")
+#: Plain words are letters that need no normalisation beyond lower case, then a run of such marks or none: the splitter cuts between them,
+#: and no added token is made of letters and such marks alone.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿŒœ]+")
+MARKS = b"!#$%&*.,;:?"
 
 
 def byte_alphabet() -> list[str]:
@@ -83,6 +85,8 @@ class WordCoder:
         spec = loads(json)
         if (spec["pre_tokenizer"] or {}).get("pretokenizers") != WORD_SPLITTERS or (spec["normalizer"] or {}).get("normalizers") != WORD_NORMALISERS:
             raise ValueError("this encoder is for tokenizers that lower-case and drop white space")
+        if any(re.fullmatch(rf"{LETTERS.pattern}|[\w{MARKS.decode()}]+", t["content"]) for t in spec["added_tokens"]):
+            raise ValueError("an added token may be part of a plain word")
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -97,8 +101,9 @@ class WordCoder:
         return array(self.code, ids).tobytes()
 
     def piece(self, letters: str) -> bytes:
-        held = self.pieces.young.get(letters) or self.pieces.old.get(letters)
-        if held is None:
+        if (held := self.pieces.young.get(letters)) is not None:
+            return held
+        if (held := self.pieces.old.get(letters)) is None:
             if len(self.pieces.young) > self.pieces.limit:
                 self.pieces.missing([])
             text = letters if letters.isascii() else "".join(self.alphabet[b] for b in letters.encode())
@@ -106,24 +111,36 @@ class WordCoder:
         self.pieces.young[letters] = held
         return held
 
+    def plain(self, word: bytes) -> bytes | None:
+        """Packed ids of a plain word, None for others."""
+        bare = word.rstrip(MARKS)
+        if bare.isalpha():  # ASCII letters
+            ids = self.piece(bare.lower().decode())
+        elif not bare.isascii() and LETTERS.fullmatch(shown := bare.decode()):
+            ids = self.piece(shown.lower())
+        else:
+            return None
+        return ids if len(bare) == len(word) else ids + self.piece(word[len(bare) :].decode())
+
     def encode(self, text: bytes) -> bytes:
         """Packed ids of a whole text."""
         words = text.split()
-        young = self.memo.young
-        if new := self.memo.missing(words):
+        packed = list(map(self.memo.young.get, words))
+        if lacking := [i for i, ids in enumerate(packed) if ids is None]:
+            new = self.memo.missing([words[i] for i in lacking])
             young, hard = self.memo.young, []
             for word in new:
-                if found := PLAIN.fullmatch(shown := word.decode()):
-                    ids = self.piece(found[1].lower())
-                    young[word] = ids + self.piece(found[2]) if found[2] else ids
+                if (ids := self.plain(word)) is None:
+                    hard.append(word)
                 else:
-                    hard.append((word, shown))
+                    young[word] = ids
             for at in range(0, len(hard), 512):
                 part = hard[at : at + 512]
-                for (word, _), got in zip(part, self.tokenizer.encode_batch_fast([s for _, s in part], add_special_tokens=False)):
+                for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                     young[word] = self.pack(got.ids)
-        young = self.memo.young
-        return b"".join([young[w] for w in words])
+            for i in lacking:
+                packed[i] = young[words[i]]
+        return b"".join(packed)
 
 
 if sys.byteorder != "little":

@@ -71,6 +71,25 @@ def test_encoders_refuse_other_tokenizers():
         bpe.Vocabulary(open(path("word_bpe_49k.json"), encoding="utf-8").read())
 
 
+def test_word_coder_merges_plain_words_itself():
+    from tokenizers import Tokenizer
+
+    file = path("word_bpe_49k.json")
+    library, coder = Tokenizer.from_file(file), sstable.WordCoder(open(file, encoding="utf-8").read(), memo=40)
+    rnd = random.Random(3)
+    bare = ["Thinwh", "ersh", "Ciónquer", "DOÑ", "Œuvre", "a", "ZZ", "straße"]
+    plain = [b + m for b in bare for m in ("", ".", ",", "###", "$$$", "%%%", "!!", "&&&", "***", "?!", "..,", ";:")]
+    hard = ["it's", "don't!!", "x'###", "a1###", "##a", "...", "a-b..", "e\u0301a##", "<unk>", "İx.", "ﬁ!!", "a\u0300", "##'s", "\x00.", "!" * 300]
+    for _ in range(30):
+        text = " ".join(rnd.choices(plain + hard, k=60))
+        assert np.frombuffer(coder.encode(text.encode()), coder.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    whole = []
+    coder.tokenizer = type("", (), {"encode_batch_fast": lambda self, words, **_: whole.extend(words) or [library.encode(w, add_special_tokens=False) for w in words]})()
+    for word in plain:
+        coder.encode(word.encode())
+    assert not whole
+
+
 def test_sstable_lookup():
     w = sstable.ShardWriter(2)
     keys = [None, -5, 0, 3, 3, 10**12, *range(10**12 + 1, 10**12 + 4000)]
