@@ -12,8 +12,9 @@
 
 Texts are cut in pieces at spaces that are followed by something other than
 white space: the vocabulary's splitter always begins a new token there, so a
-piece's ids do not depend on its neighbours and can be remembered.  Texts that
-contain an added token's string are first cut at those, as the library does.
+piece's ids do not depend on its neighbours and can be remembered.  A piece is
+split, merged and decoded once, together with all others that are new; texts
+join what is remembered.  Texts that contain an added token's string are first cut at those, as the library does.
 
 Defined cases: a null text is an empty one and has no ids; any Unicode text is
 encoded, at any length; an empty table gives no rows; repeated rows are encoded
@@ -43,11 +44,39 @@ from cellweave.llm.words import TwoGenerations, count_words, text_bytes, top_wor
 #: Fixed value: the splitter of byte-level vocabularies of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS = 60_000
+#: Pieces that are learned, and strings that are joined, at once; bounds the arrays of places.
+TOGETHER = 1 << 15
 NONE = np.int32(1 << 30)
 #: Texts with a space before other white space, or with NUL, are cut with more care.
 ODD = re.compile(" \\s|\0")
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all runs, one run after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+def sliced(text: bytes, size: np.ndarray, drop: int = 0) -> list[bytes]:
+    """Runs of ``text`` of these sizes, each without its last ``drop`` bytes."""
+    end = np.cumsum(size)
+    return [text[a:b] for a, b in zip((end - size).tolist(), (end - drop).tolist())]
+
+
+class Strings:
+    """Byte strings by number, joined many at a time."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.text, self.start = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(self.size) - self.size
+
+    def join(self, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The joined strings and the size of each."""
+        size = self.size[numbers]
+        parts = [slice(at, at + TOGETHER) for at in range(0, len(numbers), TOGETHER)]
+        return b"".join([self.text[runs(self.start[numbers[p]], size[p])].tobytes() for p in parts]), size
+
+
 class Vocabulary:
     """Merges, token bytes and added tokens of a tokenizers-library BPE file."""
 
@@ -78,6 +107,8 @@ class Vocabulary:
         self.order = np.argsort(key).astype(np.int32)
         self.keys = key[self.order]
         self._slots()
+        byte = np.arange(256)
+        self.byte_ranks = self.ranks(self.byte_ids[byte].repeat(256), self.byte_ids[np.tile(byte, 256)]).astype(np.int32)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.split = regex.compile(SPLIT)
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -133,44 +164,75 @@ class Vocabulary:
 
     def merge_many(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of every word, by exact merges."""
-        out: list = [b""] * len(words)
+        ids, size = self.merge_flat(words)
+        return sliced(ids.astype(self.kind).tobytes(), size * np.dtype(self.kind).itemsize)
+
+    def merge_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each word has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
+        text, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        order, ids, count = [np.flatnonzero(size == 0)], [np.zeros(0, np.int32)], []
+        count.append(np.zeros(len(order[0]), np.int64))
         for low, high in ((1, 8), (9, 16), (17, 32), (33, 64)):
             where = np.flatnonzero((size >= low) & (size <= high))
             for at in range(0, len(where), 16384):
-                self._merge_block(words, where[at : at + 16384], size, out)
+                block = where[at : at + 16384]
+                found = self._merge_block(text, start[block], size[block])
+                order.append(block)
+                ids.append(found[0])
+                count.append(found[1])
         for i in np.flatnonzero(size > 64).tolist():
-            out[i] = np.array(self.merge_one(words[i]), self.kind).tobytes()
-        return out
-
-    def _merge_block(self, words: list[bytes], where: np.ndarray, size: np.ndarray, out: list) -> None:
-        n, width = len(where), int(size[where].max())
-        flat = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in where.tolist()]), np.uint8).reshape(n, width)
-        place = np.arange(width)
-        sym = np.where(place < size[where][:, None], self.byte_ids[flat], -1).astype(np.int32)
-        sym = np.concatenate([sym, np.full((n, 1), -1, np.int32)], 1)
-        rank = np.concatenate([self.ranks(sym[:, :-1], sym[:, 1:]), np.full((n, 1), NONE)], 1)
-        rows, final = np.arange(n), [None] * n
-        wide = np.arange(width + 1)
-        while len(rows):
-            p = rank.argmin(1)
-            best = rank[np.arange(len(rows)), p]
-            if (done := best == NONE).any():
-                for r, s in zip(rows[done].tolist(), sym[done]):
-                    final[r] = s[s >= 0].astype(self.kind).tobytes()
-                live = ~done
-                rows, sym, rank, p, best = rows[live], sym[live], rank[live], p[live], best[live]
-                if not len(rows):
-                    break
-            i = np.arange(len(rows))
-            take = np.minimum(wide + (wide > p[:, None]), width)
-            sym, rank = np.take_along_axis(sym, take, 1), np.take_along_axis(rank, take, 1)
-            sym[i, p] = self.made[best]
-            rank[i, p] = self.ranks(sym[i, p], sym[i, np.minimum(p + 1, width)])
-            if (q := np.flatnonzero(p > 0)).size:
-                rank[q, p[q] - 1] = self.ranks(sym[q, p[q] - 1], sym[q, p[q]])
-        for w, ids in zip(where.tolist(), final):
-            out[w] = ids
+            order.append(np.array([i]))
+            ids.append(np.array(self.merge_one(words[i]), np.int32))
+            count.append(np.array([len(ids[-1])]))
+        where, many = np.concatenate(order), np.concatenate(count)
+        begin, held = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[where], held[where] = np.cumsum(many) - many, many
+        return np.concatenate(ids)[runs(begin, held)], held
+
+    def _merge_block(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge_flat`` of words of 64 bytes or fewer that begin at ``start`` in ``text``.
+
+        A column is a word.  Symbols stay where they are and name their neighbours; a merge's
+        key is its rank and place, so the least key of a column is its next merge.
+        """
+        n, width = len(size), int(size.max())
+        place = np.arange(width + 1, dtype=np.int32)[:, None]
+        inside = place < size
+        byte = text[np.where(inside, start + place, 0)].astype(np.int32)
+        sym = np.where(inside, self.byte_ids[byte], -1)
+        key = np.full((width + 1, n), NONE)
+        first = self.byte_ranks[byte[:-1] << 8 | byte[1:]]
+        key[:-1] = np.where(inside[1:] & (first < NONE), first << 6 | place[:-1], NONE)
+        after, before = np.empty((width + 1, n), np.int32), np.empty((width + 1, n), np.int32)
+        after[:], before[:] = np.minimum(place + 1, width), np.where(place, place - 1, width)
+        flat, column = sym.ravel(), np.arange(n)
+        while True:
+            best = key.min(0)
+            live = np.flatnonzero(best < NONE)
+            if not live.size:
+                break
+            if 4 * live.size < 3 * len(best):
+                key, after, before = (np.take(x, live, 1) for x in (key, after, before))
+                column, best = column[live], best[live]
+                live = np.arange(len(best))
+            else:
+                best = best[live]
+            m, c = key.shape[1], column[live]
+            p, made = best & 63, self.made[best >> 6]
+            here = p * m + live
+            q = after.ravel()[here]
+            there = q * m + live
+            r, o = after.ravel()[there], before.ravel()[here]
+            flat[p * n + c], flat[q * n + c] = made, -1
+            after.ravel()[here], before.ravel()[r * m + live] = r, p
+            rank = self.ranks(np.concatenate([made, flat[o * n + c]]), np.concatenate([flat[r * n + c], made]))
+            rank = np.where(rank < NONE, rank << 6 | np.concatenate([p, o]), NONE)
+            key.ravel()[there] = NONE
+            key.ravel()[here], key.ravel()[o * m + live] = rank[: len(live)], rank[len(live) :]
+        sym = sym.T
+        left = sym >= 0
+        return sym[left], left.sum(1)
 
 
 def compile_lexicon(entries: dict[bytes, bytes], kind: str) -> bytes:
@@ -279,21 +341,26 @@ class Lexicon:
             depth += 1
         return out
 
-    def ids(self, number: int) -> bytes:
-        return self.map[self.ids_at + self.ends[number] : self.ids_at + self.ends[number + 1]]
+    def pool(self, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and where each word's begin, its end last."""
+        return np.frombuffer(self.map, kind, self.ends[-1] // np.dtype(kind).itemsize, self.ids_at), self.ends // np.dtype(kind).itemsize
 
 
 class Coder:
-    """Encodes and decodes whole texts."""
+    """Encodes and decodes whole texts; ``decimal``: remembers ids as decimal numbers joined by commas."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo: int = 300_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo: int = 300_000, decimal: bool = False) -> None:
         self.v, self.lexicon, self.memo = vocabulary, lexicon, TwoGenerations(memo)
-        self.decimal = [b"%d" % i for i in range(vocabulary.size)]
+        self.decimal = Strings([b"%d," % i for i in range(vocabulary.size)]) if decimal else None
+        self.token = Strings(vocabulary.token)
+        #: Whether every piece that was met decodes to itself.
+        self.faithful = True
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Cut before each space that something other than white space follows."""
-        if "  " not in text and not ODD.search(text) and text[-1:] != " " and text[:1] != " ":
+        plain = " \n" not in text and text.replace("\n", "").isprintable()
+        if "  " not in text and (plain or not ODD.search(text)) and text[-1:] != " " and text[:1] != " ":
             return text.replace(" ", "\0 ").split("\0") if text else []
         first, *rest = text.split(" ")
         out = [first] if first else []
@@ -304,34 +371,88 @@ class Coder:
                 out[-1] += " " + part
         return out
 
-    def words_to_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def words(self, pieces: list[str]) -> tuple[list[str], np.ndarray]:
+        """The words of all ``pieces`` and how many each has; each begins with a space and something other than white space."""
+        words = self.v.split.findall("".join(pieces))
+        at, ends = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (words, pieces))
+        return words, np.diff(np.searchsorted(at, ends) + 1, prepend=0)
+
+    def words_to_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them the ids of each word begin and how many they are."""
         numbers = self.lexicon.numbers(words) if self.lexicon else np.full(len(words), -1)
-        held = {w: self.lexicon.ids(n) for w, n in zip(words, numbers.tolist()) if n >= 0}
-        unseen = [w for w, n in zip(words, numbers.tolist()) if n < 0]
-        held.update(zip(unseen, self.v.merge_many(unseen)))
-        return held
-
-    def learn(self, pieces: list[str]) -> None:
-        """Put the ids of all ``pieces`` in the memo."""
-        if new := self.memo.missing(pieces):
-            split = [[w.encode() for w in self.v.split.findall(p)] for p in new]
-            ids = self.words_to_ids(list({w for ws in split for w in ws}))
-            young = self.memo.young
-            for piece, words in zip(new, split):
-                young[piece] = b"".join([ids[w] for w in words])
+        unseen = np.flatnonzero(numbers < 0)
+        merged, size = self.v.merge_flat([words[i] for i in unseen.tolist()])
+        begin, held = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begin[unseen], held[unseen] = np.cumsum(size) - size, size
+        if len(unseen) == len(words):
+            return merged, begin, held
+        pool, at = self.lexicon.pool(self.v.kind), numbers >= 0
+        begin[at], held[at] = pool[1][numbers[at]] + len(merged), np.diff(pool[1])[numbers[at]]
+        return np.concatenate([merged, pool[0]]), begin, held
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of ``new`` pieces as the memo holds them; a piece is split, merged and decoded here only."""
+        out = {}
+        for at in range(0, len(new), TOGETHER):
+            out.update(self._learn(new[at : at + TOGETHER]))
+        return out
 
-    def encode_many(self, texts: Sequence[str]) -> list[np.ndarray]:
-        cut = []
-        for text in texts:
-            parts = self.v.cut_added.split(text) if self.v.cut_added and any(t in text for t in self.v.added) else [text]
-            cut.append([(p, None) if p in self.v.added else (None, self.pieces(p)) for p in parts if p])
-        self.learn([p for parts in cut for _, pieces in parts if pieces for p in pieces])
-        young, out = self.memo.young, []
-        for parts in cut:
-            packed = [np.array([self.v.added[special]], self.v.kind).tobytes() if special is not None else b"".join([young[p] for p in pieces]) for special, pieces in parts]
-            out.append(np.frombuffer(b"".join(packed), self.v.kind))
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        added = self.v.added
+        out = {p: b"%d" % added[p] if self.decimal else np.array([added[p]], self.v.kind).tobytes() for p in added.keys() & set(new)}
+        self.faithful &= all(self.v.token[added[p]] == p.encode() for p in out)
+        firsts = [p for p in new if (p[0] != " " or len(p) == 1 or p[1].isspace()) and p not in out]
+        alone = {*out, *firsts}
+        pieces = [p for p in new if p not in alone]
+        words, many = self.words(pieces) if pieces else ([], np.zeros(0, np.int64))
+        own = [self.v.split.findall(p) for p in firsts]
+        words += [w for ws in own for w in ws]
+        many = np.concatenate([many, np.fromiter(map(len, own), np.int64, len(own))])
+        pieces += firsts
+        if not pieces:
+            return out
+        number = dict(zip(distinct := dict.fromkeys(words), range(len(words))))
+        bytes_of = [w.encode() for w in distinct]
+        pool, begin, held = self.words_to_ids(bytes_of)
+        which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        first_word = np.cumsum(many) - many
+        ids = pool[runs(begin[which], held[which])]
+        n_ids = np.add.reduceat(held[which], first_word)
+        first_id = np.cumsum(n_ids) - n_ids
+        decoded, size = self.token.join(ids)
+        n_bytes = np.add.reduceat(np.fromiter(map(len, bytes_of), np.int64, len(bytes_of))[which], first_word)
+        self.faithful &= decoded == "".join(pieces).encode() and bool((np.add.reduceat(size, first_id) == n_bytes).all())
+        if self.decimal:
+            text, size = self.decimal.join(ids)
+            packed = sliced(text, np.add.reduceat(size, first_id), 1)
+        else:
+            packed = sliced(ids.astype(self.v.kind).tobytes(), n_ids * np.dtype(self.v.kind).itemsize)
+        out.update(zip(pieces, packed))
         return out
 
+    def packed(self, texts: Sequence[str]) -> list[list[bytes]]:
+        """What the memo holds of each text's pieces."""
+        flat, ends = [], []
+        for text in texts:
+            if self.v.cut_added and any(t in text for t in self.v.added):
+                for part in self.v.cut_added.split(text):
+                    flat += [part] if part in self.v.added else self.pieces(part)
+            else:
+                flat += self.pieces(text)
+            ends.append(len(flat))
+        held = self.memo.values(flat, self.learn)
+        return [held[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_many(self, texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(held), self.v.kind) for held in self.packed(texts)]
+
+    def round_trips(self, texts: Sequence[str]) -> Iterator[tuple[int, bytes, bytes]]:
+        """Of each text the number of ids, the decimal ids joined by commas and the decoded text in UTF-8."""
+        for text, held in zip(texts, self.packed(texts)):
+            listed = b",".join(held)
+            decoded = text if self.faithful else self.decode([int(i) for i in listed.split(b",") if i])
+            yield listed.count(b",") + (listed != b""), listed, decoded.encode()
+
     def decode(self, ids: Sequence[int]) -> str:
         return b"".join(map(self.v.token.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -344,9 +465,9 @@ def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, words: int = LEXICON_
     return compile_lexicon(dict(zip(ordered, vocabulary.merge_many(ordered))), vocabulary.kind)
 
 
-def coder_for(tokenizer: str, image: bytes) -> Coder:
+def coder_for(tokenizer: str, image: bytes, decimal: bool = False) -> Coder:
     """One coder per Python worker, kept between tasks of a job."""
-    return kept(("bpe", hash(tokenizer), hash(image)), lambda: Coder(Vocabulary(tokenizer), Lexicon(image)))
+    return kept(("bpe", hash(tokenizer), hash(image), decimal), lambda: Coder(Vocabulary(tokenizer), Lexicon(image), decimal=decimal))
 
 
 def groups(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -371,15 +492,14 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WOR
     shared = spark.sparkContext.broadcast((text, build_lexicon(docs, Vocabulary(text), lexicon_words, small)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_for(*shared.value)
+        coder = coder_for(*shared.value, decimal=True)
         for batch in batches:
             for first, texts in groups(batch, 1):
                 counts, ids_sha, text_sha = [], [], []
-                for ids in coder.encode_many(texts):
-                    listed = ids.tolist()
-                    counts.append(len(listed))
-                    ids_sha.append(hashlib.sha256(b",".join(map(coder.decimal.__getitem__, listed))).hexdigest())
-                    text_sha.append(hashlib.sha256(coder.decode(listed).encode()).hexdigest())
+                for count, listed, decoded in coder.round_trips(texts):
+                    counts.append(count)
+                    ids_sha.append(hashlib.sha256(listed).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(texts)), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -92,3 +92,18 @@ class TwoGenerations:
                 self.young[key] = self.old[key]
             new -= back
         return list(new)
+
+    def values(self, keys: list, learn: Callable[[list], dict]) -> list:
+        """What is held of every key, after ``learn`` has given the values of those that are not held; a held key is looked up once."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, keys))
+        if gaps := [i for i, v in enumerate(out) if v is None]:
+            new = {keys[i] for i in gaps}
+            got = {key: self.old[key] for key in new & self.old.keys()}
+            if new := [key for key in new if key not in got]:
+                got.update(learn(new))
+            self.young.update(got)
+            for i in gaps:
+                out[i] = got[keys[i]]
+        return out

@@ -493,6 +493,51 @@ def test_bpe_equals_the_library(docs, empty):
     assert bpe.round_trip(empty, path("byte_bpe_50k.json")).count() == 0
 
 
+def test_bpe_handles_new_pieces_together():
+    from tokenizers import Tokenizer
+
+    text = open(path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library, v = Tokenizer.from_str(text), bpe.Vocabulary(text)
+    rnd, calls, split = random.Random(2), [], v.split
+    v.split = type("", (), {"findall": lambda self, t: calls.append(t) or split.findall(t)})()
+    words = ["".join(rnd.choice("aeinstz'é1.") for _ in range(rnd.randint(1, 12))) for _ in range(500)]
+    texts = [" ".join(rnd.choices(words, k=50)) for _ in range(40)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in bpe.Coder(v).encode_many(texts)] == want
+    assert len(calls) <= 1 + len({t.split(" ")[0] for t in texts})  # one for all, one for what begins a text
+
+
+def test_bpe_remembers_decimal_ids():
+    from tokenizers import Tokenizer
+
+    text = open(path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library, v = Tokenizer.from_str(text), bpe.Vocabulary(text)
+    known = [b" the", b" an", b"n", b" "]
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(dict(zip(known, v.merge_many(known))), v.kind))
+    rnd, alphabet = random.Random(3), "  \n\t\x1c\x85\xa0aann'sé1,.日😀\0"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(600)] + ["", " ", "a <|endoftext|> b<|endoftext|>", "<|endoftext|>", "the an", "n" * 70, " a\n a"]
+    coder = bpe.Coder(v, lexicon, memo=40, decimal=True)
+    for _ in range(2):  # with generations of the memo in between
+        for at in range(0, len(texts), 25):
+            for t, (count, listed, decoded) in zip(texts[at : at + 25], coder.round_trips(texts[at : at + 25])):
+                want = library.encode(t, add_special_tokens=False).ids
+                assert (count, listed, decoded.decode()) == (len(want), ",".join(map(str, want)).encode(), library.decode(want, skip_special_tokens=False))
+    assert coder.faithful and list(coder.round_trips([])) == []
+    v.token[library.token_to_id("n")] = b"\xff"  # decoded texts come from ids
+    coder = bpe.Coder(v, lexicon, decimal=True)
+    assert [d for *_, d in coder.round_trips(["n,", "the"])] == ["\ufffd,".encode(), b"the"]
+    assert not coder.faithful
+
+
+def test_bpe_merges_many_as_one():
+    v = bpe.Vocabulary(open(path("byte_bpe_50k.json"), encoding="utf-8").read())
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice(a) for _ in range(n)).encode() for a in ("a", "ab", " aeinrst", "é日😀x") for n in range(24)] + [b"the" * 21, b"x" * 64, b"x" * 65, b"in" * 300]
+    ids, size = v.merge_flat(words)
+    assert [i.tolist() for i in np.split(ids, np.cumsum(size)[:-1])] == [v.merge_one(w) for w in words]
+    assert v.merge_many([]) == [] and v.merge_many([b""]) == [b""]
+
+
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
