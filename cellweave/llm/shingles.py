@@ -4,16 +4,26 @@ Words are those of ``simhash``; a text's set holds one 64-bit hash for each of
 its shingles of ``WIDTH`` words (fewer words are one shingle).  Equal sets are
 one node.  Nodes that agree on all ``ROWS`` minima of one of ``BANDS`` bands
 share a bucket: a pair of similarity 0.8 shares none with a probability of
-(1 - 0.8^3)^30, about 5e-10.  In each bucket members meet its smallest member,
-then the next one, and pairs of one component are left out, for ``STARS`` rounds.
+(1 - 0.8^3)^30, about 5e-10.  In each bucket members meet its centre, the
+member whose buckets hold the most nodes (so buckets of like members have one
+centre), then the next one, and pairs of one component are left out, for
+``STARS`` rounds; no pair is checked twice.
 
 Nodes that then still share a bucket with another component meet by prefix
 filtering, which is exact: with hashes in one order, rare ones first, a pair of
 the similarity shares a hash early in both sets, in the first ninth of the
 smaller one and the first fifth of the larger one (for 0.8), and as many hashes
 follow it in both as the similarity asks for.  So a passage that many texts
-share, or many copies that differ too much, make no pairs; members of the
-component with the most nodes of a hash do not meet each other.
+share makes no pairs.
+
+Many copies of one text that differ a little too much share nearly all hashes,
+so prefixes tell them apart no longer.  Nodes that one hub (the node that is the
+centre of most candidates) is likely to resemble meet by their differences from
+it instead: sets x, y and c differ in |x^y| = |x^c| + |y^c| - 2 |x^c & y^c|
+hashes, so a similar pair shares differences, or both resemble the hub, with
+which all are compared.  Prefixes of these differences are exact in the same way
+(whole sets are the differences from the empty set): copies that were changed in
+different places share none early.  Nodes of different hubs meet by whole sets.
 
 A candidate whose set sizes rule the similarity out, or that agrees on less than
 ``AGREE`` of all minima (a pair of similarity 0.8: with a probability below
@@ -24,6 +34,7 @@ made for the nodes of such candidates and those of the prefix filter only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,8 +150,8 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("_row", "_text").mapInArrow(run, "node long, hashes binary")
 
 
-def _checked(pairs: DataFrame, nodes: DataFrame, least: float, texts: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b; a written table, deleted here) whose sets, ``known`` or those of ``texts``, have a similarity of ``least`` or more."""
+def _checked(pairs: DataFrame, nodes: DataFrame, least: float, texts: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose sets, ``known`` or those of ``texts``, have a similarity of ``least`` or more, and those of ``_likely``."""
     near = _likely(pairs, nodes, least)
     asked = within(texts, _ends(near)) if known is None else within(known, _ends(near), "node")
     sets = cut(_sets(asked), "shingles", True) if known is None else asked
@@ -154,13 +165,18 @@ def _checked(pairs: DataFrame, nodes: DataFrame, least: float, texts: DataFrame
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     out = cut(_beside(near.join(left, "a"), right).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "checked", True)
-    drop(pairs, near, asked, *([sets] if known is None else []))
-    return out
+    drop(asked, *([sets] if known is None else []))
+    return out, near
 
 
-def prefixes(n: int, least: float) -> tuple[int, int]:
-    """How many of a set's ``n`` first hashes hold one of any similar set, no smaller than it or of any size."""
-    return tuple(min(n, int(n - np.ceil(n * share - 1e-9) + 1)) for share in (2 * least / (1 + least), least))
+def prefixes(d: int, least: float, n: int, centre: int = 0) -> tuple[int, int]:
+    """How many of the first of a set's ``d`` differences from a ``centre`` hold one of any similar set, with no fewer differences or any number.
+
+    ``n``, ``centre``: sizes of the sets.  Similar sets that share none both resemble the centre.
+    """
+    apart = (1 - least) / (1 + least)  # similar sets differ in this share of their sizes' sum at most
+    shared = ((2 - apart) * d - apart * (n + centre)) / 2, (d - apart * (n + centre)) / (1 + apart)
+    return tuple(min(d, int(d - max(1, np.ceil(x - 1e-9)) + 1)) for x in shared)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -185,73 +201,130 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def _differences(sets: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
+    """node, hub, n, centre (the hub's size), hashes (packed, those of one of both sets, mixed with the hub), near (similar to the hub) of ``hubs`` (node, hub)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("node", pa.int64()), ("hub", pa.int64()), ("n", pa.int64()), ("centre", pa.int64()), ("hashes", pa.binary()), ("near", pa.bool_())])
+        for batch in batches:
+            out = []
+            for node, hub, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                apart = np.setxor1d(x, y, assume_unique=True) ^ np.uint64(xxhash.xxh64_intdigest(hub.to_bytes(8, "little", signed=True)))
+                out.append((node, hub, len(x), len(y), apart.tobytes(), similarity(x, y) >= least))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    pairs = hubs.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    beside = _beside(pairs, sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")))
+    return cut(beside.select("a", "b", "x", "y").mapInArrow(run, "node long, hub long, n long, centre long, hashes binary, near boolean"), "differences", True)
+
+
 def _prefixed(sets: DataFrame, least: float) -> DataFrame:
-    """hash, node, n, at (the hash's place in the set, from 0), short (in the prefix of a set that is the smaller one).
+    """hash, node, n, d (its hashes here), at (the hash's place among them, from 0), short (in the prefix of a set that has the fewer ones).
 
-    Hashes are ordered by frequency of the slot; those of a slot with one are in one set and left out.
+    ``sets``: node, n, centre, hashes.  Hashes are ordered by frequency of the
+    slot; those of a slot with one are in one set and left out.
     """
     counts = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for node, n, centre, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 hashes = np.frombuffer(packed, np.uint64)
                 many = counts.value[_slot(hashes)]
-                short, long = prefixes(len(hashes), least)
+                short, long = prefixes(len(hashes), least, n, centre)
                 first = np.lexsort((hashes, many))[:long]
                 at = np.flatnonzero(many[first] > 1)
                 each = hashes[first[at]].view(np.int64)
-                out.append((each, np.full(len(at), node), np.full(len(at), len(hashes)), at, at < short))
+                out.append((each, *(np.full(len(at), v) for v in (node, n, len(hashes))), at, at < short))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["hash", "node", "n", "at", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["hash", "node", "n", "d", "at", "short"])
 
-    return sets.select("node", "hashes").mapInArrow(run, "hash long, node long, n long, at long, short boolean")
+    return sets.select("node", "n", "centre", "hashes").mapInArrow(run, "hash long, node long, n long, d long, at long, short boolean")
 
 
-def _across(sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different ``parts`` (node, part) that prefixes and places do not rule out."""
-    rows = cut(_prefixed(sets, least).join(parts, "node"), "prefixes", True)
-    sizes = rows.groupBy("hash", "part").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("hash").agg(F.max(F.struct("m", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rows_of = cut(rows.join(most.select("hash", F.col("most.part").alias("main")), "hash").withColumn("lone", F.col("part") != F.col("main")), "crossing")
+def _across(sets: DataFrame, parts: DataFrame, least: float, by: str) -> DataFrame:
+    """Pairs (a, b) of different ``parts`` (node, part, hub) and different ``by`` (part or hub) that prefixes and places do not rule out.
+
+    Nodes of the ``by`` with the most nodes of a hash do not meet each other.
+    """
+    rows = cut(_prefixed(sets, least).join(parts.select("node", "part", F.col(by).alias("side")), "node"), "prefixes", True)
+    sizes = rows.groupBy("hash", "side").agg(F.count(F.lit(1)).alias("m"))
+    most = sizes.groupBy("hash").agg(F.max(F.struct("m", "side")).alias("most"), F.count(F.lit(1)).alias("sides")).where("sides > 1")
+    rows_of = cut(rows.join(most.select("hash", F.col("most.side").alias("main")), "hash").withColumn("lone", F.col("side") != F.col("main")), "crossing")
 
     def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-        x = smaller.where("short").select("hash", F.col("node").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rest"), "part")
-        y = larger.select("hash", F.col("node").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("other_rest"), F.col("part").alias("other"))
-        order = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-        sized = F.col("nb") >= F.col("na") * F.lit(least) - F.lit(1e-9)
-        placed = F.least("rest", "other_rest") >= (F.col("na") + F.col("nb")) * F.lit(least / (1 + least)) - F.lit(1e-9)
-        return y.join(x, "hash").where((F.col("part") != F.col("other")) & order & sized & placed).select("a", "b")
+        x, y = (rows.select("hash", *[F.col(c).alias(c + end) for c in ("node", "n", "d", "part", "side")], (F.col("d") - F.col("at")).alias("rest" + end)) for rows, end in ((smaller.where("short"), "_x"), (larger, "_y")))
+        order = (F.col("d_x") < F.col("d_y")) | ((F.col("d_x") == F.col("d_y")) & (F.col("node_x") < F.col("node_y")))
+        sized = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * F.lit(least) - F.lit(1e-9)
+        apart = (F.col("n_x") + F.col("n_y")) * F.lit((1 - least) / (1 + least))
+        placed = F.least("rest_x", "rest_y") >= (F.col("d_x") + F.col("d_y") - apart) / 2 - F.lit(1e-9)
+        differ = (F.col("part_x") != F.col("part_y")) & (F.col("side_x") != F.col("side_y"))
+        return y.join(x, "hash").where(differ & order & sized & placed).select(F.col("node_y").alias("a"), F.col("node_x").alias("b"))
 
     pairs = cut(meet(rows_of.where("lone"), rows_of).unionByName(meet(rows_of.where("not lone"), rows_of.where("lone"))).distinct(), "pairs")
     drop(rows, rows_of)
     return pairs
 
 
+def _hubs(likely: list[DataFrame]) -> DataFrame:
+    """node, hub of the nodes of ``likely`` pairs (a, centre b): of its centres and itself the one with the most pairs, then in turn that one's."""
+    pairs = reduce(DataFrame.unionByName, likely).select("a", "b")
+    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
+    each = _beside(pairs, many).select("a", "b", "m").unionByName(many.select(F.col("b").alias("a"), "b", "m"))
+    once = cut(each.groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("most")).select("a", (-F.col("most.b")).alias("b")), "hubs")
+    out = cut(_beside(once, once.select(F.col("a").alias("b"), F.col("b").alias("hub"))).select(F.col("a").alias("node"), "hub"), "hubs")
+    drop(once)
+    return out
+
+
+def _left(now: DataFrame, texts: DataFrame, likely: list[DataFrame], met: list[DataFrame], least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) not yet ``met`` by which nodes of different parts of ``now`` (node, part) can be linked, and the sets (node, hashes) of all of them."""
+    parts = now.select("node", "part").distinct()
+    hubs = _hubs(likely) if likely else None
+    parts = cut(parts.join(hubs, "node", "left").withColumn("hub", F.coalesce("hub", "node")) if likely else parts.withColumn("hub", F.col("node")), "parts")
+    asked = within(texts, parts.select("node").union(parts.select("hub")).distinct())
+    sets = cut(_sets(asked), "shingles", True)
+    apart = _differences(sets, parts, least)
+    whole = sets.select("node", F.expr("length(hashes) div 8").alias("n"), F.lit(0).cast("long").alias("centre"), "hashes")
+    found = [_across(apart, parts, least, "part"), _across(whole, parts, least, "hub")]
+    pairs = reduce(DataFrame.unionByName, [*found, apart.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b"))])
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    before = [older.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for older in met]
+    out = cut(reduce(lambda p, older: p.join(older, ["a", "b"], "left_anti"), before, pairs), "pairs")
+    drop(parts, asked, apart, *found, *([hubs] if likely else []))
+    return out, sets
+
+
 def link(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, stars: int = STARS) -> DataFrame:
     """node, component of the linked ones of ``nodes`` (node, n, minima, bands; a written table)."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    rows = cut(rows.join(shared, "bucket"), "buckets")
-    joined = None
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut(rows.join(shared, "bucket"), "buckets")
+    score = held.groupBy("node").agg(F.sum("n").alias("score"))
+    rows = cut(held.join(score, "node").select("bucket", "node", "score"), "buckets")
+    drop(held)
+    joined, met, likely = None, [], []
     for star in range(stars + 1):
         now = rows if joined is None else rows.join(joined, "node", "left")
-        now = now.withColumn("part", F.col("node") if joined is None else F.coalesce("component", "node")).select("bucket", "node", "part")
+        now = now.withColumn("part", F.col("node") if joined is None else F.coalesce("component", "node")).select("bucket", "node", "score", "part")
         mixed = now.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
         now = cut(now.join(mixed, "bucket") if star else now, "mixed")
         drop(rows)
         if star < stars:
-            centre = now.groupBy("bucket").agg(F.min(F.struct("node", "part")).alias("c"))
-            pairs = now.join(centre, "bucket").where("node <> c.node and part <> c.part").select(F.col("node").alias("a"), F.col("c.node").alias("b"))
-            new = _checked(cut(pairs.distinct(), "pairs"), nodes, least, texts)
-            rows = cut(now.join(centre, "bucket").where("node <> c.node").select("bucket", "node"), "left")
+            centre = now.groupBy("bucket").agg(F.max(F.struct("score", -F.col("node"), "node", "part")).alias("c"))
+            pairs = now.join(centre, "bucket").where("node <> c.node and part <> c.part").select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+            met.append(cut(reduce(lambda p, older: p.join(older, ["a", "b"], "left_anti"), met, pairs), "pairs"))
+            new, near = _checked(met[-1], nodes, least, texts)
+            likely.append(near)
+            rows = cut(now.join(centre, "bucket").where("node <> c.node").select("bucket", "node", "score"), "left")
         else:
-            parts = cut(now.select("node", "part").distinct(), "parts")
-            asked = within(texts, parts.select("node"))
-            sets = cut(_sets(asked), "shingles", True)
-            new = _checked(_across(sets, parts, least), nodes, least, known=sets)
-            drop(parts, asked, sets)
+            pairs, sets = _left(now, texts, likely, met, least)
+            new, near = _checked(pairs, nodes, least, known=sets)
+            drop(pairs, near, sets, *met, *likely)
         drop(now)
         if joined is None or not new.isEmpty():
             known = new if joined is None else new.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))

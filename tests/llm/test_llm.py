@@ -677,6 +677,60 @@ def test_shared_passages_make_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 400 * 3 * shingles.BANDS / 4 and pairs[-1] < 400  # all of them: 79,800 pairs
 
 
+def test_copies_that_differ_too_much_make_few_pairs(spark, monkeypatch):
+    rnd, pairs = random.Random(8), []
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for at in range(500):  # up to 3 changed words link with the base, more with few texts
+        copy = list(base)
+        for place in rnd.sample(range(150), at % 10):
+            copy[place] = f"e{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts = list(dict.fromkeys(texts))
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if shingles.similarity(sets[i], sets[j]) >= 0.8]
+    least, before = list(range(len(texts))), None
+    while least != before:
+        before = list(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    linked = {i for pair in links for i in pair}
+    nodes, rows = shingle_nodes(spark, texts)
+    likely = shingles._likely
+    monkeypatch.setattr(shingles, "_likely", lambda found, *a: pairs.append(found.count()) or likely(found, *a))
+    got = {r["node"]: r["component"] for r in shingles.link(nodes, rows).collect()}
+    assert got == {i: least[i] for i in linked} and 100 < len(linked) < len(texts) - 200
+    assert pairs[-1] < len(texts) / 4 and sum(pairs) < 5 * shingles.STARS * len(texts)
+
+
+def test_differences_from_hubs_lose_no_similar_pair(spark):
+    rnd = random.Random(4)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for family in range(30):  # members share up to 7 changed words, and have up to 3 of their own
+        kin = list(base)
+        for place in rnd.sample(range(120), family % 8):
+            kin[place] = f"f{family}-{place}"
+        for _ in range(6):
+            copy = list(kin)
+            for place in rnd.sample(range(120), rnd.randrange(4)):
+                copy[place] = f"e{rnd.randrange(10**6)}"
+            del copy[: rnd.randrange(3)]
+            texts.append(" ".join(copy))
+    texts = [" ".join(base), *dict.fromkeys(texts)]
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    similar = {(i, j) for i in range(len(sets)) for j in range(i) if shingles.similarity(sets[i], sets[j]) >= 0.8}
+    hub = [0 if i % 4 or i == 0 else 4 for i in range(len(sets))]  # 4 has a quarter of the nodes
+    nodes, rows = shingle_nodes(spark, texts)
+    likely = shingles.cut(spark.createDataFrame([(i, h) for i, h in enumerate(hub) if i != h], "a long, b long"), "likely")
+    met = shingles.cut(spark.createDataFrame([(i, 0) for i in range(1, 20)], "a long, b long"), "pairs")
+    pairs, _ = shingles._left(nodes.selectExpr("node", "node as part"), rows, [likely], [met], 0.8)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    close = [i == h or (max(i, h), min(i, h)) in similar for i, h in enumerate(hub)]
+    at_hubs = {(max(i, h), min(i, h)) for i, h in enumerate(hub) if i != h and close[i]} - {(i, 0) for i in range(1, 20)}
+    needed = {(i, j) for i, j in similar if hub[i] != hub[j] or not (close[i] and close[j])} - {(i, 0) for i in range(1, 20)}
+    assert needed | at_hubs <= got and len({(i, j) for i, j in needed if hub[i] == hub[j]}) > 50
+
+
 @pytest.mark.parametrize("stars", [0, 3])
 def test_links_equal_brute_force(spark, stars):
     rnd = random.Random(5)
